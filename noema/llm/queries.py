@@ -17,6 +17,16 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from noema.llm import pieces
+    from noema.llm.staging import Staging
+
+    Staging(spark, "pieces")
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_documents(documents, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from noema.llm import langid
 
