@@ -11,6 +11,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from noema.llm import decontaminate
+    from noema.llm.staging import Staging
+
+    Staging(spark, "leaks")
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from noema.llm import minhash
 
