@@ -198,6 +198,8 @@ def _confirmed(items: Items, words: np.ndarray, bounds: np.ndarray) -> Iterator[
             continue  # inside a place that was looked at
         lo, hi = max(bounds[row], start - m), min(bounds[row + 1], start + 3 * m + k)
         done[row, item] = start + m
+        if np.count_nonzero(np.isin(items.words[item], words[lo:hi])) < m - k:
+            continue  # every word that is missing costs an edit
         distance, where = least_distance(items.words[item].tolist(), words[lo:hi].tolist())
         if distance <= k:
             best[row, item] = min(best.get((row, item), (m + 1, 0)), (distance, int(max(0, lo + where - m - bounds[row]))))
