@@ -7,8 +7,9 @@ any. Unlike one-permutation hashing, no bin is filled by copying, hence the conc
 hashing (Dahlgaard, Knudsen, Thorup 2017).
 
 Bands of coordinates are bucket keys. Texts with equal shingle sets are one class first, so exact copies cost one
-sketch row and no pair. In each bucket all members are compared with one pivot; members which that leaves outside
-the bucket's largest component are compared with the rest of the bucket. Comparisons read the full texts.
+sketch row and no pair. In each bucket all members are compared with one pivot. Buckets that still hold
+several components get further pivots; members then left outside the bucket's largest component are compared with
+its other components. Comparisons read the full texts.
 At similarity 0.85 one of 24 bands of 4 is shared with probability 1 - 2e-8.
 
 Null, empty and blank texts have no shingles and link with nothing. Rows with one doc_id are one node. Repeated
@@ -37,6 +38,8 @@ class Settings:
     rows: int = 4
     #: A pair links if 100 * intersection >= percent * union.
     percent: int = 85
+    #: Turns in which each bucket gets another pivot, before what still lies apart is compared in full.
+    turns: int = 2
 
     @property
     def coordinates(self) -> int:
@@ -147,27 +150,48 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
     def close(x: str, y: str):
         return F.least(x, y) * 100 >= F.greatest(x, y) * settings.percent
 
-    first = members.where(F.col("rep") != F.col("pivot")).where(close("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = stage.save(verify(first, texts, settings), "links")
-    component = stage.save(connected_components(edges, stage), "components")
-    # what a bucket's pivot left apart: members outside the bucket's largest component against all others
-    placed = members.join(component, members.rep == component.node, "left").select(
-        "bucket", "rep", "n", "pivot", F.coalesce("component", "rep").alias("component")
-    )
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
-    open_buckets = stage.save(placed.join(main.select("bucket", F.col("m.component").alias("main")), "bucket"), "open")
-    left = open_buckets.where("component <> main").select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    right = open_buckets.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "pivot", "main")
-    second = (
-        left.join(right, "bucket").where((F.col("ca") != F.col("cb")) & close("na", "nb"))
-        .where((F.col("a") != F.col("pivot")) & (F.col("b") != F.col("pivot")))
-        .where((F.col("ca") == F.col("main")) | (F.col("a") < F.col("b")))
-        .select("a", "b").distinct()
+    pairs = (
+        members.where((F.col("rep") != F.col("pivot")) & close("n", "pivot_n"))
+        .select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     )
-    more = stage.save(verify(second, texts, settings), "more-links")
-    if not more.isEmpty():
-        component = stage.save(connected_components(edges.union(more), stage), "components")
+    tested = stage.save(pairs, "pairs")
+    edges = stage.save(verify(tested, texts, settings), "links")
+    component = stage.save(connected_components(edges, stage), "components")
+    for turn in range(settings.turns + 1):
+        placed = stage.save(
+            members.join(component, members.rep == component.node, "left")
+            .select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")),
+            "placed",
+        )
+        sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+        main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
+        members = stage.save(placed.join(main.select("bucket", F.col("m.component").alias("main")), "bucket"), "open")
+        stage.drop(placed)
+        if members.isEmpty():
+            break
+        if turn < settings.turns:
+            # another pivot in each bucket that still holds several components, against the other components
+            chosen = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(turn)).alias("order"), "rep", "n", "component")).alias("p"))
+            pairs = (
+                members.join(chosen, "bucket").where((F.col("component") != F.col("p.component")) & close("n", "p.n"))
+                .select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+            )
+        else:
+            # the rest: members outside a bucket's largest component against all of its other components
+            left = members.where("component <> main").select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+            right = members.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), "main")
+            pairs = (
+                left.join(right, "bucket").where((F.col("ca") != F.col("cb")) & close("na", "nb"))
+                .where((F.col("ca") == F.col("main")) | (F.col("a") < F.col("b")))
+                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            )
+        pairs = stage.save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = stage.save(verify(pairs, texts, settings), "links")
+        if not more.isEmpty():
+            edges = edges.union(more)
+            component = stage.save(connected_components(edges, stage), "components")
+        tested = tested.union(pairs)
+        members = members.drop("component", "main")
     named = classes.join(component, classes.rep == component.node, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     return (
         signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
@@ -175,3 +199,9 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
         .withColumn("component_id", F.coalesce("component_id", "doc_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def keep_representatives(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One document of each near-duplicate group, that of the smallest id; columns unchanged."""
+    kept = near_duplicates(documents, settings).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")

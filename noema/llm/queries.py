@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,14 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(documents, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from noema.llm import pii
+
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as long) AS n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.digest("spans"), 256).alias("base_sha256"), pii.digest("all_spans").alias("spans"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from noema.llm import langid
 
