@@ -57,6 +57,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.digest("spans"), 256).alias("base_sha256"), pii.digest("all_spans").alias("spans"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from noema.llm import html_text
+    from noema.llm.staging import Staging
+
+    Staging(spark, "html")
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from noema.llm import langid
 
