@@ -33,6 +33,12 @@ def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from noema.llm import language_model
+
+    return language_model.score(_table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from noema.llm import minhash
 
