@@ -45,6 +45,14 @@ def incremental_split(current: DataFrame, stored: DataFrame, key: str, mark: str
     ).drop("_key", "_mark")
 
 
+def changes(old: DataFrame, new: DataFrame, key: str, mark: str) -> DataFrame:
+    """(key, change): 'deleted', 'added' or 'mark' for the rows that two snapshots of one table don't share."""
+    before = old.select(F.col(key).alias("_key"), F.col(mark).alias("_mark"))
+    both = new.select(key, mark).join(before, F.col(key) == F.col("_key"), "full_outer")
+    change = F.when(F.col(key).isNull(), "deleted").when(F.col("_key").isNull(), "added").when(~F.col("_mark").eqNullSafe(F.col(mark)), "mark")
+    return both.select(F.coalesce(key, "_key").alias(key), change.alias("change")).where("change is not null")
+
+
 def orphans(stored: DataFrame, live: DataFrame, key: str) -> DataFrame:
     """Stored rows whose key is no longer live."""
     return stored.join(live.select(key), key, "left_anti")

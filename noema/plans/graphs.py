@@ -109,21 +109,21 @@ def knn_capped(t: Tables):
     return kept.select("a", "b", F.round("score", 6).alias("score"), "mutual")
 
 
-_UNIT = "u as (select vec_id, label, unnest(range(1, len(embedding) + 1)) as at, unnest(list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[])))) as x from embeddings)"
-_MEAN = _UNIT + ", m as (select label, at, avg(x) as x from u group by 1, 2)"
+_UNIT = "u as (select vec_id, label, unnest(range(1, len(embedding) + 1)) as pos, unnest(list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[])))) as x from embeddings)"
+_MEAN = _UNIT + ", m as (select label, pos, avg(x) as x from u group by 1, 2)"
 
 
 def _labelled(t: Tables):
     return _points(t).join(t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("grp")), "id")
 
 
-@query(f"with {_MEAN}, n as (select label, sqrt(sum(x * x)) as n from m group by 1) select label as grp, at::int - 1 as at, round(x / n, 6) as x from m join n using (label)")
+@query(f"with {_MEAN}, n as (select label, sqrt(sum(x * x)) as n from m group by 1) select label as grp, pos::int - 1 as pos, round(x / n, 6) as x from m join n using (label)")
 def centroids(t: Tables):
     means = similarity.mean_vectors(_labelled(t), "grp")
-    return means.select("grp", F.posexplode(N.unit(F.col("mean"))).alias("at", "x")).select("grp", "at", F.round("x", 6).alias("x"))
+    return means.select("grp", F.posexplode(N.unit(F.col("mean"))).alias("pos", "x")).select("grp", "pos", F.round("x", 6).alias("x"))
 
 
-_TO_CENTRE = _MEAN + """, n as (select label, sqrt(sum(x * x)) as n from m group by 1), c as (select u.vec_id, u.label, sum(u.x * m.x) / any_value(n.n) as sim from u join m on m.label = u.label and m.at = u.at join n on n.label = u.label group by 1, 2)"""
+_TO_CENTRE = _MEAN + """, n as (select label, sqrt(sum(x * x)) as n from m group by 1), c as (select u.vec_id, u.label, sum(u.x * m.x) / any_value(n.n) as sim from u join m on m.label = u.label and m.pos = u.pos join n on n.label = u.label group by 1, 2)"""
 
 
 def _to_centre(t: Tables):
@@ -143,7 +143,7 @@ def confidence(t: Tables):
     return _to_centre(t).select("id", F.round(N.confidence(F.col("sim")), 6).alias("confidence"))
 
 
-@query(f"""with {_MEAN}, g as (select label, count(distinct vec_id) as n from u group by 1), d as (select u.vec_id, u.label, m.label as other, 1 - sum(u.x * m.x) as far from u join m on m.at = u.at group by 1, 2, 3),
+@query(f"""with {_MEAN}, g as (select label, count(distinct vec_id) as n from u group by 1), d as (select u.vec_id, u.label, m.label as other, 1 - sum(u.x * m.x) as far from u join m on m.pos = u.pos group by 1, 2, 3),
 e as (select d.*, g.n, case when d.label = other then case when n > 1 then far * n / (n - 1) end end as own, case when d.label <> other then far end as apart from d join g on g.label = d.other),
 f as (select vec_id, max(own) as a, min(apart) as b from e group by 1) select round(avg(case when a is null or greatest(a, b) <= 0 then 0 else (b - a) / greatest(a, b) end), 6) as silhouette from f""")
 def silhouette(t: Tables):
@@ -234,19 +234,19 @@ def pca_invariants(t: Tables):
     return spread.select(F.lit(straight).alias("orthonormal"), falling.alias("falling"))
 
 
-@query("select (select count(*) from embeddings where label in (0, 1)) as points, 4::bigint as groups, true as sizes_add_up")
+@query("select (select count(*) from embeddings) as points, 4::bigint as groups, true as sizes_add_up")
 def partition_choice(t: Tables):
     """A cut of the average-linkage dendrogram into four groups is a partition."""
-    points = similarity.unit_vectors(t.embeddings.where("label in (0, 1)").select(F.col("vec_id").alias("id"), "embedding"))
+    points = similarity.unit_vectors(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"))
     labels = cluster.cut(points, cluster.average_linkage(points), 4)
     sizes = labels.groupBy("grp").agg(F.count("*").alias("n"), F.count_distinct("id").alias("d"))
     return sizes.agg(F.sum("n").alias("points"), F.count("*").alias("groups"), (F.sum("n") == F.sum("d")).alias("sizes_add_up"))
 
 
-@query("select (select count(*) from embeddings where label in (2, 5)) as points, true as themes_inside")
+@query("select (select count(*) from embeddings) as points, true as themes_inside")
 def hierarchy_invariants(t: Tables):
     """Every point is in the hierarchy once, and a theme lies in one domain."""
-    points = checkpointed(similarity.unit_vectors(t.embeddings.where("label in (2, 5)").select(F.col("vec_id").alias("id"), "embedding")))
+    points = checkpointed(similarity.unit_vectors(t.embeddings.select(F.col("vec_id").alias("id"), "embedding")))
     found = cluster.hierarchy(points, 3, 5, 0.0)
     themes = found.where("theme is not null").groupBy("theme").agg(F.count_distinct("domain").alias("d")).agg(F.coalesce(F.max("d") <= 1, F.lit(True)).alias("themes_inside"))
     return found.agg(F.count_distinct("id").alias("points")).crossJoin(themes)

@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from noema.functions import numbers as N
-from noema.functions import text as X
 from noema.operators import relational as R
 from noema.plans.registry import Tables, query
 
@@ -134,21 +133,13 @@ def corpus_violations(t: Tables):
     return R.corpus_violations(t.documents, t.labels, t.embeddings.select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
-@query("""with old as (select doc_id, source, sha256(text) as mark from documents where doc_id % 7 <> 0),
-new as (select doc_id, case when doc_id % 11 = 0 then 'moved' else source end as source, sha256(text) as mark from documents where doc_id % 5 <> 0)
-select coalesce(o.doc_id, n.doc_id) as doc_id, case when n.doc_id is null then 'deleted' when o.doc_id is null then 'added' when o.source is distinct from n.source then 'source' else 'mark' end as change
-from old o full join new n using (doc_id) where o.doc_id is null or n.doc_id is null or o.source is distinct from n.source or o.mark is distinct from n.mark""")
+@query("""with old as (select doc_id, quality as mark from labels), new as (select vec_id as doc_id, label % 2 as mark from embeddings)
+select coalesce(o.doc_id, n.doc_id) as doc_id, case when n.doc_id is null then 'deleted' when o.doc_id is null then 'added' else 'mark' end as change
+from old o full join new n using (doc_id) where o.doc_id is null or n.doc_id is null or o.mark is distinct from n.mark""")
 def retrieval_changed(t: Tables):
     """What changed between retrieval and answer: rows that came, went or differ."""
-    base = t.documents.select("doc_id", "source", F.sha2("text", 256).alias("mark"))
-    old = base.where("doc_id % 7 <> 0").toDF("id", "old_source", "old_mark")
-    new = base.where("doc_id % 5 <> 0").withColumn("source", F.when(F.col("doc_id") % 11 == 0, "moved").otherwise(F.col("source")))
-    both = old.join(new, old.id == new.doc_id, "full_outer")
-    change = (
-        F.when(F.col("doc_id").isNull(), "deleted").when(F.col("id").isNull(), "added")
-        .when(~F.col("old_source").eqNullSafe(F.col("source")), "source").when(~F.col("old_mark").eqNullSafe(F.col("mark")), "mark")
-    )
-    return both.withColumn("change", change).where("change is not null").select(F.coalesce("id", "doc_id").alias("doc_id"), "change")
+    old, new = t.labels.select("doc_id", F.col("quality").alias("mark")), t.embeddings.select(F.col("vec_id").alias("doc_id"), (F.col("label") % 2).alias("mark"))
+    return R.changes(old, new, "doc_id", "mark").select("doc_id", "change")
 
 
 @query("""with e as (select distinct p_brand as tag from part where p_size < 10), w as (select distinct p_brand as tag from part)
@@ -158,12 +149,13 @@ def tag_get_or_create(t: Tables):
     return R.get_or_create(brands.where("p_size < 10").select("tag"), brands.select("tag"), "tag")
 
 
-@query("""select vec_id, coalesce(n.label, e.label) as label from embeddings e left join (select vec_id, label + 100 as label from embeddings where vec_id % 3 = 0) n using (vec_id)""")
+@query("""select coalesce(e.vec_id, l.doc_id) as vec_id, coalesce(l.quality + 100, e.label)::int as label from embeddings e full join labels l on l.doc_id = e.vec_id""")
 def upsert_points(t: Tables):
     """Points by id, the last written wins."""
-    rows = t.embeddings.select("vec_id", "label", F.lit(0).alias("version"))
-    new = rows.where("vec_id % 3 = 0").withColumn("label", F.col("label") + 100)
-    return R.upsert_latest(rows, new.unionByName(new.withColumn("label", F.lit(-1)).withColumn("version", F.lit(-1))), "vec_id").select("vec_id", "label")
+    rows = t.embeddings.select("vec_id", F.col("label").cast("int").alias("label"), F.lit(0).alias("version"))
+    new = t.labels.select(F.col("doc_id").alias("vec_id"), (F.col("quality") + 100).cast("int").alias("label"), F.lit(0).alias("version"))
+    stale = new.withColumn("label", F.lit(-1)).withColumn("version", F.lit(-1))
+    return R.upsert_latest(rows, new.unionByName(stale), "vec_id").select("vec_id", "label")
 
 
 @query("select vec_id, label from embeddings where vec_id in (select doc_id from labels where toxic = 1)")
@@ -178,13 +170,13 @@ def vector_checks(t: Tables):
 
 
 @query("""select o.o_orderkey, count(l.l_orderkey) as lines, coalesce(string_agg(l.l_linenumber::varchar, ',' order by l.l_linenumber, l.l_partkey), '') as numbers
-from orders o left join lineitem l on l.l_orderkey = o.o_orderkey where o.o_orderkey < 3000 group by 1""")
+from orders o left join lineitem l on l.l_orderkey = o.o_orderkey group by 1""")
 def eager_children(t: Tables):
     """A parent with its children as one value."""
-    lines = t.lineitem.where("l_orderkey < 3000").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count("*").alias("lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_linenumber"].cast("string")), ",").alias("numbers"),
     )
-    return t.orders.where("o_orderkey < 3000").select("o_orderkey").join(lines, "o_orderkey", "left").select("o_orderkey", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("numbers", F.lit("")).alias("numbers"))
+    return t.orders.select("o_orderkey").join(lines, "o_orderkey", "left").select("o_orderkey", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("numbers", F.lit("")).alias("numbers"))
 
 
 @query("""select 'quality' as rule, count(*) filter (where not (quality in (0, 1))) as rows from labels union all select 'toxic', count(*) filter (where not (toxic in (0, 1))) from labels
@@ -198,10 +190,10 @@ def unique_violations(t: Tables):
     return R.duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
-@query("select 'part' as kind, p_partkey::varchar as id, p_name as label from part where p_size = 7 union all select 'nation', n_nationkey::varchar, n_name from nation")
+@query("select 'part' as kind, p_partkey::varchar as id, p_name as label from part union all select 'nation', n_nationkey::varchar, n_name from nation")
 def union_kinds(t: Tables):
     """Two sources as one typed stream."""
-    parts = t.part.where("p_size = 7").select(F.lit("part").alias("kind"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("label"))
+    parts = t.part.select(F.lit("part").alias("kind"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("label"))
     return parts.unionByName(t.nation.select(F.lit("nation").alias("kind"), F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("label")))
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from noema.functions import numbers as N
 from noema.functions import text as X
 from noema.operators import chunking, knowledge
+from noema.operators.lineage import checkpointed
 from noema.plans.registry import Tables, query
 from noema.sources import subtitles
 
@@ -93,16 +95,14 @@ def client_search_score(t: Tables):
     return knowledge.client_search(items, "ring", 40).select("id", "label", "score")
 
 
-@query("""with r as (select doc_id, text, row_number() over (order by n_chars desc, doc_id) as rank from documents where n_chars < 2500), s as (select *, sum(length(text) + 2) over (order by rank) - 2 + 20 as size from r where rank <= 8)
-select doc_id, 'K' || rank as reference, size::bigint as size from s where size <= 10000""")
+@query("""with r as (select doc_id, text, row_number() over (order by md5(text), doc_id) as rank from documents where text is not null), s as (select *, sum(length(text) + 2) over (order by rank) - 2 + 20 as size from r where rank <= 8)
+select doc_id, 'K' || rank as reference, size::bigint as size from s where size <= 60000""")
 def context_prefix(t: Tables):
-    """Ranked blocks that fit a budget of 10,000 characters with 20 of framing."""
-    ranked = t.documents.where("n_chars < 2500").orderBy(F.col("n_chars").desc(), "doc_id").limit(8)
-    from pyspark.sql.window import Window
-
-    rank = F.row_number().over(Window.orderBy(F.col("n_chars").desc(), "doc_id"))  # eight rows
-    blocks = ranked.select("doc_id", rank.alias("rank"), F.col("text").alias("block"))
-    kept = knowledge.context_prefix(blocks, 10_000, 20, 8).join(blocks.select("rank", "doc_id"), "rank")
+    """Of eight ranked blocks those that fit a budget of 60,000 characters with 20 of framing."""
+    ranked = t.documents.where("text is not null").select("doc_id", "text", F.md5("text").alias("mark")).orderBy("mark", "doc_id").limit(8)
+    rank = F.row_number().over(Window.orderBy("mark", "doc_id"))  # eight rows
+    blocks = checkpointed(ranked.select("doc_id", rank.alias("rank"), F.col("text").alias("block")))
+    kept = knowledge.context_prefix(blocks, 60_000, 20, 8).join(blocks.select("rank", "doc_id"), "rank")
     size = F.sum(F.length("block") + 2).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) - 2 + 20
     return kept.select("doc_id", "reference", size.alias("size"))
 
@@ -242,8 +242,6 @@ def chunk_text_invariants(t: Tables):
     """Passages are exact parts of the text, within the limit, in order and apart."""
     limits = chunking.Limits(target=60, most=90)
     parts = chunking.chunk_texts(t.documents, limits).alias("p").join(t.documents.select("doc_id", F.col("text").alias("whole")), "doc_id")
-    from pyspark.sql.window import Window
-
     before = F.lag("char_end").over(Window.partitionBy("doc_id").orderBy("passage"))
     checked = parts.withColumn("before", before)
     return checked.groupBy("doc_id").agg(
