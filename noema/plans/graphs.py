@@ -234,22 +234,30 @@ def pca_invariants(t: Tables):
     return spread.select(F.lit(straight).alias("orthonormal"), falling.alias("falling"))
 
 
+def _groups(t: Tables):
+    """Mean vectors of the labels: where the dendrogram begins, so that its rounds don't grow with the points."""
+    means = similarity.mean_vectors(_labelled(t), "grp")
+    return checkpointed(means.select(F.col("grp").cast("long").alias("id"), F.col("mean").alias("u"), "members"))
+
+
 @query("select (select count(*) from embeddings) as points, 4::bigint as groups, true as sizes_add_up")
 def partition_choice(t: Tables):
-    """A cut of the average-linkage dendrogram into four groups is a partition."""
-    points = similarity.unit_vectors(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"))
-    labels = cluster.cut(points, cluster.average_linkage(points), 4)
-    sizes = labels.groupBy("grp").agg(F.count("*").alias("n"), F.count_distinct("id").alias("d"))
+    """A cut of the average-linkage dendrogram into four groups is a partition of all points."""
+    start = _groups(t)
+    labels = cluster.cut(start, cluster.average_linkage(start), 4).withColumnRenamed("id", "label")
+    members = t.embeddings.select("vec_id", F.col("label").cast("long").alias("label")).join(labels, "label")
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("d"))
     return sizes.agg(F.sum("n").alias("points"), F.count("*").alias("groups"), (F.sum("n") == F.sum("d")).alias("sizes_add_up"))
 
 
 @query("select (select count(*) from embeddings) as points, true as themes_inside")
 def hierarchy_invariants(t: Tables):
     """Every point is in the hierarchy once, and a theme lies in one domain."""
-    points = checkpointed(similarity.unit_vectors(t.embeddings.select(F.col("vec_id").alias("id"), "embedding")))
-    found = cluster.hierarchy(points, 3, 5, 0.0)
+    start = _groups(t).withColumn("u", N.unit(F.col("u")))
+    found = checkpointed(cluster.hierarchy(start, 3, 2, -1.0))
     themes = found.where("theme is not null").groupBy("theme").agg(F.count_distinct("domain").alias("d")).agg(F.coalesce(F.max("d") <= 1, F.lit(True)).alias("themes_inside"))
-    return found.agg(F.count_distinct("id").alias("points")).crossJoin(themes)
+    placed = t.embeddings.select("vec_id", F.col("label").cast("long").alias("id")).join(found, "id")
+    return placed.agg(F.count("vec_id").alias("points")).crossJoin(themes)  # one row each
 
 
 def _tree(t: Tables):
