@@ -247,11 +247,44 @@ def _pick(x: Inputs, chosen: np.ndarray) -> Inputs:
     return Inputs(x.words[used - 1], x.grams[own], number[x.gram_owner[own] + 1] - 1, number[x.ids[chosen]], x.doc[chosen], len(used))
 
 
+def evidence(rows: np.ndarray, docs: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+    """Signed root of the likelihood ratio statistic of each table row's document frequencies in the two classes, less
+    what chance gives to a row seen in a few texts only."""
+    pairs = np.unique(rows * np.int64(len(labels)) + docs)
+    rows, toxic = pairs // len(labels), labels[pairs % len(labels)] == 1
+    a, b = np.bincount(rows[toxic], minlength=size).astype(float), np.bincount(rows[~toxic], minlength=size).astype(float)
+    n1, n0 = max(1, int((labels == 1).sum())), max(1, int((labels != 1).sum()))
+    expect1, expect0 = (a + b) * n1 / (n1 + n0), (a + b) * n0 / (n1 + n0)
+    ratio = a * np.log(np.maximum(a, 1) / np.maximum(expect1, 1e-9)) + b * np.log(np.maximum(b, 1) / np.maximum(expect0, 1e-9))
+    return np.sign(a - expect1) * np.maximum(np.sqrt(2 * np.maximum(ratio, 0)) - 2.5, 0)
+
+
+def begin(net: Network, parts: list[tuple[int, Inputs]], labels: np.ndarray, settings: Settings) -> None:
+    """Word and gram vectors start with what their frequencies say in their first component, so that few texts
+    suffice to find the words that matter."""
+    words, grams = [], []
+    for first, x in parts:
+        window, place = np.nonzero(x.ids)
+        word, doc = x.ids[window, place] - 1, first + x.doc[window]
+        words.append((x.words[word], doc))
+        pairs = np.unique(word * np.int64(len(labels)) + doc)
+        word, doc = pairs // len(labels), pairs % len(labels)
+        order = np.argsort(x.gram_owner, kind="stable")
+        edge = np.searchsorted(x.gram_owner[order], np.arange(x.unique + 1))
+        n = np.diff(edge)[word]
+        at = np.repeat(edge[word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        grams.append((x.grams[order][at], np.repeat(doc, n)))
+    for name, found, scale in (("word", words, 4.0), ("gram", grams, 2.0)):
+        rows, docs = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        net.p[name][:, 0] = np.clip(evidence(rows, docs, labels, len(net.p[name])) / scale, -3, 3)
+
+
 def train(texts: pa.Array, labels: np.ndarray, settings: Settings = Settings()) -> Network:
     """A network from whole texts and labels 0 or 1, by Adam."""
     net = Network(settings)
     rng = np.random.Generator(np.random.PCG64(settings.seed + 1))
     parts = [(first, x) for first, _, x in windows(texts, settings)]
+    begin(net, parts, labels, settings)
     rate_pos = max(1e-3, float(labels.mean()))
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
@@ -259,7 +292,7 @@ def train(texts: pa.Array, labels: np.ndarray, settings: Settings = Settings())
         jobs = []
         for k, (first, x) in enumerate(parts):
             own = labels[first + x.doc]
-            if epoch < 2:
+            if epoch < 1:
                 chosen = np.arange(len(own))
             else:  # a toxic text's windows that score near its highest, and a clean text's hardest and some others
                 logit = net.logits(x)
