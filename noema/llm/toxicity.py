@@ -339,15 +339,23 @@ def calibrate(net: Network, scores: np.ndarray, labels: np.ndarray, weights: np.
     net.platt = (max(a, 1e-3), b)
 
 
-def fit(labelled: DataFrame, settings: Settings = Settings()) -> Network | None:
-    """A network from labelled(doc_id, text, toxic): a bounded hash sample of either class."""
-    rows = labelled.where(F.col("toxic").isin(0, 1) & F.col("text").isNotNull())
+def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Network | None:
+    """A network from documents(doc_id, text) and labels(doc_id, toxic): a bounded hash sample of either class.
+
+    The sample is drawn from the labels, so its ids (sample_docs a class, about) are broadcast and texts don't move.
+    """
+    rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not counts.get(0) or not counts.get(1):
         return None
     share = {c: min(1.0, settings.sample_docs / n) for c, n in counts.items()}
     picked = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, int(share[1] * 1e6) + 1).otherwise(int(share[0] * 1e6) + 1)
-    sample = rows.where(picked).select("text", "toxic", F.xxhash64("doc_id", F.lit(1)).alias("order")).toArrow().sort_by("order")
+    bound = 4 * settings.sample_docs
+    ids = F.broadcast(rows.where(picked).limit(bound))
+    found = documents.select("doc_id", "text").where("text is not null").join(ids, "doc_id")
+    sample = found.select("text", "toxic", F.xxhash64("doc_id", F.lit(1)).alias("order")).limit(bound).toArrow().sort_by("order")
+    if len(sample.column("toxic").unique()) < 2:
+        return None
     texts, labels = sample.column("text").combine_chunks(), sample.column("toxic").to_numpy().astype(np.int64)
     own = np.arange(len(labels)) % 5 != 0  # a fifth is kept from training, for the calibration
     net = train(texts.filter(pa.array(own)), labels[own], settings)
@@ -363,8 +371,7 @@ def score(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     from noema.llm.staging import Staging
 
     Staging(documents.sparkSession, "toxicity")
-    learn = labels.select("doc_id", "toxic").where(training_rows(F.col("doc_id"))).where("toxic is not null")
-    net = fit(documents.select("doc_id", "text").join(learn, "doc_id"), settings)
+    net = fit(documents, labels.where(training_rows(F.col("doc_id"))), settings)
     sent = documents.sparkSession.sparkContext.broadcast(net)  # tables of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
