@@ -79,12 +79,12 @@ def _qgrams(words: np.ndarray, q: int) -> np.ndarray:
 
 
 def walk(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int, salt: int, wanted: list[int]) -> list[np.ndarray]:
-    """The wanted coordinates of the CGK embeddings of all windows words[start:end]; zeros past the end."""
-    padded = np.append(words, np.uint64(0))
+    """The wanted coordinates of the CGK embeddings of all windows words[start:end]; zeros past the end. words ends in
+    one zero more than the windows reach."""
     at, out = starts.copy(), {}
     for step in range(steps):
         inside = at < ends
-        symbol = np.where(inside, padded[np.minimum(at, len(words))], np.uint64(0))
+        symbol = np.where(inside, words[np.minimum(at, len(words) - 1)], np.uint64(0))
         if step in wanted:
             out[step] = symbol
         key = np.uint64((0x9E3779B97F4A7C15 * (salt * 4099 + step + 1)) & (1 << 64) - 1)
@@ -97,7 +97,7 @@ class Items:
 
     def __init__(self, ids: list[int], words: list[np.ndarray], settings: Settings):
         self.settings = settings
-        self.ids, self.words = ids, words
+        self.ids, self.words, self.lists = ids, words, [w.tolist() for w in words]
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         grams = [_qgrams(w, settings.q) for w in words]
         self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, dtype=np.uint64)
@@ -109,7 +109,7 @@ class Items:
             own = np.flatnonzero([int(n).bit_length() == c for n in sizes])
             least, most = int(sizes[own].min()), int(sizes[own].max())
             need = min(int(n) - settings.q + 1 - settings.q * settings.budget(int(n)) for n in set(sizes[own].tolist()))
-            flat = np.concatenate([words[i] for i in own])
+            flat = np.concatenate([*(words[i] for i in own), np.zeros(1, dtype=np.uint64)])
             ends = np.cumsum(sizes[own])
             starts = ends - sizes[own]
             tables = []
@@ -145,6 +145,7 @@ class Items:
         if not hits[-1]:
             return none
         end_of = np.repeat(bounds[1:], np.diff(bounds))
+        words = np.append(words, np.uint64(0))
         found = []
         for span, need, tables in self.classes:
             begin = np.arange(len(hit))
@@ -198,9 +199,10 @@ def _confirmed(items: Items, words: np.ndarray, bounds: np.ndarray) -> Iterator[
             continue  # inside a place that was looked at
         lo, hi = max(bounds[row], start - m), min(bounds[row + 1], start + 3 * m + k)
         done[row, item] = start + m
-        if np.count_nonzero(np.isin(items.words[item], words[lo:hi])) < m - k:
+        wanted, there = items.lists[item], words[lo:hi].tolist()
+        if sum(map(set(there).__contains__, wanted)) < m - k:
             continue  # every word that is missing costs an edit
-        distance, where = least_distance(items.words[item].tolist(), words[lo:hi].tolist())
+        distance, where = least_distance(wanted, there)
         if distance <= k:
             best[row, item] = min(best.get((row, item), (m + 1, 0)), (distance, int(max(0, lo + where - m - bounds[row]))))
     for (row, item), (distance, start) in best.items():
