@@ -4,9 +4,10 @@ Seeds are what four fixed expressions find in the whole text: e-mail addresses,
 numbers. A seed's neighbouring words are lexical patterns: the two words before it, and the words on either side.
 Other identifier-like tokens (six characters or more with a digit or an at sign) that stand in the same patterns are
 candidates. Spark scores the graph of patterns and values in rounds: a pattern's confidence for a kind is the belief
-of the values it is seen with over their number plus one; a value's belief is that of its most confident pattern.
-Patterns count if they are confident and supported by enough different seeds, so single coincidences and copies of
-one text prove nothing. Values with high belief become new spans, and in the next round evidence for more patterns.
+in that kind of the values it is seen with over their number plus one; a value's belief in a kind is that of its most
+confident pattern. Patterns count if they are confident and supported by enough different values, seeds or discovered,
+so single coincidences and copies of one text prove nothing. Values with high belief become new spans, and in the next
+round evidence for more patterns. Beliefs only rise from round to round, and rounds end when none moves.
 
 A null or empty text has no spans. Repeated documents (same id) each get the spans of their own text. Offsets are
 code points, ends exclusive.
@@ -39,11 +40,12 @@ _OUTER = "\"'`.,;:!?()[]{}<>|*#$%&="
 
 @dataclass(frozen=True)
 class Settings:
-    rounds: int = 3
-    #: Different seed values that a pattern needs, its least confidence, and the least belief of a new value.
+    #: Different known or discovered values that a pattern needs, its least confidence, and the least belief of a new value.
     support: int = 3
     confidence: float = 0.6
     belief: float = 0.6
+    #: Rounds end when no value is new and no belief rose by more.
+    tolerance: float = 1e-6
     #: Longest candidate value and widest look for a context word, in characters.
     longest: int = 64
     reach: int = 64
@@ -150,29 +152,29 @@ def extract(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def bootstrap(seen: DataFrame, stage: Staging, settings: Settings = Settings()) -> DataFrame:
     """(value, kind, belief) of values that patterns reveal, from occurrences (kind, value, pattern)."""
     links = stage.save(seen.groupBy("pattern", "value").agg(F.max("kind").alias("seed")), "links")
-    # a pattern without enough seeds never counts: only the others stay in the graph
-    useful = links.groupBy("pattern").agg(F.count("seed").alias("seeds"), F.count("*").alias("values")).where(f"seeds >= {settings.support} and values > seeds")
+    known = stage.save(links.select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("belief")).where("kind is not null").distinct(), "known")
+    # only what can never matter goes: patterns of too few values to count, and those that have no candidate to reveal
+    useful = links.groupBy("pattern").agg(F.count("seed").alias("seeds"), F.count("*").alias("values")).where(f"values >= {settings.support} and values > seeds")
     graph = stage.save(links.join(useful.select("pattern", "values"), "pattern"), "graph")
     stage.drop(links)
-    known = graph.select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("belief")).where("kind is not null").distinct()
     found = graph.sparkSession.createDataFrame([], "value string, kind string, belief double")
-    if graph.isEmpty():
-        return found
-    for _ in range(settings.rounds):
-        beliefs = known.union(found)
+    moving = not graph.isEmpty() and not known.isEmpty()
+    while moving:
+        beliefs = known.union(found.join(known, ["value", "kind"], "left_anti"))
         confident = (
             graph.join(beliefs, "value").groupBy("pattern", "kind")
             .agg((F.sum("belief") / (F.first("values") + 1)).alias("confidence"), F.count("*").alias("support"))
             .where((F.col("confidence") >= settings.confidence) & (F.col("support") >= settings.support))
         )
         better = (
-            graph.where("seed is null").join(confident, "pattern").groupBy("value")
-            .agg(F.max(F.struct("confidence", "kind")).alias("best"))
-            .select("value", F.col("best.kind").alias("kind"), F.col("best.confidence").alias("belief"))
-            .where(F.col("belief") >= settings.belief)
+            graph.where("seed is null").join(confident, "pattern").groupBy("value", "kind")
+            .agg(F.max("confidence").alias("belief")).where(F.col("belief") >= settings.belief)
         )
-        found = stage.save(better, "found")
-    return found
+        before, found = found, stage.save(better, "found")
+        was = before.withColumnRenamed("belief", "was")
+        moving = not found.join(was, ["value", "kind"], "left").where(f"was is null or belief > was + {settings.tolerance}").isEmpty()
+        stage.drop(before)
+    return found.groupBy("value").agg(F.max(F.struct("belief", "kind")).alias("best")).select("value", "best.kind", "best.belief")
 
 
 def find(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -110,6 +110,18 @@ def test_pii_discovers_values_by_context(spark):
     assert [x["kind"] for x in rows[100]] == ["phone"]
 
 
+def test_pii_discovers_values_by_discovered_values(spark):
+    """Three generations: only the first pattern is seen with seeds, the others with what the one before revealed."""
+    seeds = [f"Please call the office number: +1 555 010 {1000 + i} today" for i in range(90)]
+    first, second, third = ([f"{name}-{i}-{7 * i}" for i in range(n)] for name, n in (("0555a", 30), ("0666b", 10), ("0777c", 3)))
+    texts = [
+        *seeds, *(f"Please call the office number: {v} today" for v in first), *(f"Reach us under {v} tonight" for v in first + second),
+        *(f"Our desk answers {v} always" for v in second + third), *(f"The batch was {i}-{i}-part made" for i in range(100, 140)),
+    ]
+    rows = [r["all_spans"] for r in pii.find(table(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert all([x["kind"] for x in r] == ["phone"] for r in rows[:-40]) and not any(rows[-40:])
+
+
 def test_html(spark):
     schema = "page_id long, url string, html string, text string"
     story = "<p>" + "A long sentence of the story goes on here. " * 8 + "</p>"
