@@ -3,7 +3,8 @@
 Seeds are what four fixed expressions find in the whole text: e-mail addresses, IP addresses, card and phone
 numbers. A seed's neighbouring words are lexical patterns: the two words before it, and the words on either side.
 Other identifier-like tokens (six characters or more with a digit or an at sign) that stand in the same patterns are
-candidates. Spark scores the graph of patterns and values in rounds: a pattern's confidence for a kind is the belief
+candidates, and so are adjacent groups with digits that spaces, dots, hyphens or brackets join, such as 0171 555 0199.
+Values of any length count; long ones stand by their hash. Of spans that lie in each other, the outer one is added. Spark scores the graph of patterns and values in rounds: a pattern's confidence for a kind is the belief
 in that kind of the values it is seen with over their number plus one; a value's belief in a kind is that of its most
 confident pattern. Patterns count if they are confident and supported by enough different values, seeds or discovered,
 so single coincidences and copies of one text prove nothing. Values with high belief become new spans, and in the next
@@ -15,6 +16,7 @@ code points, ends exclusive.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +37,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S+")
+# groups that hold a digit each, with what may stand between them; starts only where a run of letters and digits does
+_GROUPS = re.compile(r"(?<![0-9A-Za-z])[+(\[]{0,2}[A-Za-z]*+[0-9][0-9A-Za-z]*+(?:[ ().\[\]-]{1,3}[A-Za-z]*+[0-9][0-9A-Za-z]*+)+")
 _OUTER = "\"'`.,;:!?()[]{}<>|*#$%&="
 
 
@@ -46,7 +50,7 @@ class Settings:
     belief: float = 0.6
     #: Rounds end when no value is new and no belief rose by more.
     tolerance: float = 1e-6
-    #: Longest candidate value and widest look for a context word, in characters.
+    #: Longest value that is kept as it is (others by their hash) and widest look for a context word, in characters.
     longest: int = 64
     reach: int = 64
 
@@ -96,20 +100,40 @@ def contexts(text: str, start: int, end: int, reach: int) -> list[str]:
     return [f"{left[0]} {left[1]} _", f"{left[1]} _ {right[0] if right else '$'}"]
 
 
+def identity(value: str, longest: int) -> str:
+    """What tells values apart: the value, or the hash of all of it where it is long."""
+    return value if len(value) <= longest else hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def grouped(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans of joined groups with digits between the spans that are taken."""
+    at = 0
+    for begin, until in [*taken, (len(text), len(text))]:
+        for m in _GROUPS.finditer(text, at, begin) if begin - at >= 6 else ():
+            start, end = m.span()
+            # a bracket that closes after the groups, or not at all, isn't part of them
+            while text[start] in "([" and ")]"["([".index(text[start])] not in m.group():
+                start += 1
+            if end - start >= 6:
+                yield start, end
+        at = max(at, until)
+
+
 def occurrences(text: str, spans: list[tuple[str, int, int]], settings: Settings) -> list[tuple]:
-    """(kind or None, start, end, value, pattern) of seeds and of candidate tokens."""
+    """(kind or None, start, end, value, pattern) of seeds and of candidate tokens and groups."""
     out = []
     for kind, start, end in spans:
-        value = text[start : min(end, start + settings.longest)]
+        value = identity(text[start:end], settings.longest)
         out += [(kind, start, end, value, p) for p in contexts(text, start, end, settings.reach)]
     taken = sorted((s, e) for _, s, e in spans)
+    candidates = set(grouped(text, taken))
     k = 0
     for m in _TOKEN.finditer(text):
         token = m.group()
         if len(token) < 6 or not ("@" in token or _DIGIT.search(token)):
             continue
         core = token.strip(_OUTER)
-        if not 6 <= len(core) <= settings.longest:
+        if len(core) < 6:
             continue
         start = m.start() + token.index(core)
         end = start + len(core)
@@ -117,7 +141,10 @@ def occurrences(text: str, spans: list[tuple[str, int, int]], settings: Settings
             k += 1
         if k < len(taken) and taken[k][0] < end:
             continue
-        out += [(None, start, end, core, p) for p in contexts(text, start, end, settings.reach)]
+        candidates.add((start, end))
+    for start, end in sorted(candidates):
+        value = identity(text[start:end], settings.longest)
+        out += [(None, start, end, value, p) for p in contexts(text, start, end, settings.reach)]
     return out
 
 
@@ -187,6 +214,8 @@ def find(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
         seen.where("kind is null").select("doc_id", "part", "start", "end", "value").distinct()
         .join(found.select("value", F.col("kind").alias("new_kind")), "value")
         .groupBy("doc_id", "part").agg(F.collect_list(F.struct(F.col("new_kind").alias("kind"), "start", "end")).alias("added"))
+        # a span in a longer one says nothing new
+        .withColumn("added", F.expr("filter(added, x -> not exists(added, y -> y.start <= x.start and y.end >= x.end and y.end - y.start > x.end - x.start))"))
     )
     added = added.select(F.col("doc_id").alias("_id"), F.col("part").alias("_part"), "added")
     joined = rows.drop("seen").join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("part").eqNullSafe(F.col("_part")), "left")

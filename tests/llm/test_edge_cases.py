@@ -122,6 +122,22 @@ def test_pii_discovers_values_by_discovered_values(spark):
     assert all([x["kind"] for x in r] == ["phone"] for r in rows[:-40]) and not any(rows[-40:])
 
 
+def test_pii_discovers_numbers_in_groups_and_long_values(spark):
+    known = [f"Please call the office number: +1 555 010 {1000 + i} today" for i in range(40)]
+    hidden = ["0171 555 0199", "555 010 1234", "(555) 010-1234", "0171.555 0198", "A12 345 678", "x" * 70 + "1"]
+    texts = [*known, *(f"Please call the office number: {v} today" for v in hidden)]
+    docs = table(spark, list(enumerate(texts)))
+    clean = [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()]
+    assert set(clean) == {"Please call the office number: <PHONE> today"}
+    spans = [r["all_spans"] for r in pii.find(docs).orderBy("doc_id").collect()][len(known) :]
+    assert [[(x["kind"], x["start"], x["end"]) for x in r] for r in spans] == [[("phone", 31, 31 + len(v))] for v in hidden]
+
+
+def test_pii_tells_long_values_apart():
+    texts = ["a" * 80 + f"{i}@example.org" for i in range(3)]
+    assert len({o[3] for t in texts for o in pii.occurrences(t, pii.base_spans(t), pii.Settings())}) == 3
+
+
 def test_html(spark):
     schema = "page_id long, url string, html string, text string"
     story = "<p>" + "A long sentence of the story goes on here. " * 8 + "</p>"
