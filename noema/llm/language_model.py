@@ -7,8 +7,10 @@ state, times that of the token in its class: a second softmax on the state for t
 corpus for the tail, with one place for an unseen token in each tail class. The probabilities of all tokens and
 these places add up to one.
 
-The network is trained in numpy by truncated backpropagation on a bounded hash sample of training texts; the state
-goes on from window to window, in training as in scoring, and is zero where a text begins. Scoring reads whole texts
+The network is trained in numpy by truncated backpropagation; the state goes on from window to window, in training as
+in scoring, and is zero where a text begins. It starts on the driver with a bounded hash sample of training texts and
+then learns from all of them: each text belongs to one round, in which every task goes on from the common network with
+the texts of its own partition, and the networks of all tasks are averaged, weighted by their tokens. Scoring reads whole texts
 of any length; a task scores many texts in step, so that few long ones don't leave it with small matrices.
 
 Counts of the most frequent tokens are broadcast (known_tokens of them at most); those of rarer ones are joined.
@@ -18,8 +20,9 @@ ignored. Without training texts all probabilities are those of an untrained netw
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +45,17 @@ class Settings:
     hidden: int = 16
     width: int = 16
     window: int = 32
-    #: Training: texts of the sample (about), words of it at most about, parallel streams, passes, step size.
+    #: Start of training: texts of the sample (about), parallel streams, passes, step size.
     sample_docs: int = 800
     streams: int = 64
     epochs: int = 3
     rate: float = 0.01
+    #: Training on all texts: rounds, each with its share of them, parallel streams in a task, step size.
+    rounds: int = 3
+    task_streams: int = 256
+    task_rate: float = 0.01
     known_tokens: int = 200_000
-    #: Text bytes that a task scores in step.
+    #: Text bytes that a task scores, or learns from, in step.
     group_bytes: int = 12_000_000
     seed: int = 3
 
@@ -128,6 +135,21 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+class Adam:
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
+        self.turn = 0
+
+    def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
+        self.turn += 1
+        for k, value in g.items():
+            m, v = self.moment[k]
+            value = np.clip(value, -0.5, 0.5)
+            m += 0.1 * (value - m)
+            v += 0.01 * (value * value - v)
+            p[k] -= (rate * (m / (1 - 0.9**self.turn)) / (np.sqrt(v / (1 - 0.99**self.turn)) + 1e-8)).astype(F32)
+
+
 class Network:
     """Input ids: head tokens by rank, then tail classes, then the beginning of a text."""
 
@@ -210,78 +232,72 @@ class Network:
         return out
 
     def train(self, ids: np.ndarray, bounds: np.ndarray) -> None:
-        """Truncated backpropagation over streams of texts; Adam."""
+        """Some passes over texts, with a falling step size."""
+        s, adam = self.s, Adam(self.p)
+        for epoch in range(s.epochs if len(ids) else 0):
+            self.learn(ids, bounds, s.streams, s.rate * (1 - 0.7 * epoch / s.epochs), adam)
+
+    def learn(self, ids: np.ndarray, bounds: np.ndarray, streams: int, rate: float, adam: Adam) -> None:
+        """One pass of truncated backpropagation over streams of texts."""
         s, h = self.s, self.s.hidden
-        if not len(ids):
-            return
         fresh = np.zeros(len(ids), dtype=bool)
         fresh[bounds[:-1]] = True
         before = np.where(fresh, self.begin, np.roll(ids, 1))
-        length = max(s.window, -(-len(ids) // s.streams))
-        take = np.arange(s.streams)[:, None] * length + np.arange(length)
+        length = max(s.window, -(-len(ids) // streams))
+        take = np.arange(streams)[:, None] * length + np.arange(length)
         real = take < len(ids)
         take = np.minimum(take, len(ids) - 1)
         ids, before, fresh = ids[take], before[take], fresh[take]
-        moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        turn = 0
-        for epoch in range(s.epochs):
-            state = np.zeros((s.streams, h), F32)
-            for base in range(0, length, s.window):
-                part = slice(base, min(base + s.window, length))
-                x_ids, y, new_text, valid = before[:, part], ids[:, part], fresh[:, part], real[:, part]
-                steps = x_ids.shape[1]
-                inputs = self.p["e"][x_ids] @ self.p["wx"] + self.p["bx"]
-                tape, states = [], np.zeros((steps, s.streams, h), F32)
-                for t in range(steps):
-                    state = np.where(new_text[:, t : t + 1], F32(0), state)
-                    was = state
-                    state, *parts = self.step(inputs[:, t], state)
-                    tape.append((was, *parts))
-                    states[t] = state
-                flat, target, on = states.reshape(-1, h), y.T.ravel(), valid.T.ravel()
-                note: list = []
-                self.log_probabilities(flat, target, note)
-                kind, top, inner = note[0]
-                count = max(1, int(on.sum()))
-                d_top = np.exp(top)
-                d_top[np.arange(len(kind)), kind] -= 1
-                d_top *= (on / count)[:, None].astype(F32)
-                g = {k: np.zeros_like(v) for k, v in self.p.items()}
-                g["wc"], g["bc"] = flat.T @ d_top, d_top.sum(0)
-                d_flat = d_top @ self.p["wc"].T
-                for c, own, spot, low in inner:
-                    d_low = np.exp(low)
-                    d_low[np.arange(len(own)), spot] -= 1
-                    d_low *= (on[own] / count)[:, None].astype(F32)
-                    g["wi"][c], g["bi"][c] = flat[own].T @ d_low, d_low.sum(0)
-                    d_flat[own] += d_low @ self.p["wi"][c].T
-                d_states = d_flat.reshape(steps, s.streams, h)
-                d_state = np.zeros((s.streams, h), F32)
-                d_inputs = np.zeros((steps, s.streams, 3 * h), F32)
-                for t in range(steps - 1, -1, -1):
-                    was, z, r, new, rec_n = tape[t]
-                    d_state = d_state + d_states[t]
-                    d_new = d_state * (1 - z) * (1 - new**2)
-                    d_z = d_state * (was - new) * z * (1 - z)
-                    d_r = d_new * rec_n * r * (1 - r)
-                    d_rec = np.concatenate([d_z, d_r, d_new * r], 1)
-                    d_inputs[t] = np.concatenate([d_z, d_r, d_new], 1)
-                    g["u"] += was.T @ d_rec
-                    d_state = (d_state * z + d_rec @ self.p["u"].T) * ~new_text[:, t : t + 1]
-                rows = d_inputs.reshape(-1, 3 * h)
-                x_flat = x_ids.T.ravel()
-                g["bx"], g["wx"] = rows.sum(0), self.p["e"][x_flat].T @ rows
-                d_e = rows @ self.p["wx"].T
-                for j in range(s.width):
-                    g["e"][:, j] = np.bincount(x_flat, weights=d_e[:, j], minlength=len(g["e"]))
-                turn += 1
-                rate = s.rate * (1 - 0.7 * epoch / s.epochs)
-                for k, value in g.items():
-                    m, v = moment[k]
-                    value = np.clip(value, -0.5, 0.5)
-                    m += 0.1 * (value - m)
-                    v += 0.01 * (value * value - v)
-                    self.p[k] -= (rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)).astype(F32)
+        state = np.zeros((streams, h), F32)
+        for base in range(0, length, s.window):
+            part = slice(base, min(base + s.window, length))
+            x_ids, y, new_text, valid = before[:, part], ids[:, part], fresh[:, part], real[:, part]
+            steps = x_ids.shape[1]
+            inputs = self.p["e"][x_ids] @ self.p["wx"] + self.p["bx"]
+            tape, states = [], np.zeros((steps, streams, h), F32)
+            for t in range(steps):
+                state = np.where(new_text[:, t : t + 1], F32(0), state)
+                was = state
+                state, *parts = self.step(inputs[:, t], state)
+                tape.append((was, *parts))
+                states[t] = state
+            flat, target, on = states.reshape(-1, h), y.T.ravel(), valid.T.ravel()
+            note: list = []
+            self.log_probabilities(flat, target, note)
+            kind, top, inner = note[0]
+            count = max(1, int(on.sum()))
+            d_top = np.exp(top)
+            d_top[np.arange(len(kind)), kind] -= 1
+            d_top *= (on / count)[:, None].astype(F32)
+            g = {k: np.zeros_like(v) for k, v in self.p.items()}
+            g["wc"], g["bc"] = flat.T @ d_top, d_top.sum(0)
+            d_flat = d_top @ self.p["wc"].T
+            for c, own, spot, low in inner:
+                d_low = np.exp(low)
+                d_low[np.arange(len(own)), spot] -= 1
+                d_low *= (on[own] / count)[:, None].astype(F32)
+                g["wi"][c], g["bi"][c] = flat[own].T @ d_low, d_low.sum(0)
+                d_flat[own] += d_low @ self.p["wi"][c].T
+            d_states = d_flat.reshape(steps, streams, h)
+            d_state = np.zeros((streams, h), F32)
+            d_inputs = np.zeros((steps, streams, 3 * h), F32)
+            for t in range(steps - 1, -1, -1):
+                was, z, r, new, rec_n = tape[t]
+                d_state = d_state + d_states[t]
+                d_new = d_state * (1 - z) * (1 - new**2)
+                d_z = d_state * (was - new) * z * (1 - z)
+                d_r = d_new * rec_n * r * (1 - r)
+                d_rec = np.concatenate([d_z, d_r, d_new * r], 1)
+                d_inputs[t] = np.concatenate([d_z, d_r, d_new], 1)
+                g["u"] += was.T @ d_rec
+                d_state = (d_state * z + d_rec @ self.p["u"].T) * ~new_text[:, t : t + 1]
+            rows = d_inputs.reshape(-1, 3 * h)
+            x_flat = x_ids.T.ravel()
+            g["bx"], g["wx"] = rows.sum(0), self.p["e"][x_flat].T @ rows
+            d_e = rows @ self.p["wx"].T
+            for j in range(s.width):
+                g["e"][:, j] = np.bincount(x_flat, weights=d_e[:, j], minlength=len(g["e"]))
+            adam.step(self.p, g, rate)
 
 
 @dataclass
@@ -330,9 +346,62 @@ def fit(training: DataFrame, counts: DataFrame, settings: Settings = Settings())
         ids.append(model.ids(hashes, classes))
         sizes += np.diff(bounds).tolist()
     model.net.train(np.concatenate(ids), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+    for turn in range(s.rounds):
+        own = training.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(s.rounds)) == turn)
+        average(own, model, s.task_rate * (1 - 0.7 * turn / s.rounds))
     return model
 
 
+def average(training: DataFrame, model: Model, rate: float) -> int:
+    """Replace the network by the mean of those that tasks make of it with all texts of their partitions; the number
+    of tokens learned from."""
+    s, net = model.settings, model.net
+    none = np.zeros(0)
+    context = training.sparkSession.sparkContext
+    sent = context.broadcast(replace(model, known=none, known_log=none))  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = sent.value
+        own = copy.deepcopy(m.net)
+        adam, total = Adam(own.p), 0
+
+        def learn(held: list[pa.RecordBatch]) -> int:
+            ids, sizes = [], []
+            for batch in held:
+                for _, _, hashes, classes, bounds in tokens(batch.column("text"), s.tail_classes):
+                    ids.append(m.ids(hashes, classes))
+                    sizes += np.diff(bounds).tolist()
+            own.learn(np.concatenate(ids), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), s.task_streams, rate, adam)
+            return sum(sizes)
+
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= s.group_bytes:
+                total += learn(held)
+                held, size = [], 0
+        if held:
+            total += learn(held)
+        if total:
+            flat = np.concatenate([own.p[k].ravel() for k in sorted(own.p)]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * total), pa.array(np.full(len(flat), total, dtype=np.int64))], ["at", "x", "n"]
+            )
+
+    made = training.select("text").mapInArrow(run, "at int, x double, n long")
+    sums = made.groupBy("at").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toPandas().sort_values("at")  # a row a parameter
+    sent.destroy()
+    if not len(sums):
+        return 0
+    flat, at = (sums["x"] / sums["n"]).to_numpy(), 0
+    for k in sorted(net.p):
+        net.p[k] = flat[at : at + net.p[k].size].reshape(net.p[k].shape).astype(F32)
+        at += net.p[k].size
+    return int(sums["n"].iloc[0])
+
+
 def score(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = documents.sparkSession

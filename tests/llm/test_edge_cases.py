@@ -76,6 +76,16 @@ def test_language_model(docs, none):
     assert language_model.score(none).count() == 0
 
 
+def test_language_model_learns_from_all_texts(spark, monkeypatch):
+    rows = table(spark, [(i, " ".join(WORDS[i : i + 20])) for i in range(300)]).repartition(3)
+    made, average = [], language_model.average
+    monkeypatch.setattr(language_model, "average", lambda *a: made.append(average(*a)))
+    settings = language_model.Settings(sample_docs=20)
+    training = rows.where(language_model.training_rows(rows.doc_id))
+    model = language_model.fit(training, language_model.count_tokens(training, settings), settings)
+    assert sum(made) == model.total == 21 * training.count()
+
+
 def test_pieces(docs, none):
     import public_tokenizers
 
