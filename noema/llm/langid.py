@@ -4,7 +4,7 @@ Each language has a character model of order four. Counts of every training text
 estimates follow from them on the driver, whose tables are bounded by the alphabet (64 symbols), not by the
 corpus. Four-grams sit in one sorted array of keys with one column of log probabilities per language; lower
 orders are dense. A text gets the language of the lowest cross-entropy per character. A text whose best
-cross-entropy is above what the language's own training texts reach (a calibrated quantile) is rejected.
+cross-entropy is above what the language's own training texts reach (a quantile over all of them) is rejected.
 
 Null texts, empty texts and texts without a letter get ``und`` with score 0 and are rejected. Rows with a null
 language or text teach nothing. Without training rows every text is ``und``. Repeated rows are scored alike.
@@ -32,8 +32,6 @@ _CODE[0xF7] = 0
 @dataclass(frozen=True)
 class Settings:
     discount: float = 0.75
-    #: Training texts per run, at most about, on which the rejection bound is calibrated.
-    calibration_rows: int = 4000
     #: Quantile of the training cross-entropy and slack in nats per character above it.
     quantile: float = 0.999
     slack: float = 0.35
@@ -205,12 +203,11 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
     )
     if not model.langs:
         return model
-    share = min(1.0, settings.calibration_rows / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    # over all training texts; one number a language is collected
     bounds = {
         r["lang_pred"]: r["bound"]
-        for r in score(sample, model, settings).where("lang_pred = lang")
-        .groupBy("lang_pred").agg(F.expr(f"percentile_approx(cross_entropy, {settings.quantile})").alias("bound")).collect()
+        for r in score(rows, model, settings).where("lang_pred = lang")
+        .groupBy("lang_pred").agg(F.expr(f"percentile_approx(cross_entropy, {settings.quantile}, 100000)").alias("bound")).collect()
     }
     widest = max(bounds.values(), default=np.inf)
     model.bound = np.array([bounds.get(x, widest) + settings.slack for x in model.langs])
