@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from noema.llm import decontaminate, langid, minhash, pieces, pii
 from noema.llm.staging import Staging
 
+#: Five words and a similarity of 0.8 or more. At 0.8 one of 24 bands of 4 is shared with probability 1 - 3e-6, and
+#: fewer than 0.6 of 96 coordinates agree with probability 3e-6.
+NEAR = minhash.Settings(percent=80, agreement=0.6)
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of an identified language; rejected ones go."""
@@ -16,7 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return minhash.keep_representatives(docs)
+    return minhash.keep_representatives(docs, NEAR)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -201,6 +201,15 @@ def test_components_of_a_long_path(spark):
     assert found == {i: 0 for i in range(301)}
 
 
+def test_pipeline_links_from_a_similarity_of_four_fifths(spark):
+    import corpus_pipeline
+
+    # 100 five-word shingles each, shared with 122 (0.82) and with 128 (0.78)
+    pairs = [(1, WORDS[:104]), (2, WORDS[:126]), (3, WORDS[500:604]), (4, WORDS[500:632])]
+    docs = table(spark, [(i, " ".join(words)) for i, words in pairs])
+    assert ids(corpus_pipeline.near_duplicates(spark, docs, "")) == [(False, i) for i in (1, 3, 4)]
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
