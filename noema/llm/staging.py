@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -15,25 +16,49 @@ SETTINGS = {
 }
 
 
+
+
+def prepare(spark: SparkSession) -> None:
+    """Set the settings of this subpackage in a session; they apply to what it runs from then on."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that the given ones don't hold (in any case)."""
+    held = {c.lower() for c in columns}
+    while f"_{name}" in held:
+        name = f"_{name}"
+    return f"_{name}"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where none is set (tests)."""
+    """The session's spark.checkpoint.dir. Only a local session may lack it (tests): it gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="noema-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 class Staging:
     """Writes frames as Parquet under one folder of its own and reads them back: cuts lineage and
-    outlives lost executors, unlike shuffle or cached blocks."""
+    outlives lost executors, unlike shuffle or cached blocks. What is left is deleted when the driver's Python ends,
+    or by close(), since a lazy result may read it until then."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-        for key, value in SETTINGS.items():
-            spark.conf.set(key, value)
+        prepare(spark)
         self._count = 0
+        atexit.register(self.close)
 
     def save(self, frame: DataFrame, name: str = "t", partition_by: str | None = None) -> DataFrame:
         self._count += 1
@@ -48,6 +73,10 @@ class Staging:
         """Delete a staged table that nothing reads any more."""
         path = getattr(frame, "_staged_path", None)
         if path:
-            jvm = self.spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+            _delete(self.spark, path)
+
+    def close(self) -> None:
+        """Delete all staged tables."""
+        atexit.unregister(self.close)
+        if self.spark.sparkContext._jsc is not None:
+            _delete(self.spark, self.root)

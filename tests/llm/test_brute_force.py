@@ -191,6 +191,25 @@ def test_op8(spark, sf_dir, documents):
         assert set(spans) <= set(found[i]["spans"].split(",")) | {""}
 
 
+#: Labelled by hand, from all that differs from base spans in the documents of the 0.1 scale: numbers of 16 digits, as
+#: the cards around them have, and values that are assigned to "token".
+UNSEEN = {"card": re.compile(r"[0-9]{16}"), "secret": re.compile(r"[0-9a-fA-F]{40}")}
+
+
+def test_op8_discovers_unseen_identifiers(spark, sf_dir):
+    from noema.llm import pii
+
+    folder = sf_dir.replace("sf0.001", "sf0.1")
+    rows = pii.find(spark.read.parquet(f"{folder}/documents.parquet")).where("size(all_spans) > size(spans)").collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    new = [(x["kind"], texts[r["doc_id"]][x["start"] : x["end"]]) for r in rows for x in r["all_spans"] if x not in r["spans"]]
+    assert len(new) >= 250
+    right = sum(bool(UNSEEN.get(kind, re.compile("$^")).fullmatch(value)) for kind, value in new)
+    assert right >= 0.99 * len(new)
+    hidden = [m.group() for t in texts.values() for m in re.finditer(r"(?<![0-9])[0-9]{16}(?![0-9])", t or "") if not _holds("card", m.group())]
+    assert {v for k, v in new if k == "card"} >= set(hidden)
+
+
 def test_op7_and_op10_on_held_out_rows(spark, sf_dir):
     folder = sf_dir.replace("sf0.001", "sf0.1")  # the smaller tables have too few labels
     rows = queries.op7_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic"), "doc_id")
