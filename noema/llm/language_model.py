@@ -13,7 +13,7 @@ then learns from all of them: each text belongs to one round, in which every tas
 the texts of its own partition, and the networks of all tasks are averaged, weighted by their tokens. Scoring reads whole texts
 of any length; a task scores many texts in step, so that few long ones don't leave it with small matrices.
 
-Counts of the most frequent tokens are broadcast (known_tokens of them at most); those of rarer ones are joined.
+The start's sample is of bounded number and size; longer texts enter in the rounds. Counts of the most frequent tokens are broadcast (known_tokens of them at most); those of rarer ones are joined.
 A null or empty text is its end token. Repeated rows are scored alike. Columns other than doc_id and text are
 ignored. Without training texts all probabilities are those of an untrained network.
 """
@@ -41,20 +41,21 @@ END = np.uint64(0x0123456789ABCDEF)
 class Settings:
     head_classes: int = 32
     class_size: int = 32
-    tail_classes: int = 64
+    tail_classes: int = 32
     hidden: int = 16
     width: int = 16
     window: int = 32
-    #: Start of training: texts of the sample (about), parallel streams, passes, step size.
+    #: Start of training: texts of the sample (about) and bytes of each at most, parallel streams, passes, step size.
     sample_docs: int = 800
+    sample_bytes: int = 1 << 15
     streams: int = 64
     epochs: int = 3
     rate: float = 0.01
     #: Training on all texts: rounds, each with its share of them, parallel streams in a task, step size.
     rounds: int = 3
-    task_streams: int = 256
+    task_streams: int = 1024
     task_rate: float = 0.01
-    known_tokens: int = 200_000
+    known_tokens: int = 1 << 16
     #: Text bytes that a task scores, or learns from, in step.
     group_bytes: int = 12_000_000
     seed: int = 3
@@ -321,11 +322,25 @@ class Model:
         return out
 
 
+def frequent(counts: DataFrame, most: int):
+    """token, class and n of the tokens above a count that at most so many tokens reach, most frequent first. Sizes are
+    tallied first (some hundred rows), so that only these tokens reach the driver, and none is sorted in one task."""
+    size = F.floor(F.log2("n") * 16)
+    least, held = None, 0
+    for row in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("tokens")).collect(), key=lambda r: -r["size"]):
+        held += row["tokens"]
+        if held > most:
+            break
+        least = row["size"]
+    top = counts.where(size >= F.lit(least)) if least is not None else counts.limit(0)
+    return top.select("token", "class", "n").toPandas().sort_values(["n", "token"], ascending=[False, True], ignore_index=True)
+
+
 def fit(training: DataFrame, counts: DataFrame, settings: Settings = Settings()) -> Model:
     """training(doc_id, text) and the counts of its tokens."""
     s = settings
     sums = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
-    top = counts.orderBy(F.desc("n"), "token").limit(s.known_tokens).toPandas()
+    top = frequent(counts, s.known_tokens)
     token, n = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
     head = token[: s.head]
     tail_n, tail_v = np.zeros(s.tail_classes), np.zeros(s.tail_classes)
@@ -340,7 +355,8 @@ def fit(training: DataFrame, counts: DataFrame, settings: Settings = Settings())
     model.net = Network(s)
     rows = max(1, training.count())
     picked = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, s.sample_docs / rows) * 1_000_000) + 1
-    sample = training.where(picked).select(F.xxhash64("doc_id", F.lit(1)).alias("order"), "text").limit(2 * s.sample_docs).toArrow().sort_by("order")
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) <= s.sample_bytes  # longer ones are learned from in the rounds
+    sample = training.where(picked & short).select(F.xxhash64("doc_id", F.lit(1)).alias("order"), "text").limit(2 * s.sample_docs).toArrow().sort_by("order")
     ids, sizes = [np.zeros(0, dtype=np.int64)], []
     for _, _, hashes, classes, bounds in tokens(sample.column("text").combine_chunks(), s.tail_classes) if len(sample) else ():
         ids.append(model.ids(hashes, classes))
