@@ -55,9 +55,9 @@ class Settings:
     rounds: int = 3
     task_streams: int = 1024
     task_rate: float = 0.01
-    known_tokens: int = 1 << 16
+    known_tokens: int = 1 << 17
     #: Text bytes that a task scores, or learns from, in step.
-    group_bytes: int = 12_000_000
+    group_bytes: int = 24_000_000
     seed: int = 3
 
     @property
@@ -128,12 +128,14 @@ def count_tokens(documents: DataFrame, settings: Settings = Settings()) -> DataF
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return F32(0.5) * np.tanh(F32(0.5) * x) + F32(0.5)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _exp(x: np.ndarray) -> np.ndarray:
+    """Exponentials of logits, and their sums by row; states lie in [-1, 1], so logits beyond the bound don't occur in
+    practice."""
+    e = np.exp(np.minimum(x, F32(60)))
+    return e, e @ np.ones(e.shape[1], F32)
 
 
 class Adam:
@@ -184,23 +186,21 @@ class Network:
         new = np.tanh(x[:, 2 * h :] + r * rec[:, 2 * h :])
         return new + z * (state - new), z, r, new, rec[:, 2 * h :]
 
-    def log_probabilities(self, states: np.ndarray, ids: np.ndarray, tape: list | None = None) -> np.ndarray:
-        """Natural log of the class's probability, and for the head of the token's in its class."""
-        kind = self.classes_of(ids)
-        top = _log_softmax(states @ self.p["wc"] + self.p["bc"])
-        out = top[np.arange(len(ids)), kind].astype(np.float64)
+    def _by_class(self, kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(class, places) of the head's classes that occur."""
         order = np.argsort(kind, kind="stable")
         edges = np.searchsorted(kind[order], np.arange(self.s.head_classes + 1))
-        inner = []
         for c in np.flatnonzero(np.diff(edges)):
-            own = order[edges[c] : edges[c + 1]]
-            low = _log_softmax(states[own] @ self.p["wi"][c] + self.p["bi"][c])
-            spot = ids[own] % self.s.class_size
-            out[own] += low[np.arange(len(own)), spot]
-            if tape is not None:
-                inner.append((c, own, spot, low))
-        if tape is not None:
-            tape.append((kind, top, inner))
+            yield c, order[edges[c] : edges[c + 1]]
+
+    def log_probabilities(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Natural log of the class's probability, and for the head of the token's in its class."""
+        kind = self.classes_of(ids)
+        top = states @ self.p["wc"] + self.p["bc"]
+        out = np.minimum(top[np.arange(len(ids)), kind], F32(60)).astype(np.float64) - np.log(_exp(top)[1])
+        for c, own in self._by_class(kind):
+            low = states[own] @ self.p["wi"][c] + self.p["bi"][c]
+            out[own] += np.minimum(low[np.arange(len(own)), ids[own] % self.s.class_size], F32(60)) - np.log(_exp(low)[1])
         return out
 
     def score(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -213,17 +213,20 @@ class Network:
         total = np.zeros(len(size))
         last = np.full(len(size), self.begin)
         w = self.s.window
+        # texts that have a token at each place
+        alive = len(size) - np.cumsum(np.bincount(size, minlength=int(size[0]) + w + 1)) if len(size) else size
+        every = np.arange(len(size))
         for base in range(0, int(size[0]) if len(size) else 0, w):
             states, targets, owners = [], [], []
             for t in range(base, base + w):
-                n = int(np.searchsorted(-size, -t, side="left"))  # texts that have a token at t
+                n = int(alive[t])
                 if not n:
                     break
                 state[:n] = self.step(inputs[last[:n]], state[:n])[0]
                 last[:n] = ids[start[:n] + t]
                 states.append(state[:n].copy())
                 targets.append(last[:n].copy())
-                owners.append(np.arange(n))
+                owners.append(every[:n])
             owner, states, targets = np.concatenate(owners), np.concatenate(states), np.concatenate(targets)
             for i in range(0, len(owner), 1 << 15):
                 part = slice(i, i + (1 << 15))
@@ -254,50 +257,50 @@ class Network:
             part = slice(base, min(base + s.window, length))
             x_ids, y, new_text, valid = before[:, part], ids[:, part], fresh[:, part], real[:, part]
             steps = x_ids.shape[1]
-            inputs = self.p["e"][x_ids] @ self.p["wx"] + self.p["bx"]
+            x_flat = x_ids.T.ravel()
+            inputs = ((self.p["e"] @ self.p["wx"] + self.p["bx"])[x_flat]).reshape(steps, streams, 3 * h)
             tape, states = [], np.zeros((steps, streams, h), F32)
             for t in range(steps):
                 state = np.where(new_text[:, t : t + 1], F32(0), state)
                 was = state
-                state, *parts = self.step(inputs[:, t], state)
+                state, *parts = self.step(inputs[t], state)
                 tape.append((was, *parts))
                 states[t] = state
             flat, target, on = states.reshape(-1, h), y.T.ravel(), valid.T.ravel()
-            note: list = []
-            self.log_probabilities(flat, target, note)
-            kind, top, inner = note[0]
-            count = max(1, int(on.sum()))
-            d_top = np.exp(top)
-            d_top[np.arange(len(kind)), kind] -= 1
-            d_top *= (on / count)[:, None].astype(F32)
+            kind = self.classes_of(target)
+            weight = (on / max(1, int(on.sum()))).astype(F32)
+            d_top, total = _exp(flat @ self.p["wc"] + self.p["bc"])
+            d_top *= (weight / total)[:, None]
+            d_top[np.arange(len(kind)), kind] -= weight
             g = {k: np.zeros_like(v) for k, v in self.p.items()}
             g["wc"], g["bc"] = flat.T @ d_top, d_top.sum(0)
             d_flat = d_top @ self.p["wc"].T
-            for c, own, spot, low in inner:
-                d_low = np.exp(low)
-                d_low[np.arange(len(own)), spot] -= 1
-                d_low *= (on[own] / count)[:, None].astype(F32)
+            for c, own in self._by_class(kind):
+                d_low, total = _exp(flat[own] @ self.p["wi"][c] + self.p["bi"][c])
+                d_low *= (weight[own] / total)[:, None]
+                d_low[np.arange(len(own)), target[own] % s.class_size] -= weight[own]
                 g["wi"][c], g["bi"][c] = flat[own].T @ d_low, d_low.sum(0)
                 d_flat[own] += d_low @ self.p["wi"][c].T
             d_states = d_flat.reshape(steps, streams, h)
             d_state = np.zeros((streams, h), F32)
-            d_inputs = np.zeros((steps, streams, 3 * h), F32)
+            d_inputs = np.empty((steps, streams, 3 * h), F32)
             for t in range(steps - 1, -1, -1):
                 was, z, r, new, rec_n = tape[t]
                 d_state = d_state + d_states[t]
                 d_new = d_state * (1 - z) * (1 - new**2)
                 d_z = d_state * (was - new) * z * (1 - z)
                 d_r = d_new * rec_n * r * (1 - r)
-                d_rec = np.concatenate([d_z, d_r, d_new * r], 1)
-                d_inputs[t] = np.concatenate([d_z, d_r, d_new], 1)
+                d_x = d_inputs[t]
+                d_x[:, :h], d_x[:, h : 2 * h], d_x[:, 2 * h :] = d_z, d_r, d_new
+                d_rec = d_x.copy()
+                d_rec[:, 2 * h :] *= r
                 g["u"] += was.T @ d_rec
                 d_state = (d_state * z + d_rec @ self.p["u"].T) * ~new_text[:, t : t + 1]
             rows = d_inputs.reshape(-1, 3 * h)
-            x_flat = x_ids.T.ravel()
             g["bx"], g["wx"] = rows.sum(0), self.p["e"][x_flat].T @ rows
             d_e = rows @ self.p["wx"].T
-            for j in range(s.width):
-                g["e"][:, j] = np.bincount(x_flat, weights=d_e[:, j], minlength=len(g["e"]))
+            at = (x_flat[:, None] * s.width + np.arange(s.width)).ravel()
+            g["e"] = np.bincount(at, weights=d_e.ravel(), minlength=g["e"].size).reshape(g["e"].shape).astype(F32)
             adam.step(self.p, g, rate)
 
 
