@@ -9,12 +9,13 @@ words up among the items' own; the number of repetitions follows from the target
 confirmed by the exact edit distance of the item within its place (bit-parallel, any length).
 
 Windows start at every word, but those that the q-gram lemma rules out (each edit spoils at most q q-grams of an
-item, so a window within budget keeps the others) are not embedded; the lemma loses nothing.
+item, so a window within budget keeps the others) are not embedded; the lemma loses nothing. Short items are filtered by
+shorter grams, so that every budget leaves at least one gram whole.
 
-The benchmark is a stated query set: it is read in blocks of at most block_items items, each broadcast and applied
-in a pass over the documents. Null or empty texts and items match nothing; items of fewer than min_words words are
-too short to be evidence and are skipped. Repeated items each report; repeated documents too. Extra columns of
-either table are ignored.
+The benchmark is a stated query set: it is read in blocks of at most block_items items, each broadcast, applied in a pass
+over the documents whose results are a table, and freed before the next one. Null or empty texts and items match nothing;
+items of any length from one word count, and of under five words only exact occurrences are within budget. Repeated
+items each report; repeated documents too. Extra columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noema.llm import textkit as K
+from noema.llm.staging import Staging, fresh
 
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
@@ -39,8 +40,8 @@ _PUNCT[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
 class Settings:
     #: Edits allowed, as a share of the item's words.
     ratio: float = 0.2
+    #: Words of a gram, where items are long enough.
     q: int = 3
-    min_words: int = 5
     #: Sampled coordinates a repetition, the least probability that one agrees within budget, and the recall aimed at.
     sampled: int = 2
     agreement: float = 0.4
@@ -49,8 +50,12 @@ class Settings:
     block_chars: int = 16_000_000
 
     def budget(self, n: int) -> int:
-        """Edits allowed in an item of n words, at most as many as leave one q-gram whole."""
-        return max(0, min(math.floor(n * self.ratio), (n - self.q) // self.q))
+        """Edits allowed in an item of n words."""
+        return math.floor(n * self.ratio)
+
+    def gram(self, n: int) -> int:
+        """The longest grams, up to q words, of which the budget leaves an item of n words one whole."""
+        return next(q for q in range(min(self.q, n), 0, -1) if q == 1 or n - q + 1 - q * self.budget(n) >= 1)
 
     @property
     def repetitions(self) -> int:
@@ -92,6 +97,27 @@ def walk(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int, sa
     return [out[step] for step in wanted]
 
 
+class Grams:
+    """The grams of q words that a block's items have, behind a coarse table of bits."""
+
+    def __init__(self, lists: list[np.ndarray], q: int):
+        self.q = q
+        self.grams = np.unique(np.concatenate([_qgrams(w, q) for w in lists]))
+        self.filter = np.zeros(1 << 20, dtype=bool)
+        self.filter[(self.grams >> np.uint64(44)).astype(np.int64)] = True
+
+    def hits(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Which places begin a gram of some item."""
+        grams = _qgrams(words, self.q)
+        hit = self.filter[(grams >> np.uint64(44)).astype(np.int64)]
+        at = np.flatnonzero(hit)
+        hit[at] = self.grams[np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)] == grams[at]
+        for back in range(1, self.q):  # a gram over the end of a row is none
+            cut = bounds[1:-1] - back
+            hit[cut[(cut >= 0) & (cut < len(hit))]] = False
+        return hit
+
+
 class Items:
     """A block of items, with one table of sampled embeddings for each length class and repetition."""
 
@@ -99,27 +125,27 @@ class Items:
         self.settings = settings
         self.ids, self.words, self.lists = ids, words, [w.tolist() for w in words]
         sizes = np.array([len(w) for w in words], dtype=np.int64)
-        grams = [_qgrams(w, settings.q) for w in words]
-        self.grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, dtype=np.uint64)
-        self.filter = np.zeros(1 << 20, dtype=bool)
-        self.filter[(self.grams >> np.uint64(44)).astype(np.int64)] = True
+        gram = np.array([settings.gram(int(n)) for n in sizes])
+        self.grams = [Grams([words[i] for i in np.flatnonzero(gram == q)], int(q)) for q in np.unique(gram)]
         rng = np.random.Generator(np.random.PCG64(7))
         self.classes = []
-        for c in sorted({int(n).bit_length() for n in sizes}):
-            own = np.flatnonzero([int(n).bit_length() == c for n in sizes])
+        for c, q in sorted({(int(n).bit_length(), int(g)) for n, g in zip(sizes, gram)}):
+            own = np.flatnonzero([int(n).bit_length() == c and g == q for n, g in zip(sizes, gram)])
             least, most = int(sizes[own].min()), int(sizes[own].max())
-            need = min(int(n) - settings.q + 1 - settings.q * settings.budget(int(n)) for n in set(sizes[own].tolist()))
+            need = min(int(n) - q + 1 - q * settings.budget(int(n)) for n in set(sizes[own].tolist()))
             flat = np.concatenate([*(words[i] for i in own), np.zeros(1, dtype=np.uint64)])
             ends = np.cumsum(sizes[own])
             starts = ends - sizes[own]
             tables = []
-            for r in range(settings.repetitions):
-                wanted = sorted(rng.choice(max(settings.sampled, least + least // 2), size=settings.sampled, replace=False).tolist())
+            for r in range(settings.repetitions if settings.budget(most) else 1):
+                # without a budget the window is the item, whose first word is at the first coordinate
+                among = max(settings.sampled, least + least // 2) if settings.budget(most) else 1
+                wanted = sorted(rng.choice(among, size=min(settings.sampled, among), replace=False).tolist())
                 salt = c * 1009 + r
                 key = self._key(walk(flat, starts, ends, wanted[-1] + 1, salt, wanted))
                 order = np.argsort(key, kind="stable")
                 tables.append((salt, wanted, key[order], own[order]))
-            self.classes.append((most + settings.budget(most), max(1, need), tables))
+            self.classes.append((most + settings.budget(most), max(1, need), q, tables))
 
     @staticmethod
     def _key(symbols: list[np.ndarray]) -> np.ndarray:
@@ -131,36 +157,30 @@ class Items:
     def candidates(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Sorted distinct (row, item, start) of the windows whose sampled coordinates agree with an item's."""
         none = np.zeros((0, 3), dtype=np.int64)
-        q = self.settings.q
-        grams = _qgrams(words, q)
-        if not len(grams) or not len(self.grams):
-            return none
-        hit = self.filter[(grams >> np.uint64(44)).astype(np.int64)]
-        at = np.flatnonzero(hit)
-        hit[at] = self.grams[np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)] == grams[at]
-        for back in range(1, q):  # a q-gram over the end of a row is none
-            cut = bounds[1:-1] - back
-            hit[cut[(cut >= 0) & (cut < len(hit))]] = False
-        hits = np.concatenate([[0], np.cumsum(hit)])
-        if not hits[-1]:
+        if not len(words):
             return none
+        hit = {g.q: g.hits(words, bounds) for g in self.grams}
+        sums = {q: np.concatenate([[0], np.cumsum(h)]) for q, h in hit.items()}
         end_of = np.repeat(bounds[1:], np.diff(bounds))
-        words = np.append(words, np.uint64(0))
+        padded = np.append(words, np.uint64(0))
         found = []
-        for span, need, tables in self.classes:
-            begin = np.arange(len(hit))
-            stop = np.minimum(np.minimum(begin + span - q + 1, end_of[: len(hit)]), len(hit))
-            starts = np.flatnonzero(hits[np.maximum(stop, begin)] - hits[:-1] >= need)
+        for span, need, q, tables in self.classes:
+            n = len(hit[q])
+            if not sums[q][-1]:
+                continue
+            begin = np.arange(n)
+            stop = np.minimum(np.minimum(begin + span - q + 1, end_of[:n]), n)
+            starts = np.flatnonzero(sums[q][np.maximum(stop, begin)] - sums[q][:-1] >= need)
             if not len(starts):
                 continue
             ends = end_of[starts]
             for salt, wanted, keys, owner in tables:
-                key = self._key(walk(words, starts, ends, wanted[-1] + 1, salt, wanted))
+                key = self._key(walk(padded, starts, ends, wanted[-1] + 1, salt, wanted))
                 lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                n = hi - lo
-                place = np.repeat(starts, n)
+                many = hi - lo
+                place = np.repeat(starts, many)
                 if len(place):
-                    item = owner[np.repeat(lo, n) + np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)]
+                    item = owner[np.repeat(lo, many) + np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)]
                     found.append(np.unique(np.stack([np.searchsorted(bounds, place, "right") - 1, item, place], 1), axis=0))
         return np.unique(np.concatenate(found), axis=0) if found else none
 
@@ -189,7 +209,7 @@ def least_distance(item: list[int], text: list[int]) -> tuple[int, int]:
 
 
 def _confirmed(items: Items, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(row, item, distance, first word of the row at about which it starts); the best place of each pair."""
+    """(row, item, distance, the word of the row at which it starts); the best place of each pair."""
     best: dict[tuple[int, int], tuple[int, int]] = {}
     done: dict[tuple[int, int], int] = {}
     for row, item, start in items.candidates(words, bounds).tolist():
@@ -204,7 +224,9 @@ def _confirmed(items: Items, words: np.ndarray, bounds: np.ndarray) -> Iterator[
             continue  # every word that is missing costs an edit
         distance, where = least_distance(wanted, there)
         if distance <= k:
-            best[row, item] = min(best.get((row, item), (m + 1, 0)), (distance, int(max(0, lo + where - m - bounds[row]))))
+            # read backwards from its end, the item ends where it starts
+            size = least_distance(wanted[::-1], there[max(0, where - m - k) : where][::-1])[1]
+            best[row, item] = min(best.get((row, item), (m + 1, 0)), (distance, int(lo + where - size - bounds[row])))
     for (row, item), (distance, start) in best.items():
         yield row, item, distance, start
 
@@ -214,7 +236,7 @@ def _blocks(benchmark: DataFrame, settings: Settings) -> Iterator[Items]:
     held_ids, held, size = [], [], 0
     for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         _, _, words, _ = next(normal_words(pa.array([row["text"]])), (0, 0, np.zeros(0, dtype=np.uint64), None))
-        if len(words) < settings.min_words:
+        if not len(words):
             continue
         held_ids.append(row["item_id"])
         held.append(words)
@@ -248,25 +270,24 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, settings: Settings =
 
         return run
 
-    source = documents.select("doc_id", "text")
-    parts = [source.mapInArrow(search(spark.sparkContext.broadcast(block)), schema) for block in _blocks(benchmark, settings)]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    source, stage, out = documents.select("doc_id", "text"), Staging(spark, "leaks"), None
+    for block in _blocks(benchmark, settings):
+        sent = spark.sparkContext.broadcast(block)
+        found = stage.save(source.mapInArrow(search(sent), schema), "found")
+        sent.destroy()
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """documents in which no benchmark item occurs; columns unchanged, no shuffle: a pass for each block of items."""
-
-    def clean(held):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, dtype=bool)
-                for first, _, words, bounds in normal_words(batch.column("text")):
-                    for row, *_ in _confirmed(held.value, words, bounds):
-                        keep[first + row] = False
-                yield batch.filter(pa.array(keep))
-
-        return run
-
-    for block in _blocks(benchmark, settings):
-        documents = documents.mapInArrow(clean(documents.sparkSession.sparkContext.broadcast(block)), documents.schema)
-    return documents
+    """documents in which no benchmark item occurs.
+
+    Columns of any name stay as they are, and rows come as often as they did; of rows with one id, each is judged by its
+    own text. Null and empty texts stay.
+    """
+    key = fresh(documents.columns, "key")
+    mark = F.xxhash64("doc_id", "text")
+    # the search sees the mark of id and text instead of the id
+    found = find_leaks(documents.select(mark.alias("doc_id"), "text"), benchmark, settings)
+    leaks = found.select(F.col("doc_id").alias(key)).distinct()
+    return documents.join(leaks, mark == F.col(key), "left_anti")

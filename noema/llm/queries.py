@@ -27,9 +27,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from noema.llm import decontaminate
-    from noema.llm.staging import Staging
 
-    Staging(spark, "leaks")
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
@@ -48,9 +46,9 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from noema.llm import pieces
-    from noema.llm.staging import Staging
+    from noema.llm.staging import prepare
 
-    Staging(spark, "pieces")
+    prepare(spark)
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode_documents(documents, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
@@ -71,9 +69,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from noema.llm import html_text
-    from noema.llm.staging import Staging
+    from noema.llm.staging import prepare
 
-    Staging(spark, "html")
+    prepare(spark)
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 

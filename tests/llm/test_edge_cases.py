@@ -63,6 +63,13 @@ def test_decontaminate(spark, docs, none):
     kept = decontaminate.without_leaks(docs, items)
     assert kept.columns == docs.columns and not {r["doc_id"] for r in kept.collect()} & {4, 5, 6, 8, 11}
     assert decontaminate.find_leaks(none, items).count() == 0 and decontaminate.find_leaks(docs, items.limit(0)).count() == 0
+    # short items count too, as they are
+    short = spark.createDataFrame([(7, "in Some"), (8, "needle"), (9, "one two three four five"), (10, "stack of hay")], "item_id long, text string")
+    texts = table(spark, [(1, "put in some, needle"), (2, "one two three for five six"), (3, "a stack of straw and hay"), (4, "in")])
+    assert {(r["doc_id"], r["item_id"], r["distance"], r["start_word"]) for r in decontaminate.find_leaks(texts, short).collect()} == {(1, 7, 0, 1), (1, 8, 0, 3), (2, 9, 1, 0)}
+    # several blocks of items give what one does
+    blocks = decontaminate.Settings(block_items=1)
+    assert sorted(decontaminate.find_leaks(texts, short, blocks).collect()) == sorted(decontaminate.find_leaks(texts, short).collect())
     # an edited copy: one word replaced, one left out, one put in
     words = PASSAGE.split()
     edited = " ".join([*words[:10], "other", *words[11:30], *words[31:50], "new", *words[50:]])
