@@ -43,9 +43,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _place(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, target = _place(spark, path)
+    system.delete(target, True)
+
+
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a pattern."""
+    system, target = _place(spark, pattern)
+    return [x.getPath().toString() for x in system.globStatus(target) or []]
 
 
 class Staging:
@@ -73,10 +84,10 @@ class Staging:
         """Delete a staged table that nothing reads any more."""
         path = getattr(frame, "_staged_path", None)
         if path:
-            _delete(self.spark, path)
+            delete(self.spark, path)
 
     def close(self) -> None:
         """Delete all staged tables."""
         atexit.unregister(self.close)
         if self.spark.sparkContext._jsc is not None:
-            _delete(self.spark, self.root)
+            delete(self.spark, self.root)
