@@ -29,14 +29,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, stage: Staging, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, stage: Staging) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 
     edges has columns a and b of one orderable type; nulls, loops and repeats count for nothing. Each round's
     edges are a staged table; the result is a star around each smallest node when a round changes nothing.
     """
     current, before = stage.save(_canonical(edges), "edges"), None
-    for _ in range(rounds):
+    while True:
         larger = stage.save(_large_star(current), "large")
         stage.drop(current)
         current = stage.save(_small_star(larger), "small")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from noema.llm import textkit as K
 from noema.llm.graph import connected_components
-from noema.llm.staging import Staging
+from noema.llm.staging import Staging, fresh
 
 
 @dataclass(frozen=True)
@@ -194,6 +194,8 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
     texts = documents.select("doc_id", "text")
     rows = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n")).alias("pivot")).where("members > 1")
+    # a table, so that a bucket of many members is an ordinary skewed partition of the join, which Spark splits
+    shared = stage.save(shared, "shared")
     members = stage.save(rows.join(shared, "bucket").select("bucket", "rep", "n", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "members")
 
     def close(x: str, y: str):
@@ -214,7 +216,8 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
         )
         sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
         main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
-        members = stage.save(placed.join(main.select("bucket", F.col("m.component").alias("main")), "bucket"), "open")
+        main = stage.save(main.select("bucket", F.col("m.component").alias("main")), "main")
+        members = stage.save(placed.join(main, "bucket"), "open")
         stage.drop(placed)
         if members.isEmpty():
             break
@@ -222,6 +225,7 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
             break
         # another pivot in each bucket that still holds several components, against the other components
         chosen = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(turn)).alias("order"), "rep", "n", "component")).alias("p"))
+        chosen = stage.save(chosen, "chosen")
         pairs = (
             members.join(chosen, "bucket").where((F.col("component") != F.col("p.component")) & close("n", "p.n"))
             .select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
@@ -248,6 +252,11 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
 
 
 def keep_representatives(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest id; columns unchanged."""
-    kept = near_duplicates(documents, settings).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One document of each near-duplicate group, that of the smallest id.
+
+    Columns of any name stay as they are. Rows that repeat an id stay or go together; null, empty and blank texts stay,
+    as do rows without an id.
+    """
+    key = fresh(documents.columns, "kept")
+    kept = near_duplicates(documents, settings).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
