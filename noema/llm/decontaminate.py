@@ -32,9 +32,6 @@ from pyspark.sql import functions as F
 from noema.llm import textkit as K
 from noema.llm.staging import Staging, fresh
 
-_PUNCT = np.zeros(256, dtype=bool)
-_PUNCT[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -70,7 +67,7 @@ def normal_words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         if len(part) > 1:  # upper-case letters of Latin-1
             high = np.flatnonzero((part[:-1] == 0xC3) & (part[1:] >= 0x80) & (part[1:] <= 0x9E) & (part[1:] != 0x97)) + 1
             part[high] += 0x20
-        keep = ~_PUNCT[part]
+        keep = ~K.PUNCTUATION[part]
         offs = np.concatenate([[0], np.cumsum(keep)])[offsets[first : last + 1] - offsets[first]]
         part = part[keep]
         starts, ends, rows = K.words(offs, part)

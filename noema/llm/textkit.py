@@ -15,6 +15,9 @@ CHUNK_BYTES = 1 << 20
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: Visible ASCII characters other than letters and digits.
+PUNCTUATION = np.zeros(256, dtype=bool)
+PUNCTUATION[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, size=256, dtype=np.uint64) * U64(2) + U64(1)

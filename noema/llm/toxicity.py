@@ -5,7 +5,7 @@ A text is cut into overlapping windows of words, all of which are scored. A word
 recognised. A gated recurrent layer in each direction reads the window; attention weighs the states into one vector
 for the output unit. A text's score is that of its highest window, calibrated on the training texts.
 
-Trained in numpy on the driver on a bounded sample of labelled texts (sample_docs a class): first all windows carry
+Trained in numpy on the driver on a bounded sample of labelled texts (sample_docs a class, of sample_bytes at most): first all windows carry
 their text's label, then a toxic text teaches by its highest windows only. Labels, language, source and id are no
 inputs. Words are lower-cased and lose ASCII punctuation.
 
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noema.llm import textkit as K
-from noema.llm.decontaminate import _PUNCT
+from noema.llm.staging import prepare
 
 F32 = np.float32
 
@@ -35,6 +35,8 @@ class Settings:
     stride: int = 24
     #: Training texts a class, at most about; the sample is by a hash of the id.
     sample_docs: int = 1000
+    #: Bytes of a training text, at most: longer ones are scored, but not drawn.
+    sample_bytes: int = 1 << 16
     word_rows: int = 1 << 13
     gram_rows: int = 1 << 14
     width: int = 8
@@ -70,7 +72,7 @@ def windows(texts: pa.Array, settings: Settings) -> Iterator[tuple[int, int, Inp
         if len(part) > 1:
             high = np.flatnonzero((part[:-1] == 0xC3) & (part[1:] >= 0x80) & (part[1:] <= 0x9E) & (part[1:] != 0x97)) + 1
             part[high] += 0x20
-        keep = ~_PUNCT[part]
+        keep = ~K.PUNCTUATION[part]
         offs = np.concatenate([[0], np.cumsum(keep)])[offsets[first : last + 1] - offsets[first]]
         part = part[keep]
         starts, ends, rows = K.words(offs, part)
@@ -352,7 +354,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
     picked = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, int(share[1] * 1e6) + 1).otherwise(int(share[0] * 1e6) + 1)
     bound = 4 * settings.sample_docs
     ids = F.broadcast(rows.where(picked).limit(bound))
-    found = documents.select("doc_id", "text").where("text is not null").join(ids, "doc_id")
+    found = documents.select("doc_id", "text").where(F.octet_length("text") <= settings.sample_bytes).join(ids, "doc_id")
     sample = found.select("text", "toxic", F.xxhash64("doc_id", F.lit(1)).alias("order")).limit(bound).toArrow().sort_by("order")
     if len(sample.column("toxic").unique()) < 2:
         return None
@@ -368,9 +370,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
 
 def score(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    from noema.llm.staging import Staging
-
-    Staging(documents.sparkSession, "toxicity")
+    prepare(documents.sparkSession)
     net = fit(documents, labels.where(training_rows(F.col("doc_id"))), settings)
     sent = documents.sparkSession.sparkContext.broadcast(net)  # tables of fixed size
 
