@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from noema.llm import decontaminate, langid, minhash, pieces, pii
-from noema.llm.staging import Staging
+from noema.llm.staging import Staging, prepare
 
 #: Five words and a similarity of 0.8 or more. At 0.8 one of 24 bands of 4 is shared with probability 1 - 3e-6, and
 #: fewer than 0.6 of 96 coordinates agree with probability 3e-6.
@@ -25,7 +25,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item occurs."""
-    Staging(spark, "leaks")
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -35,10 +34,10 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests of ids and decoded text."""
-    Staging(spark, "pieces")
+    """All columns but the text, and token ids of every document with the digests of ids and decoded text."""
+    prepare(spark)
     made = pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True)
-    return made.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return made.drop("text", "decoded")
 
 
 STAGES = [
