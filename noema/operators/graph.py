@@ -25,14 +25,15 @@ def _ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "place", "state")
 
 
-def degree_bounded(edges: DataFrame, k: int, rounds: int = 64) -> DataFrame:
+def degree_bounded(edges: DataFrame, k: int) -> DataFrame:
     """The edges that a greedy pass in order (mutual first, then score, cosine, ids) keeps if no node may have more
     than k. Rounds decide at once every edge whose two ends leave no doubt: kept if fewer than k better edges that
-    are not refused stand before it at both ends, refused if k kept ones stand before it at either end."""
+    are not refused stand before it at both ends, refused if k kept ones stand before it at either end. The best open edge
+    is always decided, so rounds go on until none is open."""
     order = F.struct((~F.col("mutual")).alias("m"), (-F.round("score", 9)).alias("s"), (-F.round("cosine", 9)).alias("c"), "a", "b")
     state = edges.withColumn("place", order).withColumn("state", F.lit(0))  # 0 open, 1 kept, 2 refused
     window = Window.partitionBy("node").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    for _ in range(rounds):
+    while True:
         ends = _ends(state).withColumn("kept", F.coalesce(F.sum((F.col("state") == 1).cast("int")).over(window), F.lit(0))).withColumn(
             "live", F.coalesce(F.sum((F.col("state") != 2).cast("int")).over(window), F.lit(0))
         )

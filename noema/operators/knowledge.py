@@ -13,12 +13,15 @@ def merge_facts(facts: DataFrame) -> DataFrame:
     """Facts(ord, title, content, tags, passage) with equal keys become one: the first title and content, all
     passages, and the first eight different tags in order."""
     keyed = facts.withColumn("key", F.sha2(F.concat(X.identity_key(F.col("title")), F.lit("\x1f"), X.identity_key(F.col("content"))), 256))
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "tags")))
-    return keyed.groupBy("key").agg(
+    merged = keyed.groupBy("key").agg(
         F.min("ord").alias("first"), F.min_by("title", "ord").alias("title"), F.min_by("content", "ord").alias("content"),
-        F.array_sort(F.collect_set("passage")).alias("passages"),
-        F.slice(F.array_distinct(F.flatten(F.transform(ordered, lambda x: x["tags"]))), 1, 8).alias("tags"), F.count("*").alias("merged"),
+        F.array_sort(F.collect_set("passage")).alias("passages"), F.count("*").alias("merged"),
     )
+    # each tag by its first place, so that a key holds different tags only
+    places = keyed.select("key", "ord", F.posexplode("tags").alias("place", "tag")).groupBy("key", "tag").agg(F.min(F.struct("ord", "place")).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("first"))
+    tags = places.withColumn("rank", rank).where("rank <= 8").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tag"))), lambda x: x["tag"]).alias("tags"))
+    return merged.join(tags, "key", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
 def _top_words(words: DataFrame, least: Column, n: int) -> DataFrame:
@@ -31,7 +34,7 @@ def _top_words(words: DataFrame, least: Column, n: int) -> DataFrame:
 
 def tag_labels(members: DataFrame) -> DataFrame:
     """(grp, label) from members(grp, tags): the two most frequent tags seen twice (once in a group of one)."""
-    sized = members.withColumn("members", F.count("*").over(Window.partitionBy("grp")))
+    sized = members.join(members.groupBy("grp").agg(F.count("*").alias("members")), "grp")
     words = sized.select("grp", "members", F.explode("tags").alias("t")).withColumn("word", X.identity_key(F.regexp_replace(X.strip(F.col("t")), "^#", ""))).where("word <> ''")
     top = _top_words(words, F.when(F.col("members") == 1, 1).otherwise(2), 2)
     return top.select("grp", F.array_join(F.transform("words", X.capitalised), " · ").alias("label"))

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
-    """frame, written to the folder of spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """frame, written to the folder of spark.checkpoint.dir; only a local session may lack it (tests), and gets a temporary one."""
     context = frame.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="noema-"))
+        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="noema-"))
     return frame.checkpoint()

@@ -1,31 +1,46 @@
-"""Closures and paths of a tree given by parent links, with recursive SQL."""
+"""Closures and paths of a tree given by parent links, level by level until nothing new is met."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from noema.operators.lineage import checkpointed
+
+
+def _levels(tree: DataFrame, start: DataFrame, step) -> Iterator[DataFrame]:
+    """The start and then each next level; a node that was met before isn't met again, so cycles end."""
+    level = checkpointed(start)
+    met = level.select("id")
+    while not level.isEmpty():
+        yield level
+        below = step(tree.select("id", "parent").join(level.withColumnRenamed("id", "parent"), "parent"))
+        level = checkpointed(below.join(met, "id", "left_anti"))
+        met = met.union(level.select("id"))
+
 
-_PATHS = """
-with recursive walk(id, root, path, depth) as (
-  select id, id, cast(id as string), 0 from {tree} where parent is null
-  union all
-  select t.id, w.root, concat(w.path, '/', t.id), w.depth + 1 from {tree} t join walk w on t.parent = w.id where w.depth < {most}
-) select id, root, path, depth from walk
-"""
-_BELOW = """
-with recursive walk(id, depth) as (
-  select id, 0 from {tree} where id = '{start}'
-  union all
-  select t.id, w.depth + 1 from {tree} t join walk w on t.parent = w.id where w.depth < {most}
-) select id, depth from walk
-"""
-
-
-def paths(tree: DataFrame, most: int = 16) -> DataFrame:
+def _union(levels: Iterator[DataFrame], empty: DataFrame) -> DataFrame:
+    out = None
+    for level in levels:
+        out = level if out is None else out.unionByName(level)
+    return empty.limit(0) if out is None else out
+
+
+def paths(tree: DataFrame) -> DataFrame:
     """(id, root, path, depth) of tree(id, parent); rows on a cycle have no root and no path."""
-    return tree.sparkSession.sql(_PATHS.format(tree="{tree}", most=most), tree=tree)
+    start = tree.where("parent is null").select("id", F.col("id").alias("root"), F.col("id").cast("string").alias("path"), F.lit(0).alias("depth"))
+    step = lambda b: b.select("id", "root", F.concat_ws("/", "path", F.col("id").cast("string")).alias("path"), (F.col("depth") + 1).alias("depth"))
+    return _union(_levels(tree, start, step), start)
+
+
+def descendants(tree: DataFrame, start: str) -> DataFrame:
+    """(id, depth) of a node and all below it, at any depth."""
+    first = tree.where(F.col("id") == start).select("id", F.lit(0).alias("depth")).distinct()
+    return _union(_levels(tree, first, lambda b: b.select("id", (F.col("depth") + 1).alias("depth"))), first)
 
 
-def descendants(tree: DataFrame, start: str, most: int = 16) -> DataFrame:
-    """(id, depth) of a node and all below it; a cycle ends at the depth bound."""
-    safe = start.replace("'", "''")
-    return tree.sparkSession.sql(_BELOW.format(tree="{tree}", most=most, start=safe), tree=tree).distinct()
+def ancestor_at(paths: DataFrame, level: int) -> DataFrame:
+    """(id, ancestor): the ancestor (or the node itself) at a level, for nodes at least so deep; of paths()."""
+    return paths.where(F.col("depth") >= level).select("id", F.get(F.split("path", "/"), F.lit(level)).alias("ancestor"))

@@ -182,10 +182,14 @@ def neighbourhood(t: Tables):
 @query(f"with {_EDGES}, l as (select list_sort(list(score)) as v from e) select round(v[(floor((len(v) - 1) * 0.6::double))::int + 1], 6) as cutoff from l")
 def edge_cutoff(t: Tables):
     """The score below which the weakest edges of a view are hidden."""
-    at = F.floor((F.col("n") - 1) * F.lit(0.6)) + 1
-    edges = _edges(t).select("score")
-    ranked = edges.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("score"))).crossJoin(F.broadcast(edges.agg(F.count("*").alias("n"))))
-    return ranked.where(F.col("r") == at).select(F.round("score", 6).alias("cutoff"))
+    # the score at a rank, from counts of different scores in ranges: only a row a range is in one task
+    scores = checkpointed(_edges(t).groupBy("score").agg(F.count("*").alias("n")).repartitionByRange("score").withColumn("part", F.spark_partition_id()))
+    sums = scores.groupBy("part").agg(F.sum("n").alias("total"))
+    before = sums.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("total").over(Window.partitionBy()).alias("all"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("score"))
+    ranked = scores.join(F.broadcast(before), "part").withColumn("upto", upto)
+    at = F.floor((F.col("all") - 1) * F.lit(0.6)) + 1
+    return ranked.where((F.col("upto") >= at) & (F.col("upto") - F.col("n") < at)).select(F.round("score", 6).alias("cutoff"))
 
 
 @query("""with c as (select 0 as o, 'cluster' as kind, label::varchar as id, 'Group ' || label as label, count(*) as size from embeddings where label < 8 group by label),

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from noema.functions import numbers as N
 from noema.operators import jobs as J
+from noema.operators.lineage import checkpointed
 from noema.plans.registry import Tables, query
 
 _JOBS = """j as (select event_id as job_id, ts as created_at, case when event_type = 'error' then 'failed' when event_id % 5 = 0 then 'pending' when event_id % 5 = 1 then 'running' else 'succeeded' end as status,
@@ -123,7 +124,9 @@ def graph_status(t: Tables):
 @query("""with l as (select *, row_number() over (order by quality desc, doc_id) - 1 as r from labels) select doc_id, r // 12 as batch from l""")
 def label_batches(t: Tables):
     """Batches of twelve in order. Numbers come from per-partition counts and offsets, not from one sorted task."""
-    rows = t.labels.repartitionByRange(4, F.col("quality").desc(), "doc_id").sortWithinPartitions(F.col("quality").desc(), "doc_id").select("doc_id", F.monotonically_increasing_id().alias("m"))
+    order = [F.col("quality").desc(), F.col("doc_id")]
+    # written once, since two evaluations may draw their ranges differently
+    rows = checkpointed(t.labels.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", F.monotonically_increasing_id().alias("m")))
     part, place = F.shiftright("m", 33), F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition

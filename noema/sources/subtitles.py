@@ -18,6 +18,11 @@ def read_files(spark, path: str, most_bytes: int) -> DataFrame:
     return files.select("path", "length", verdict.alias("verdict"), F.when(F.col("length") <= most_bytes, F.col("content")).alias("data"))
 
 
+#: What the Western 8-bit set has where ISO-8859-1 has control characters, from 80 to 9F (unused ones as
+#: they are).
+WESTERN = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+
+
 def decode(data: Column) -> Column:
     """Text of bytes: by byte order mark (the longest first), else strict UTF-8, else the Western 8-bit set; null if
     that leaves no text."""
@@ -28,7 +33,7 @@ def decode(data: Column) -> Column:
         F.when(start == "FFFE0000", part(4, "UTF-32")).when(start == "0000FEFF", part(4, "UTF-32"))
         .when(F.startswith(start, F.lit("EFBBBF")), part(3, "UTF-8"))
         .when(F.startswith(start, F.lit("FFFE")), F.decode(data, "UTF-16")).when(F.startswith(start, F.lit("FEFF")), F.decode(data, "UTF-16"))
-        .when(plain.isNotNull(), plain).otherwise(F.decode(data, "ISO-8859-1"))
+        .when(plain.isNotNull(), plain).otherwise(F.translate(F.decode(data, "ISO-8859-1"), "".join(map(chr, range(0x80, 0xA0))), WESTERN))
     )
 
 
