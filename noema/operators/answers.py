@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +72,33 @@ def listed(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(items, X.strip), lambda x: F.length(x) > 0))
 
 
+def _integer(value: Column) -> Column:
+    """A variant's integer; a truth value, a number with a point, a text or anything else is null."""
+    return F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "long"))
+
+
+def named_integers(reply: Column, names: Sequence[str]) -> list[Column]:
+    """The integers under the names of a JSON object, null where the reply or the value is anything else."""
+    found = F.try_parse_json(reply)
+    return [_integer(F.try_variant_get(found, f"$.{name}", "variant")).alias(name) for name in names]
+
+
+def counts_read(text: Column) -> Column:
+    """The integers of zero or more in a JSON object by name; an empty map if it is no object."""
+    is_object = F.startswith(F.schema_of_variant(F.try_parse_json(text)), F.lit("OBJECT"))
+    members = F.when(is_object, F.from_json(text, "map<string,variant>"))
+    empty = F.from_json(F.lit("{}"), "map<string,bigint>")
+    return F.coalesce(F.map_filter(F.transform_values(members, lambda k, v: _integer(v)), lambda k, n: n >= 0), empty)
+
+
+def ids_read(text: Column) -> Column:
+    """The UUIDs of a JSON list in order, in lower case with hyphens; other items are left out."""
+    bare = F.transform(F.from_json(text, "array<string>"), lambda x: F.lower(F.regexp_replace(x, r"urn:|uuid:|^\{+|\}+$|-", "")))
+    good = F.filter(bare, lambda x: x.rlike("^[0-9a-f]{32}$"))
+    hyphens = F.transform(good, lambda x: F.regexp_replace(x, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"))
+    return F.coalesce(hyphens, F.array().cast("array<string>"))
+
+
 def provenance_error(result_index: Column, expected: Column, references: Column, most: int) -> Column:
     """Why an analysed passage is refused, or null: its number, too many facts, or a fact (an array of places each) that
     refers to another passage."""

@@ -25,6 +25,20 @@ def recovered(jobs: DataFrame, finished: DataFrame) -> DataFrame:
     ).drop("_done")
 
 
+def finished(jobs: DataFrame, ends: DataFrame, default: str, unstored: str) -> DataFrame:
+    """jobs(job_id, stage, percent) after ends(job_id, ok, stored, message, detail): a job has succeeded only if its result
+    is stored. A failed one keeps its percent, names the stage it failed in, and its texts are cut to their columns."""
+    c = F.col
+    good = c("ok") & c("stored")
+    said = F.when(c("ok"), F.lit(unstored)).otherwise(F.coalesce(F.nullif(F.left(F.trim("message"), F.lit(4000)), F.lit("")), F.lit(default)))
+    detail = F.when(~c("ok"), F.nullif(F.left(F.trim("detail"), F.lit(4000)), F.lit("")))
+    return jobs.join(ends, "job_id").select(
+        "job_id", F.when(good, "succeeded").otherwise("failed").alias("status"), F.when(good, "completed").otherwise("failed").alias("stage"),
+        F.when(good, 100).otherwise(c("percent")).alias("percent"), F.when(~good, said).alias("error_message"),
+        F.when(~good, F.coalesce(detail, said)).alias("error_detail"), F.when(~good, F.left("stage", F.lit(64))).alias("error_stage"),
+    )
+
+
 def enqueue_once(requests: DataFrame) -> DataFrame:
     """Of requests with one key the first in time is enqueued; the others get its id and say so."""
     window = Window.partitionBy("key").orderBy("created_at", "request_id")

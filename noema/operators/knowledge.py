@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from noema.functions import text as X
+from noema.operators.relational import numbered
 
 
 def merge_facts(facts: DataFrame) -> DataFrame:
@@ -50,9 +51,10 @@ def title_labels(members: DataFrame) -> DataFrame:
 
 def fallback_labels(groups: DataFrame, tags: DataFrame, titles: DataFrame, kinds: dict[int, str], root: str) -> DataFrame:
     """(grp, level, label) of groups(grp, level): the root's name, tags, title words, or kind and number in level."""
-    number = F.row_number().over(Window.partitionBy("level").orderBy("grp"))
+    placed = numbered(groups, F.col("level"), F.col("grp"))
+    first = placed.groupBy("level").agg(F.min("number").alias("first"))
     kind = F.coalesce(*(F.when(F.col("level") == k, F.lit(v)) for k, v in kinds.items()), F.lit("Group"))
-    named = groups.withColumn("number", number).join(tags.withColumnRenamed("label", "tag_label"), "grp", "left").join(titles.withColumnRenamed("label", "title_label"), "grp", "left")
+    named = placed.join(first, "level").withColumn("number", F.col("number") - F.col("first") + 1).join(tags.withColumnRenamed("label", "tag_label"), "grp", "left").join(titles.withColumnRenamed("label", "title_label"), "grp", "left")
     label = F.when(F.col("level") == 0, F.lit(root)).otherwise(F.coalesce("tag_label", "title_label", F.concat_ws(" ", kind, F.col("number").cast("string"))))
     return named.select("grp", "level", F.left(label, F.lit(80)).alias("label"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from noema.operators.lineage import checkpointed
+
 
 def keyset_page(rows: DataFrame, keys: Sequence[str], limit: int, after: Sequence | None = None, descending: bool = True) -> DataFrame:
     """The page of limit rows after a row whose keys are given, and one more that tells if another page follows.
@@ -69,6 +71,35 @@ def corpus_violations(nodes: DataFrame, marks: DataFrame, points: DataFrame, key
     return counted.select(F.explode(F.array(*(F.struct(F.lit(k).alias("violation"), F.col(k).alias("rows")) for k in checks))).alias("x")).select("x.*")
 
 
+def corpus_faults(nodes: DataFrame, marks: DataFrame, points: DataFrame, key: str, dimensions: int) -> DataFrame:
+    """(key, fault) of each key on which the tables don't agree; the first fault counts. nodes(key, source, fingerprint),
+    marks(key, status, fingerprint), points(key, source, fingerprint, vector); a null agrees with nothing."""
+    found = (
+        nodes.select(key, F.struct("source", "fingerprint").alias("n"))
+        .join(marks.select(key, F.struct("status", "fingerprint").alias("m")), key, "full_outer")
+        .join(points.groupBy(key).agg(F.first(F.struct("source", "fingerprint", F.size("vector").alias("size"))).alias("p"), F.count("*").alias("copies")), key, "full_outer")
+    )
+    differ = lambda a, b: ~F.coalesce(a == b, F.lit(False))
+    c = F.col
+    fault = (
+        F.when(c("n").isNull(), "no node").when(c("m").isNull(), "no mark").when(differ(c("m.status"), F.lit("indexed")), "not indexed")
+        .when(differ(c("m.fingerprint"), c("n.fingerprint")), "mark is old").when(c("p").isNull(), "no point").when(c("copies") > 1, "several points")
+        .when(differ(c("p.source"), c("n.source")), "other source").when(differ(c("p.fingerprint"), c("n.fingerprint")), "point is old")
+        .when(differ(c("p.size"), F.lit(dimensions)), "dimensions")
+    )
+    return found.select(key, fault.alias("fault")).where("fault is not null")
+
+
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with their 'number' from 0 in order. Numbers come from per-partition counts and offsets, not from one sorted task."""
+    # written once, since two evaluations may draw their ranges differently
+    placed = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a partition
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("number", F.col("_before") + place).drop("_id", "_part", "_before")
+
+
 def upsert_latest(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Union by key, the new row instead of the stored one; of new rows with one key that of the highest 'version'."""
     window = Window.partitionBy(key).orderBy(F.col("_new").desc(), F.col("version").desc())

@@ -245,3 +245,32 @@ def level_counts(t: Tables):
     counts = t.embeddings.groupBy("label").agg(F.count("*").alias("n"))
     one = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("m"))  # a row a level
     return one.select(F.explode("m").alias("level", "n"))
+
+
+@query("""with r as (select event_id, case event_id % 5 when 0 then '{"a":' || event_id || ',"b":true,"c":-2,"d":1.5,"e":"7"}' when 1 then '[1]' when 2 then '{bad' when 3 then '{"a":-' || event_id || ',"c":4}' end as raw from events),
+j as (select event_id, case when json_valid(raw) then raw end as j from r)
+select event_id, case when json_type(j, '$.a') in ('UBIGINT', 'BIGINT') then (j->>'$.a')::bigint end as a, case when json_type(j, '$.b') in ('UBIGINT', 'BIGINT') then (j->>'$.b')::bigint end as b, case when json_type(j, '$.d') in ('UBIGINT', 'BIGINT') then (j->>'$.d')::bigint end as d,
+coalesce(array_to_string(list_transform(list_filter(list_sort(json_keys(j)), lambda k: json_type(j, '$.' || k) in ('UBIGINT', 'BIGINT') and try_cast(j->>('$.' || k) as bigint) >= 0), lambda k: k || '=' || (j->>('$.' || k))), ','), '') as counts from j""")
+def reply_numbers(t: Tables):
+    """Integers and counts of replies: objects, a list, broken text and none."""
+    e = F.col("event_id")
+    text = e.cast("string")
+    raw = (
+        F.when(e % 5 == 0, F.concat(F.lit('{"a":'), text, F.lit(',"b":true,"c":-2,"d":1.5,"e":"7"}'))).when(e % 5 == 1, "[1]").when(e % 5 == 2, "{bad")
+        .when(e % 5 == 3, F.concat(F.lit('{"a":-'), text, F.lit(',"c":4}')))
+    )
+    counts = F.array_sort(F.transform(F.map_entries(A.counts_read(raw)), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))))
+    return t.events.select(e, *A.named_integers(raw, ("a", "b", "d")), F.array_join(counts, ",").alias("counts"))
+
+
+@query("""with h as (select event_id, md5(event_id::varchar) as h from events)
+select event_id, case when event_id % 3 = 2 then '' else substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) || case event_id % 3 when 0 then '' else '|00000000-0000-0000-0000-000000000001' end end as ids from h""")
+def reply_ids(t: Tables):
+    """Identifiers of lists, some of whose items are none; and of what is no list."""
+    e = F.col("event_id")
+    h = F.md5(e.cast("string"))
+    raw = (
+        F.when(e % 3 == 0, F.concat(F.lit('["'), F.upper(h), F.lit('", 7, "x", null]')))
+        .when(e % 3 == 1, F.concat(F.lit('["{'), h, F.lit('}", "urn:uuid:00000000-0000-0000-0000-000000000001"]'))).otherwise("{}")
+    )
+    return t.events.select(e, F.array_join(A.ids_read(raw), "|").alias("ids"))

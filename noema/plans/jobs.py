@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from noema.functions import numbers as N
 from noema.operators import jobs as J
-from noema.operators.lineage import checkpointed
+from noema.operators.relational import numbered
 from noema.plans.registry import Tables, query
 
 _JOBS = """j as (select event_id as job_id, ts as created_at, case when event_type = 'error' then 'failed' when event_id % 5 = 0 then 'pending' when event_id % 5 = 1 then 'running' else 'succeeded' end as status,
@@ -121,13 +121,22 @@ def graph_status(t: Tables):
     return J.graph_status(facts).select("event_id", "reasons", "state")
 
 
+@query("""with e as (select event_id as job_id, event_type <> 'error' as ok, event_id % 7 <> 0 as stored, case event_id % 3 when 0 then '   ' when 1 then repeat('x', 5000) else ' failed ' || event_id || ' ' end as message,
+case when event_id % 2 = 1 then repeat('d', 4500) end as detail, repeat('stage' || event_id % 4, 20) as stage, (event_id % 100)::int as percent from events), f as (select *, ok and stored as good, case when ok then 'result was not stored' else coalesce(nullif(left(trim(message), 4000), ''), 'job failed') end as said from e)
+select job_id, case when good then 'succeeded' else 'failed' end as status, case when good then 'completed' else 'failed' end as stage, case when good then 100 else percent end as percent, case when not good then said end as error_message,
+case when not good then coalesce(case when not ok then left(detail, 4000) end, said) end as error_detail, case when not good then left(stage, 64) end as error_stage from f""")
+def job_finish(t: Tables):
+    """How jobs end: stored results, results that were lost, failures with blank, long and short texts."""
+    e = F.col("event_id")
+    text = e.cast("string")
+    jobs = t.events.select(e.alias("job_id"), F.repeat(F.concat(F.lit("stage"), (e % 4).cast("string")), F.lit(20)).alias("stage"), (e % 100).cast("int").alias("percent"))
+    message = F.when(e % 3 == 0, "   ").when(e % 3 == 1, F.repeat(F.lit("x"), F.lit(5000))).otherwise(F.concat(F.lit(" failed "), text, F.lit(" ")))
+    ends = t.events.select(e.alias("job_id"), (F.col("event_type") != "error").alias("ok"), (e % 7 != 0).alias("stored"), message.alias("message"), F.when(e % 2 == 1, F.repeat(F.lit("d"), F.lit(4500))).alias("detail"))
+    return J.finished(jobs, ends, "job failed", "result was not stored")
+
+
 @query("""with l as (select *, row_number() over (order by quality desc, doc_id) - 1 as r from labels) select doc_id, r // 12 as batch from l""")
 def label_batches(t: Tables):
-    """Batches of twelve in order. Numbers come from per-partition counts and offsets, not from one sorted task."""
-    order = [F.col("quality").desc(), F.col("doc_id")]
-    # written once, since two evaluations may draw their ranges differently
-    rows = checkpointed(t.labels.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", F.monotonically_increasing_id().alias("m")))
-    part, place = F.shiftright("m", 33), F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
-    return rows.withColumn("part", part).join(F.broadcast(before), "part").select("doc_id", F.floor((F.col("before") + place) / 12).alias("batch"))
+    """Batches of twelve in order."""
+    placed = numbered(t.labels.select("doc_id", "quality"), F.col("quality").desc(), F.col("doc_id"))
+    return placed.select("doc_id", F.floor(F.col("number") / 12).alias("batch"))

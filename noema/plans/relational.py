@@ -133,6 +133,23 @@ def corpus_violations(t: Tables):
     return R.corpus_violations(t.documents, t.labels, t.embeddings.select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
+@query("""with n as (select doc_id, source, md5(coalesce(text, '')) as f from documents), m as (select doc_id, case when doc_id % 13 = 0 then 'pending' else 'indexed' end as status, case when doc_id % 17 = 0 then 'old' else f end as f from n where doc_id % 11 <> 0),
+p as (select vec_id as doc_id, case when vec_id % 5 = 0 then 'elsewhere' else source end as source, case when vec_id % 19 = 0 then 'old' else f end as f, case when vec_id % 7 = 0 then 3 else len(embedding) end as size from embeddings left join n on vec_id = doc_id),
+x as (select coalesce(n.doc_id, p.doc_id) as doc_id, case when n.doc_id is null then 'no node' when m.doc_id is null then 'no mark' when status <> 'indexed' then 'not indexed' when m.f <> n.f then 'mark is old' when p.doc_id is null then 'no point'
+when p.source is distinct from n.source or n.source is null then 'other source' when p.f <> n.f then 'point is old' when size <> 64 then 'dimensions' end as fault from n left join m using (doc_id) full join p on p.doc_id = n.doc_id)
+select doc_id, fault from x where fault is not null""")
+def corpus_faults(t: Tables):
+    """Documents, marks and vectors that disagree on source, fingerprint, status or dimensions."""
+    d, v = F.col("doc_id"), F.col("vec_id")
+    nodes = t.documents.select("doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("fingerprint"))
+    marks = nodes.where(d % 11 != 0).select("doc_id", F.when(d % 13 == 0, "pending").otherwise("indexed").alias("status"), F.when(d % 17 == 0, "old").otherwise(F.col("fingerprint")).alias("fingerprint"))
+    points = t.embeddings.join(nodes, v == d, "left").select(
+        v.alias("doc_id"), F.when(v % 5 == 0, "elsewhere").otherwise(F.col("source")).alias("source"), F.when(v % 19 == 0, "old").otherwise(F.col("fingerprint")).alias("fingerprint"),
+        F.when(v % 7 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("vector"),
+    )
+    return R.corpus_faults(nodes, marks, points, "doc_id", 64)
+
+
 @query("""with old as (select doc_id, quality as mark from labels), new as (select vec_id as doc_id, label % 2 as mark from embeddings)
 select coalesce(o.doc_id, n.doc_id) as doc_id, case when n.doc_id is null then 'deleted' when o.doc_id is null then 'added' else 'mark' end as change
 from old o full join new n using (doc_id) where o.doc_id is null or n.doc_id is null or o.mark is distinct from n.mark""")
