@@ -99,6 +99,66 @@ def ids_read(text: Column) -> Column:
     return F.coalesce(hyphens, F.array().cast("array<string>"))
 
 
+#: What is said of a field, by the kind of its fault.
+FAULTS = {"missing": "field is missing", "type": "wrong type", "length": "length out of bounds", "pattern": "not of the form", "extra": "unknown field", "duplicate": "names repeat"}
+
+
+def _issue(kind: str, *path: Column) -> Column:
+    """A fault as flattened_errors takes it."""
+    return F.struct(F.array(*path).cast("array<string>").alias("path"), F.lit(FAULTS[kind]).alias("message"), F.lit(kind).alias("type"))
+
+
+def _text_issue(item: Column, place: Column, name: str, least: int, most: int, pattern: str | None = None, optional: bool = False) -> Column:
+    """The fault of a text field of an object within the labels, or null. Nothing is turned into text; white space is
+    collapsed before the length counts, but not where the field has a pattern."""
+    value = F.try_variant_get(item, f"$.{name}", "variant")
+    kind, text = F.schema_of_variant(value), F.try_variant_get(item, f"$.{name}", "string")
+    at = (F.lit("labels"), place.cast("string"), F.lit(name))
+    issue = lambda k: _issue(k, *at)
+    if optional:
+        found = F.when(value.isNull() | (kind == "VOID"), F.lit(None))
+    else:
+        found = F.when(value.isNull(), issue("missing"))
+    found = found.when(kind != "STRING", issue("type"))
+    if pattern:
+        return found.when(~text.rlike(pattern), issue("pattern"))
+    return found.when(~F.length(X.collapse(text)).between(least, most), issue("length"))
+
+
+def _unknown(members: Column, known: Sequence[str], *path: Column) -> Column:
+    """A fault for each name of an object that isn't known, by name."""
+    names = F.array_sort(F.array_except(F.map_keys(members), F.array(*map(F.lit, known))))
+    return F.transform(names, lambda k: _issue("extra", *path, k))
+
+
+def label_reply_issues(reply: Column, most: int = 50) -> Column:
+    """The faults of a reply that must be {"labels": [{"cluster_key", "label", "description" or none}, ...]} and nothing
+    else: fields in order, then unknown ones. Names must differ; that is asked only of labels without a fault. A null
+    reply or one that is no JSON object has one fault."""
+    root = F.try_parse_json(reply)
+    labels = F.try_variant_get(root, "$.labels", "variant")
+    items = F.try_variant_get(root, "$.labels", "array<variant>")
+
+    def of_item(item: Column, place: Column) -> Column:
+        fields = F.array_compact(F.array(
+            _text_issue(item, place, "cluster_key", 1, 64, r"^[a-z0-9][a-z0-9_-]{0,63}\z"), _text_issue(item, place, "label", 3, 80), _text_issue(item, place, "description", 10, 120, optional=True),
+        ))
+        unknown = _unknown(F.try_variant_get(item, "$", "map<string,variant>"), ("cluster_key", "label", "description"), F.lit("labels"), place.cast("string"))
+        is_object = F.coalesce(F.startswith(F.schema_of_variant(item), F.lit("OBJECT")), F.lit(False))
+        return F.when(is_object, F.concat(fields, unknown)).otherwise(F.array(_issue("type", F.lit("labels"), place.cast("string"))))
+
+    of_items = F.flatten(F.transform(items, of_item))
+    names = F.transform(items, lambda x: F.try_variant_get(x, "$.cluster_key", "string"))
+    at = F.lit("labels")
+    of_list = (
+        F.when(labels.isNull(), F.array(_issue("missing", at))).when(~F.startswith(F.schema_of_variant(labels), F.lit("ARRAY")), F.array(_issue("type", at)))
+        .when(~F.size(items).between(1, most), F.array(_issue("length", at))).when(F.size(of_items) > 0, of_items)
+        .when(F.size(F.array_distinct(names)) < F.size(names), F.array(_issue("duplicate", at))).otherwise(F.array().cast("array<struct<path:array<string>,message:string,type:string>>"))
+    )
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(root), F.lit("OBJECT")), F.lit(False))
+    return F.when(is_object, F.concat(of_list, _unknown(F.from_json(reply, "map<string,variant>"), ("labels",)))).otherwise(F.array(_issue("type")))
+
+
 def provenance_error(result_index: Column, expected: Column, references: Column, most: int) -> Column:
     """Why an analysed passage is refused, or null: its number, too many facts, or a fact (an array of places each) that
     refers to another passage."""

@@ -274,3 +274,20 @@ def reply_ids(t: Tables):
         .when(e % 3 == 1, F.concat(F.lit('["{'), h, F.lit('}", "urn:uuid:00000000-0000-0000-0000-000000000001"]'))).otherwise("{}")
     )
     return t.events.select(e, F.array_join(A.ids_read(raw), "|").alias("ids"))
+
+
+@query("""select event_id, case event_id % 8 when 0 then case when event_id % 100 not between 3 and 80 then 'labels[0].label: length out of bounds (type=length)' end when 1 then 'réponse: wrong type (type=type)' when 2 then 'réponse: wrong type (type=type)'
+when 3 then 'labels: field is missing (type=missing)' when 4 then 'labels: length out of bounds (type=length); x: unknown field (type=extra)'
+when 5 then 'labels[0].cluster_key: not of the form (type=pattern); labels[0].label: length out of bounds (type=length); labels[0].description: wrong type (type=type); labels[1]: wrong type (type=type)'
+when 6 then case when event_id % 3 = 0 then 'labels: names repeat (type=duplicate)' end else 'labels[0].cluster_key: wrong type (type=type); labels[0].label: wrong type (type=type); labels[0].extra: unknown field (type=extra)' end as said from events""")
+def reply_strict(t: Tables):
+    """Replies that should hold labels, right ones and wrong ones of each kind; null where nothing is wrong."""
+    e = F.col("event_id")
+    lit = F.lit
+    raw = (
+        F.when(e % 8 == 0, F.concat(lit('{"labels":[{"cluster_key":"a1","label":"'), F.expr("repeat('y', int(event_id % 100))"), lit('","description":null}]}'))).when(e % 8 == 1, "[]").when(e % 8 == 2, "{bad").when(e % 8 == 3, "{}")
+        .when(e % 8 == 4, '{"x":1,"labels":[]}').when(e % 8 == 5, '{"labels":[{"cluster_key":"A!","label":"  a  ","description":5},7]}')
+        .when(e % 8 == 6, F.concat(lit('{"labels":[{"cluster_key":"k0","label":"one two"},{"cluster_key":"k'), (e % 3).cast("string"), lit('","label":"three"}]}'))).otherwise('{"labels":[{"cluster_key":3,"label":null,"extra":1}]}')
+    )
+    issues = A.label_reply_issues(raw)
+    return t.events.select(e, F.when(F.size(issues) > 0, A.flattened_errors(issues)).alias("said"))
