@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,17 +107,22 @@ def client_search(items: DataFrame, wanted: str, limit: int) -> DataFrame:
 
 
 def bin_groups(items: DataFrame, budget: int, overhead: int) -> DataFrame:
-    """(grp, ord, bin): items(grp, ord, tokens) in order; a new bin begins where the next item would exceed the budget."""
+    """(grp, ord, bin): items(grp, ord, tokens) in order; a new bin begins where the next item would exceed the budget.
+    Null tokens count as 0. A group passes one task in sorted batches, which hold a batch and the open bin only."""
     import pandas as pd
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord")
-        number, used, out = 0, 0, []
-        for n in frame["tokens"]:
-            if used and used + n + overhead > budget:
-                number, used = number + 1, 0
-            used += n + overhead
-            out.append(number)
-        return pd.DataFrame({"grp": frame["grp"].to_numpy(), "ord": frame["ord"].to_numpy(), "bin": out})
-
-    return items.groupBy("grp").applyInPandas(run, "grp string, ord long, bin long")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, number, used = object(), 0, 0
+        for frame in frames:
+            out = []
+            for grp, n in zip(frame["grp"], frame["tokens"]):
+                if grp != group:
+                    group, number, used = grp, 0, 0
+                elif used and used + n + overhead > budget:
+                    number, used = number + 1, 0
+                used += n + overhead
+                out.append(number)
+            yield pd.DataFrame({"grp": frame["grp"], "ord": frame["ord"], "bin": out})
+
+    rows = items.select(F.col("grp").cast("string"), F.col("ord").cast("long"), F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"))
+    return rows.repartition("grp").sortWithinPartitions("grp", "ord").mapInPandas(run, "grp string, ord long, bin long")

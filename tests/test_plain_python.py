@@ -9,7 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from noema.operators import answers, chunking, graph, tree
+from noema.operators import answers, chunking, graph, knowledge, tree
 from noema.operators.cluster import average_linkage, best_partition, hierarchy
 from noema.sources import generations, subtitles
 from noema.streaming import queue
@@ -170,3 +170,25 @@ def test_streams(spark, tmp_path):
     assert sorted((r["key"], r["events"]) for r in parts) == [("a", 1), ("a", 2), ("b", 1)]
     queue.drain(stream, lambda b: b.groupBy("key").count(), f"file://{tmp_path}/done", f"file://{tmp_path}/mark").awaitTermination()
     assert spark.read.parquet(f"file://{tmp_path}/done").agg(F.sum("count")).first()[0] == 4
+
+
+def test_bins_with_nulls_and_hot_group(spark):
+    """A group over several Arrow batches, a null group, null tokens and items above the budget."""
+    made = random.Random(5)
+    rows = [(None if i % 5 == 0 else "hot" if i % 5 < 4 else f"g{i % 7}", i, None if i % 11 == 0 else made.randrange(40)) for i in range(900)]
+    want = {}
+    for grp in {r[0] for r in rows}:
+        number, used = 0, 0
+        for _, i, n in (r for r in rows if r[0] == grp):
+            if used and used + (n or 0) + 2 > 30:
+                number, used = number + 1, 0
+            used += (n or 0) + 2
+            want[i] = (grp, number)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        frame = spark.createDataFrame(rows, "grp string, ord long, tokens long").repartition(3)
+        got = {r.ord: (r.grp, r.bin) for r in knowledge.bin_groups(frame, 30, 2).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == want
