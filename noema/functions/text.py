@@ -1,10 +1,13 @@
-"""Column expressions for text: all built-in functions, so they stay in generated code and can be pushed down."""
+"""Column expressions for text: built-in functions, so they stay in generated code and can be pushed down. Only the forms
+under which letters beyond ASCII are compared come from noema.functions.folding."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from noema.functions.folding import client_fold, each, identity_fold, search_fold
+
 #: Fixed value: a lexical token is a run of letters, digits and underscores, or one other visible character.
 LEXICAL = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]"
 #: Accented letters and their plain forms, for search.
@@ -58,18 +61,26 @@ def derived_title(text: Column, most: int = 120, default: str = "Untitled note")
 
 
 def identity_key(text: Column) -> Column:
-    """Key under which equal facts meet: case-folded, white space collapsed."""
-    return F.replace(F.lower(collapse(text)), F.lit("ß"), F.lit("ss"))
+    """Key under which equal facts meet: compatible characters equal, case-folded, white space collapsed."""
+    return collapse(identity_fold(text))
 
 
 def search_form(text: Column) -> Column:
-    """Case-folded, without accents, white space collapsed."""
-    return F.translate(identity_key(text), ACCENTED, PLAIN)
+    """Case-folded, compatible characters equal, without accents, white space collapsed."""
+    return collapse(search_fold(text))
+
+
+def _alphanumeric(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
 
 
 def client_form(text: Column) -> Column:
-    """Lowered, without accents, anything but letters and digits a space."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"[^\p{L}\p{N}]+", " "))
+    """Without accents, lowered, anything but letters and digits a space."""
+    return _alphanumeric(client_fold(text))
+
+
+def client_forms(texts: Column) -> Column:
+    return F.transform(each(texts, client_fold), _alphanumeric)
 
 
 def search_tier(candidate: Column, wanted: Column) -> Column:
@@ -84,15 +95,21 @@ def search_tier(candidate: Column, wanted: Column) -> Column:
     )
 
 
-def clean_tag(tag: Column) -> Column:
-    """Stripped, one leading # dropped, case-folded, collapsed; null if empty, too long or with a # inside."""
-    core = identity_key(F.regexp_replace(strip(tag), "^#", ""))
-    return F.when((F.length(core) > 0) & (F.length(core) <= 40) & ~F.contains(core, F.lit("#")), core)
+def tag_names(tags: Column) -> Column:
+    """Tags with compatible characters equal, case-folded, collapsed, one leading # dropped; the first of equals, no blanks."""
+    bare = F.transform(each(tags, identity_fold), lambda t: collapse(F.regexp_replace(strip(t), "^#", "")))
+    return F.array_distinct(F.filter(bare, lambda t: F.length(t) > 0))
+
+
+def tag_fault(tags: Column) -> Column:
+    """Why a list of tags is refused as a whole: a # inside one, or one that is too long; null if it isn't."""
+    names = tag_names(tags)
+    return F.when(F.exists(names, lambda t: F.contains(t, F.lit("#"))), "inner #").when(F.exists(names, lambda t: F.length(t) > 40), "too long")
 
 
 def clean_tags(tags: Column) -> Column:
-    """Clean tags in order, the first of equals."""
-    return F.array_distinct(F.array_compact(F.transform(tags, clean_tag)))
+    """The names of tags in order, without those that would be refused."""
+    return F.filter(tag_names(tags), lambda t: (F.length(t) <= 40) & ~F.contains(t, F.lit("#")))
 
 
 def capitalised(text: Column) -> Column:

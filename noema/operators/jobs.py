@@ -47,6 +47,24 @@ def enqueue_once(requests: DataFrame) -> DataFrame:
     )
 
 
+def enqueued(requests: DataFrame, jobs: DataFrame, once: bool = True) -> DataFrame:
+    """requests(request_id, target, kind) with what comes of each, given jobs(job_id, target, kind, status, created_at): the
+    newest job of the target that isn't over is returned ('already queued') or, being of another kind, stands in the way
+    ('busy'); a target whose job has succeeded is 'already done' if it may be done only once."""
+    c = F.col
+    open_job, over = c("status").isin("pending", "running"), c("status") == "succeeded"
+    order = F.struct("created_at", "job_id")
+    held = jobs.groupBy("target").agg(
+        F.max(F.when(open_job, F.struct(order.alias("o"), "job_id", c("kind").alias("held")))).alias("open"),
+        F.coalesce(F.bool_or(over), F.lit(False)).alias("done"),
+    )
+    outcome = (
+        F.when(c("open.held") == c("kind"), "already queued").when(c("open").isNotNull(), "busy")
+        .when(c("done") & F.lit(once), "already done").otherwise("enqueued")
+    )
+    return requests.join(held, "target", "left").withColumn("outcome", outcome).withColumn("job_id", F.when(c("outcome") == "already queued", c("open.job_id"))).drop("open", "done")
+
+
 def call_metrics(calls: DataFrame, by: str) -> DataFrame:
     """Calls, retries by either rule, milliseconds and tokens of each job. Nulls count as nothing."""
     return calls.groupBy(by).agg(
@@ -58,6 +76,13 @@ def call_metrics(calls: DataFrame, by: str) -> DataFrame:
     )
 
 
+def call_rows(calls: DataFrame, most: int = 1000) -> DataFrame:
+    """calls(job_id, kind, attempt, seconds, tokens, outcome, diagnostic) as rows of the log: nothing below zero, a blank
+    diagnostic null, a long one cut."""
+    text = F.nullif(F.trim("diagnostic"), F.lit(""))
+    return calls.select("job_id", "kind", F.greatest(F.lit(0), "attempt").alias("attempt"), F.greatest(F.lit(0.0), "seconds").alias("seconds"), "tokens", "outcome", F.left(text, F.lit(most)).alias("diagnostic"))
+
+
 def gap_segments(events: DataFrame, by: str, at: str, gap_seconds: int) -> DataFrame:
     """events with the number of the segment they are in: a new one begins after a pause of at least the gap."""
     window = Window.partitionBy(by).orderBy(at, "event_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from noema.functions import text as X
+from noema.functions.folding import client_text, plain, search_text
 from noema.operators.relational import numbered
 
 
@@ -89,16 +91,16 @@ def citation_verdict(answer: Column, additions: Column, used: Column, allowed: C
 
 def text_search(items: DataFrame, wanted: str, limit: int) -> DataFrame:
     """items(kind, id, label) that match, best first: tier, surplus length, kind, label, id."""
-    form = X.search_form(F.col("label"))
-    asked = X.search_form(F.lit(wanted))
-    scored = items.withColumn("tier", X.search_tier(form, asked)).where("tier is not null").withColumn("surplus", F.greatest(F.lit(0), F.length(form) - F.length(asked)))
-    return scored.withColumn("form", form).orderBy("tier", "surplus", "kind", "form", "id").limit(limit).drop("form")
+    asked = F.lit(plain(wanted, search_text))
+    formed = items.withColumn("form", X.search_form(F.col("label")))
+    scored = formed.withColumn("tier", X.search_tier(F.col("form"), asked)).where("tier is not null").withColumn("surplus", F.greatest(F.lit(0), F.length("form") - F.length(asked)))
+    return scored.orderBy("tier", "surplus", "kind", "form", "id").limit(limit).drop("form")
 
 
 def client_search(items: DataFrame, wanted: str, limit: int) -> DataFrame:
     """items(kind, id, label, tags) by score: 100 equal, 85 prefix, 72 word prefix, 60 inside, 48 a tag, 36 in a tag."""
-    form, asked = X.client_form(F.col("label")), X.client_form(F.lit(wanted))
-    tags = F.transform("tags", X.client_form)
+    form, asked = X.client_form(F.col("label")), F.lit(re.sub(r"[\W_]+", " ", client_text(wanted)).strip())
+    tags = X.client_forms(F.col("tags"))
     score = (
         F.when(form == asked, 100).when(F.startswith(form, asked), 85).when(F.exists(F.split(form, " "), lambda w: F.startswith(w, asked)), 72)
         .when(F.contains(form, asked), 60).when(F.array_contains(tags, asked), 48).when(F.exists(tags, lambda t: F.contains(t, asked)), 36)
