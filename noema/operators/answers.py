@@ -100,7 +100,8 @@ def ids_read(text: Column) -> Column:
 
 
 #: What is said of a field, by the kind of its fault.
-FAULTS = {"missing": "field is missing", "type": "wrong type", "length": "length out of bounds", "pattern": "not of the form", "extra": "unknown field", "duplicate": "names repeat"}
+FAULTS = {"missing": "field is missing", "type": "wrong type", "length": "length out of bounds", "pattern": "not of the form", "extra": "unknown field", "duplicate": "names repeat", "range": "number out of bounds"}
+_NO_ISSUES = "array<struct<path:array<string>,message:string,type:string>>"
 
 
 def _issue(kind: str, *path: Column) -> Column:
@@ -108,55 +109,127 @@ def _issue(kind: str, *path: Column) -> Column:
     return F.struct(F.array(*path).cast("array<string>").alias("path"), F.lit(FAULTS[kind]).alias("message"), F.lit(kind).alias("type"))
 
 
-def _text_issue(item: Column, place: Column, name: str, least: int, most: int, pattern: str | None = None, optional: bool = False) -> Column:
-    """The fault of a text field of an object within the labels, or null. Nothing is turned into text; white space is
-    collapsed before the length counts, but not where the field has a pattern."""
-    value = F.try_variant_get(item, f"$.{name}", "variant")
-    kind, text = F.schema_of_variant(value), F.try_variant_get(item, f"$.{name}", "string")
-    at = (F.lit("labels"), place.cast("string"), F.lit(name))
-    issue = lambda k: _issue(k, *at)
-    if optional:
-        found = F.when(value.isNull() | (kind == "VOID"), F.lit(None))
-    else:
-        found = F.when(value.isNull(), issue("missing"))
-    found = found.when(kind != "STRING", issue("type"))
-    if pattern:
-        return found.when(~text.rlike(pattern), issue("pattern"))
-    return found.when(~F.length(X.collapse(text)).between(least, most), issue("length"))
-
-
-def _unknown(members: Column, known: Sequence[str], *path: Column) -> Column:
-    """A fault for each name of an object that isn't known, by name."""
-    names = F.array_sort(F.array_except(F.map_keys(members), F.array(*map(F.lit, known))))
-    return F.transform(names, lambda k: _issue("extra", *path, k))
-
-
-def label_reply_issues(reply: Column, most: int = 50) -> Column:
-    """The faults of a reply that must be {"labels": [{"cluster_key", "label", "description" or none}, ...]} and nothing
-    else: fields in order, then unknown ones. Names must differ; that is asked only of labels without a fault. A null
-    reply or one that is no JSON object has one fault."""
-    root = F.try_parse_json(reply)
-    labels = F.try_variant_get(root, "$.labels", "variant")
-    items = F.try_variant_get(root, "$.labels", "array<variant>")
-
-    def of_item(item: Column, place: Column) -> Column:
-        fields = F.array_compact(F.array(
-            _text_issue(item, place, "cluster_key", 1, 64, r"^[a-z0-9][a-z0-9_-]{0,63}\z"), _text_issue(item, place, "label", 3, 80), _text_issue(item, place, "description", 10, 120, optional=True),
-        ))
-        unknown = _unknown(F.try_variant_get(item, "$", "map<string,variant>"), ("cluster_key", "label", "description"), F.lit("labels"), place.cast("string"))
-        is_object = F.coalesce(F.startswith(F.schema_of_variant(item), F.lit("OBJECT")), F.lit(False))
-        return F.when(is_object, F.concat(fields, unknown)).otherwise(F.array(_issue("type", F.lit("labels"), place.cast("string"))))
-
-    of_items = F.flatten(F.transform(items, of_item))
-    names = F.transform(items, lambda x: F.try_variant_get(x, "$.cluster_key", "string"))
-    at = F.lit("labels")
-    of_list = (
-        F.when(labels.isNull(), F.array(_issue("missing", at))).when(~F.startswith(F.schema_of_variant(labels), F.lit("ARRAY")), F.array(_issue("type", at)))
-        .when(~F.size(items).between(1, most), F.array(_issue("length", at))).when(F.size(of_items) > 0, of_items)
-        .when(F.size(F.array_distinct(names)) < F.size(names), F.array(_issue("duplicate", at))).otherwise(F.array().cast("array<struct<path:array<string>,message:string,type:string>>"))
-    )
-    is_object = F.coalesce(F.startswith(F.schema_of_variant(root), F.lit("OBJECT")), F.lit(False))
-    return F.when(is_object, F.concat(of_list, _unknown(F.from_json(reply, "map<string,variant>"), ("labels",)))).otherwise(F.array(_issue("type")))
+def _is(value: Column, kind: str) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit(kind)), F.lit(False))
+
+
+class Field:
+    """A field of a JSON object: issues(object, path) gives an array with its faults. Nothing is turned into another type."""
+
+    def __init__(self, name: str, required: bool = True, nullable: bool = False):
+        self.name, self.required, self.nullable = name, required, nullable
+
+    def of(self, value: Column, path: tuple[Column, ...]) -> Column:
+        """The faults of a value that is there."""
+        raise NotImplementedError
+
+    def issues(self, item: Column, path: tuple[Column, ...]) -> Column:
+        value, at = F.try_variant_get(item, f"$.{self.name}", "variant"), (*path, F.lit(self.name))
+        none = F.array().cast(_NO_ISSUES)
+        found = F.when(value.isNull(), F.array(_issue("missing", *at)) if self.required else none)
+        if self.nullable:
+            found = found.when(F.schema_of_variant(value) == "VOID", none)
+        return found.otherwise(self.of(value, at))
+
+
+def _one(kind: str, wrong: Column, at: tuple[Column, ...]) -> Column:
+    return F.when(wrong, F.array(_issue(kind, *at))).otherwise(F.array().cast(_NO_ISSUES))
+
+
+class Text(Field):
+    """Text within bounds of length, counted after white space is stripped, or collapsed; or of a form, taken as it is."""
+
+    def __init__(self, name: str, least: int = 0, most: int = 0, pattern: str | None = None, collapsed: bool = True, **options):
+        super().__init__(name, **options)
+        self.least, self.most, self.pattern, self.collapsed = least, most, pattern, collapsed
+
+    def of(self, value: Column, path: tuple[Column, ...]) -> Column:
+        text = F.try_variant_get(value, "$", "string")
+        if self.pattern:
+            checked = _one("pattern", ~text.rlike(self.pattern), path)
+        else:
+            size = F.length((X.collapse if self.collapsed else X.strip)(text))
+            # a blank text that may be null counts as null
+            checked = _one("length", ~size.between(self.least, self.most) & (F.lit(not (self.nullable and self.least <= 1)) | (size > 0)), path)
+        return F.when(F.schema_of_variant(value) != "STRING", F.array(_issue("type", *path))).otherwise(checked)
+
+
+class Number(Field):
+    """An integer of at least some value."""
+
+    def __init__(self, name: str, least: int, **options):
+        super().__init__(name, **options)
+        self.least = least
+
+    def of(self, value: Column, path: tuple[Column, ...]) -> Column:
+        return F.when(F.schema_of_variant(value) != "BIGINT", F.array(_issue("type", *path))).otherwise(_one("range", _integer(value) < self.least, path))
+
+
+class Truth(Field):
+    def of(self, value: Column, path: tuple[Column, ...]) -> Column:
+        return _one("type", F.schema_of_variant(value) != "BOOLEAN", path)
+
+
+class Items(Field):
+    """A list of least to most items, each of an object's fields or one nameless field; unique: the items must differ, or
+    what they hold in the field of that name. That is asked only where no item has a fault."""
+
+    def __init__(self, name: str, item: Field | list[Field], least: int, most: int, unique: bool | str = False, **options):
+        super().__init__(name, **options)
+        self.item, self.least, self.most, self.unique = item, least, most, unique
+
+    def of(self, value: Column, path: tuple[Column, ...]) -> Column:
+        items = F.try_variant_get(value, "$", "array<variant>")
+        each = lambda x, i: object_issues(x, self.item, (*path, i.cast("string"))) if isinstance(self.item, list) else F.coalesce(self.item.of(x, (*path, i.cast("string"))), F.array(_issue("type", *path, i.cast("string"))))
+        found = F.flatten(F.transform(items, each))
+        checked = found
+        if self.unique:
+            at = f"$.{self.unique}" if isinstance(self.unique, str) else "$"
+            names = F.transform(items, lambda x: F.try_variant_get(x, at, "string"))
+            checked = F.when(F.size(found) > 0, found).otherwise(_one("duplicate", F.size(F.array_distinct(names)) < F.size(names), path))
+        return (
+            F.when(~_is(value, "ARRAY"), F.array(_issue("type", *path))).when(~F.size(items).between(self.least, self.most), F.array(_issue("length", *path)))
+            .otherwise(checked)
+        )
+
+
+class Tags(Items):
+    """A list of tags, whose number counts after equal and blank ones are dropped; one with a # inside or too long refuses all."""
+
+    def __init__(self, name: str, most: int, **options):
+        super().__init__(name, Text("", 0, 1 << 30), 0, 1 << 30, **options)
+        self.most_tags = most
+
+    def of(self, value: Column, path: tuple[Column, ...]) -> Column:
+        types = super().of(value, path)
+        # fold is an Arrow function and stays outside of lambdas, so here letters beyond ASCII are lowered by built-ins
+        bare = F.transform(F.try_variant_get(value, "$", "array<string>"), lambda t: X.collapse(F.regexp_replace(X.strip(F.lower(t)), "^#", "")))
+        names = F.array_distinct(F.filter(bare, lambda t: F.length(t) > 0))
+        wrong = F.exists(names, lambda t: F.contains(t, F.lit("#")) | (F.length(t) > 40))
+        return F.when(F.size(types) > 0, types).when(wrong, F.array(_issue("pattern", *path))).otherwise(_one("length", F.size(names) > self.most_tags, path))
+
+
+def object_issues(item: Column, fields: list[Field], path: tuple[Column, ...] = ()) -> Column:
+    """The faults of a JSON object that must have these fields and no others: by field, then unknown names in order."""
+    known = F.array(*(F.lit(f.name) for f in fields))
+    names = F.array_sort(F.array_except(F.map_keys(F.try_variant_get(item, "$", "map<string,variant>")), known))
+    unknown = F.transform(names, lambda k: _issue("extra", *path, k))
+    return F.when(_is(item, "OBJECT"), F.concat(*(f.issues(item, path) for f in fields), unknown)).otherwise(F.array(_issue("type", *path)))
+
+
+def reply_issues(reply: Column, fields: list[Field]) -> Column:
+    """The faults of a reply, as flattened_errors takes them. A null reply or one that is no JSON object has one."""
+    return object_issues(F.try_parse_json(reply), fields)
+
+
+# fixed values: names, bounds and forms of the fields of replies
+LABELS = [Items("labels", [Text("cluster_key", pattern=r"^[a-z0-9][a-z0-9_-]{0,63}\z"), Text("label", 3, 80), Text("description", 10, 120, required=False, nullable=True)], 1, 50, unique="cluster_key")]
+FACT = [Text("title", 3, 160), Text("content", 20, 600), Tags("tags", 4, required=False), Items("passage_indices", Number("", 0), 1, 12, unique=True)]
+PASSAGE = [Number("passage_index", 0), Text("summary", 20, 4000, collapsed=False), Items("knowledge", FACT, 0, 4, required=False)]
+SUMMARY = [Text("summary", 40, 40_000, collapsed=False)]
+_CITED = [Items("used_knowledge", Text("", pattern=r"^K[1-9][0-9]*\z"), 0, 50, unique=True), Truth("insufficient_context")]
+ANSWER = [Text("answer", 1, 12_000, collapsed=False), *_CITED]
+ANSWER_WITH_ADDITIONS = [Text("from_brain", 1, 12_000, collapsed=False), Text("model_additions", 0, 12_000, collapsed=False, nullable=True), *_CITED]
 
 
 def provenance_error(result_index: Column, expected: Column, references: Column, most: int) -> Column:

@@ -276,6 +276,11 @@ def reply_ids(t: Tables):
     return t.events.select(e, F.array_join(A.ids_read(raw), "|").alias("ids"))
 
 
+def _flattened(replies):
+    """Issues in a column of their own, so that their large expression stands once in the plan."""
+    return replies.select("event_id", F.when(F.size("issues") > 0, A.flattened_errors(F.col("issues"))).alias("said"))
+
+
 @query("""select event_id, case event_id % 8 when 0 then case when event_id % 100 not between 3 and 80 then 'labels[0].label: length out of bounds (type=length)' end when 1 then 'réponse: wrong type (type=type)' when 2 then 'réponse: wrong type (type=type)'
 when 3 then 'labels: field is missing (type=missing)' when 4 then 'labels: length out of bounds (type=length); x: unknown field (type=extra)'
 when 5 then 'labels[0].cluster_key: not of the form (type=pattern); labels[0].label: length out of bounds (type=length); labels[0].description: wrong type (type=type); labels[1]: wrong type (type=type)'
@@ -289,5 +294,48 @@ def reply_strict(t: Tables):
         .when(e % 8 == 4, '{"x":1,"labels":[]}').when(e % 8 == 5, '{"labels":[{"cluster_key":"A!","label":"  a  ","description":5},7]}')
         .when(e % 8 == 6, F.concat(lit('{"labels":[{"cluster_key":"k0","label":"one two"},{"cluster_key":"k'), (e % 3).cast("string"), lit('","label":"three"}]}'))).otherwise('{"labels":[{"cluster_key":3,"label":null,"extra":1}]}')
     )
-    issues = A.label_reply_issues(raw)
-    return t.events.select(e, F.when(F.size(issues) > 0, A.flattened_errors(issues)).alias("said"))
+    return _flattened(t.events.select(e, A.reply_issues(raw, A.LABELS).alias("issues")))
+
+
+def _said(t: Tables, fields, *replies: str):
+    """Of replies one for each remainder of event_id; N in a reply stands for event_id % 100."""
+    e = F.col("event_id")
+    raw = F.element_at(F.array(*map(F.lit, replies)), (e % len(replies) + 1).cast("int"))
+    return _flattened(t.events.select(e, A.reply_issues(F.replace(raw, F.lit("N"), (e % 100).cast("string")), fields).alias("issues")))
+
+
+@query("""select event_id, case event_id % 6 when 1 then 'passage_index: number out of bounds (type=range); summary: length out of bounds (type=length); knowledge: wrong type (type=type)'
+when 2 then 'knowledge[0].title: length out of bounds (type=length); knowledge[0].content: field is missing (type=missing); knowledge[0].tags: not of the form (type=pattern); knowledge[0].passage_indices: names repeat (type=duplicate); knowledge[1]: wrong type (type=type)'
+when 3 then 'passage_index: wrong type (type=type); knowledge[0].tags[1]: wrong type (type=type); knowledge[0].passage_indices: length out of bounds (type=length)'
+when 4 then 'passage_index: field is missing (type=missing); summary: field is missing (type=missing); knowledge: length out of bounds (type=length)' when 5 then 'knowledge[0].tags: length out of bounds (type=length); knowledge[0].passage_indices[1]: number out of bounds (type=range); knowledge[0].more: unknown field (type=extra)' end as said from events""")
+def reply_passage(t: Tables):
+    """Analyses of passages: a right one, and wrong ones."""
+    text = "a text that is long enough to be one"
+    return _said(
+        t, A.PASSAGE, f'{{"passage_index":N,"summary":"  {text} ","knowledge":[{{"title":" a  b ","content":"{text}","tags":["#A","a","B "],"passage_indices":[N]}}]}}', '{"passage_index":-1,"summary":"    short    ","knowledge":null}',
+        f'{{"passage_index":1,"summary":"{text}","knowledge":[{{"title":"a   ","tags":["a#b"],"passage_indices":[1,1]}},3]}}', f'{{"passage_index":true,"summary":"{text}","knowledge":[{{"title":"abc","content":"{text}","tags":["x",1],"passage_indices":[]}}]}}',
+        '{"knowledge":[{},{},{},{},{}]}', f'{{"passage_index":0,"summary":"{text}","knowledge":[{{"title":"abc","content":"{text}","tags":["v","w","x","y","z"],"passage_indices":[1,-1],"more":1}}]}}',
+    )
+
+
+@query("""select event_id, case event_id % 6 when 1 then 'answer: length out of bounds (type=length); used_knowledge[1]: not of the form (type=pattern); insufficient_context: wrong type (type=type)'
+when 2 then 'used_knowledge: names repeat (type=duplicate)' when 3 then 'answer: wrong type (type=type); used_knowledge: wrong type (type=type); insufficient_context: field is missing (type=missing)' when 4 then 'réponse: wrong type (type=type)'
+when 5 then 'used_knowledge[0]: wrong type (type=type); used_knowledge[1]: wrong type (type=type); note: unknown field (type=extra)' end as said from events""")
+def reply_answer(t: Tables):
+    """Answers from known facts only."""
+    return _said(
+        t, A.ANSWER, '{"answer":"so [K1]","used_knowledge":["K1","KN1"],"insufficient_context":false}'.replace("KN1", "K2"), '{"answer":"  ","used_knowledge":["K1","K0"],"insufficient_context":"no"}',
+        '{"answer":"x","used_knowledge":["K1","K1"],"insufficient_context":false}', '{"answer":N,"used_knowledge":"K1"}', '"text"', '{"answer":"x","used_knowledge":[null,2],"insufficient_context":true,"note":""}',
+    )
+
+
+@query("""select event_id, case event_id % 4 when 1 then 'model_additions: field is missing (type=missing)' when 2 then 'from_brain: length out of bounds (type=length); model_additions: wrong type (type=type)' end as said from events""")
+def reply_additions(t: Tables):
+    """Answers with additions, which may be null or blank but must be there."""
+    rest = '"used_knowledge":[],"insufficient_context":true'
+    return _said(t, A.ANSWER_WITH_ADDITIONS, f'{{"from_brain":"x","model_additions":null,{rest}}}', f'{{"from_brain":"x",{rest}}}', f'{{"from_brain":"","model_additions":N,{rest}}}', f'{{"from_brain":"x","model_additions":" ",{rest}}}')
+
+
+@query("select event_id, case event_id % 3 when 1 then 'summary: length out of bounds (type=length)' when 2 then 'summary: length out of bounds (type=length); z: unknown field (type=extra)' end as said from events")
+def reply_summary(t: Tables):
+    return _said(t, A.SUMMARY, '{"summary":"forty characters or more of a summary of a source"}', '{"summary":"too short"}', '{"z":1,"summary":"   "}')
