@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a block: two blocks and their product are what a task holds.
-BLOCK = 1024
+#: Rows of a block, and of it those multiplied at once: a task holds two blocks and the product of a strip with one.
+BLOCK, STRIP = 8192, 1024
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -28,34 +31,48 @@ def unit_vectors(vectors: DataFrame, key: str = "id", column: str = "embedding")
 def nearest(points: DataFrame, k: int, least: float = -1.0, key: str = "id", column: str = "u") -> DataFrame:
     """(id, other, sim, rank): the k points with the highest dot product of every point, ties by id.
 
-    Every pair of blocks is a cell with a matrix product of its own, which leaves k rows a point; a window over
-    these picks the k best. Rows travel once for each block, not for each pair.
+    Every pair of blocks is a cell with a matrix product of its own, which leaves k rows a point of either block; a
+    window over these picks the k best. The search is exact, so products grow with the square of the points; a row travels
+    once for each block of all points.
     """
     n = points.count()
-    blocks = max(1, -(-n // BLOCK))
+    # small tables too are cut into cells for all cores
+    spread = min(math.isqrt(2 * points.sparkSession.sparkContext.defaultParallelism) + 1, -(-n // 256))
+    blocks = max(1, -(-n // BLOCK), spread)
     numbered = points.select(F.col(key).alias("id"), F.col(column).alias("u")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     sides = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = sides.select(F.col("block").alias("i"), F.col("other").alias("j"), F.lit(True).alias("is_query"), "id", "u")
-    index = sides.select(F.col("other").alias("i"), F.col("block").alias("j"), F.lit(False).alias("is_query"), "id", "u")
+    cells = sides.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("is_first"), "id", "u")
+    schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("sim", pa.float64())])
+
+    def best(ask: pa.Table, have: pa.Table) -> list[pa.Table]:
+        """The k best of have for each row of ask, strip by strip; have is in order of id, which decides ties."""
+        b, index, out = have.column("id").to_numpy(), _matrix(have.column("u")), []
+        for at in range(0, ask.num_rows, STRIP):
+            strip = ask.slice(at, STRIP)
+            a = strip.column("id").to_numpy()
+            sims = _matrix(strip.column("u")) @ index.T
+            sims[a[:, None] == b[None, :]] = -np.inf
+            rounded = np.round(sims, 9)
+            # those at least as good as the k-th; of equals at the end the smaller ids
+            kth = np.partition(rounded, -k, axis=1)[:, -k] if k < len(b) else np.full(len(a), -np.inf)
+            row, col = np.nonzero((rounded >= kth[:, None]) & (sims >= max(least, -2.0)))
+            order = np.lexsort((col, -rounded[row, col], row))
+            row, col = row[order], col[order]
+            starts = np.searchsorted(row, np.arange(len(a)))
+            keep = np.arange(len(row)) - starts[row] < k
+            row, col = row[keep], col[keep]
+            out.append(pa.table([a[row], b[col], sims[row, col]], schema=schema))
+        return out
 
     def compare(table: pa.Table) -> pa.Table:
-        ask = table.filter(table.column("is_query"))
-        have = table.filter(pa.compute.invert(table.column("is_query"))).sort_by("id")
-        none = pa.table({"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        if not ask.num_rows or not have.num_rows:
-            return none
-        a, b = ask.column("id").to_numpy(), have.column("id").to_numpy()
-        sims = _matrix(ask.column("u")) @ _matrix(have.column("u")).T
-        sims[a[:, None] == b[None, :]] = -np.inf
-        rounded = np.round(sims, 9)
-        order = np.argsort(-rounded, axis=1, kind="stable")[:, :k]
-        best = np.take_along_axis(sims, order, 1)
-        keep = best >= max(least, -2.0)
-        rows = np.broadcast_to(a[:, None], best.shape)
-        return pa.table({"id": rows[keep], "other": b[order][keep], "sim": best[keep]})
+        first = table.filter(table.column("is_first")).sort_by("id").combine_chunks()
+        second = table.filter(pc.invert(table.column("is_first"))).sort_by("id").combine_chunks()
+        inside = table.num_rows and table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        parts = best(first, first) if inside else best(first, second) + best(second, first) if first.num_rows and second.num_rows else []
+        return pa.concat_tables(parts) if parts else schema.empty_table()
 
     window = Window.partitionBy("id").orderBy(F.round("sim", 9).desc(), "other")
-    found = queries.union(index).groupBy("i", "j").applyInArrow(compare, "id long, other long, sim double")
+    found = cells.groupBy("i", "j").applyInArrow(compare, "id long, other long, sim double")
     return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
