@@ -90,6 +90,17 @@ def corpus_faults(nodes: DataFrame, marks: DataFrame, points: DataFrame, key: st
     return found.select(key, fault.alias("fault")).where("fault is not null")
 
 
+def corpus_mark(rows: DataFrame, key: str, *marks: str) -> DataFrame:
+    """(rows, mark): whether two snapshots of a table are the same, whatever the order of their rows. Rows are hashed each
+    (a null differs from any text), and their hashes meet in a sum and an exclusive or, which tasks combine in part."""
+    text = F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in (key, *marks)))
+    half = lambda at: F.conv(F.substring(F.md5(text), at, 15), 16, 10).cast("long")
+    parts = rows.select(half(1).alias("a"), F.pmod(half(16), F.lit(1_000_000_007)).cast("decimal(20,0)").alias("b")).agg(
+        F.count("*").alias("rows"), F.coalesce(F.bit_xor("a"), F.lit(0)).alias("x"), F.coalesce(F.sum("b"), F.lit(0)).alias("s"),
+    )
+    return parts.select("rows", F.sha2(F.concat_ws(";", *(F.col(c).cast("string") for c in ("rows", "x", "s"))), 256).alias("mark"))
+
+
 def numbered(rows: DataFrame, *order: Column) -> DataFrame:
     """rows with their 'number' from 0 in order. Numbers come from per-partition counts and offsets, not from one sorted task."""
     # written once, since two evaluations may draw their ranges differently

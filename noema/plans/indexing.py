@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from noema.functions import text as X
 from noema.operators import indexing as I
 from noema.operators import jobs as J
+from noema.operators import relational as R
 from noema.plans.registry import Tables, query
-from noema.plans.texts import _STRIP, _sql
+from noema.plans.texts import _STRIP, _TITLE, _sql
 
 
 def _run(t: Tables):
@@ -121,3 +122,21 @@ def call_rows(t: Tables):
     said = F.when(e % 3 == 0, "  ").when(e % 3 == 1, F.repeat(F.lit("x"), F.lit(60))).otherwise(F.concat(F.lit(" d"), e.cast("string"), F.lit(" ")))
     calls = t.events.select(e.alias("job_id"), F.col("event_type").alias("kind"), (e % 5 - 1).cast("int").alias("attempt"), (F.col("value") - 10).alias("seconds"), F.lit(1).alias("tokens"), F.lit("ok").alias("outcome"), said.alias("diagnostic"))
     return J.call_rows(calls, 50).drop("tokens", "outcome")
+
+
+@query("""with h as (select md5(concat_ws(chr(31), coalesce('=' || doc_id, ''), coalesce('=' || source, ''), coalesce('=' || md5(text), ''))) as h from documents),
+a as (select count(*) as rows, coalesce(bit_xor(('0x' || substr(h, 1, 15))::bigint), 0) as x, coalesce(sum(('0x' || substr(h, 16, 15))::bigint % 1000000007), 0)::hugeint as s from h) select rows, sha256(rows || ';' || x || ';' || s) as mark from a""")
+def corpus_fingerprint(t: Tables):
+    """One mark of all documents, by which a graph knows that its input has changed."""
+    return R.corpus_mark(t.documents.withColumn("mark", F.md5("text")), "doc_id", "source", "mark")
+
+
+@query(f"""select d.doc_id as id, {_TITLE} as title, case when length(c) <= 180 then c else regexp_replace(left(c, 179), '[\\s\\p{{Z}}]+$', '') || '…' end as excerpt, coalesce(d.source, 'deleted source') as source, coalesce(l.quality, -1)::int as quality, case when l.doc_id is null then 'pending' else 'indexed' end as status
+from (select *, {_sql(_STRIP, 'text')} as c from documents) d left join (select doc_id, min(quality) as quality from labels group by 1) l using (doc_id)""")
+def node_summaries(t: Tables):
+    """Nodes as they are listed: title, excerpt, source and state."""
+    marks = t.labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.lit(True).alias("held"))
+    return t.documents.join(marks, "doc_id", "left").select(
+        F.col("doc_id").alias("id"), X.derived_title(F.col("text")).alias("title"), X.limit_text(F.col("text"), 180).alias("excerpt"), F.coalesce("source", F.lit("deleted source")).alias("source"),
+        F.coalesce("quality", F.lit(-1)).cast("int").alias("quality"), F.when(F.col("held"), "indexed").otherwise("pending").alias("status"),
+    )
