@@ -81,9 +81,50 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from noema.llm import mixing
+
+    documents = _table(spark, sf_dir, "documents")
+    return mixing.mix(documents, mixing.cyclic_weights(documents, (3, 1, 2))).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+#: Hash and order are those of the operator's contract: md5 of seed and id, then id and size; equal rows share evenly.
+MIX = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5('12:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash FROM documents),
+s AS (
+  SELECT source, source_size, 2 * source_size AS cap, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)),
+total AS (SELECT 150 * sum(source_size)::BIGINT AS budget FROM s),
+-- water-filling: each step clamps the sources whose share at the level lies above the cap
+fill(step, level, clamped) AS (
+  SELECT 0, (SELECT budget FROM total)::DOUBLE / (100 * (SELECT sum(weight)::BIGINT FROM s WHERE weight > 0))::DOUBLE, 0::BIGINT
+  UNION ALL
+  SELECT step + 1,
+    (SELECT (any_value(t.budget) - 100 * coalesce(sum(cap) FILTER (weight * level > cap), 0)::BIGINT)::DOUBLE
+       / (100 * sum(weight) FILTER (weight * level <= cap)::BIGINT)::DOUBLE FROM s, total t),
+    (SELECT count(*) FROM s WHERE weight * level > cap)
+  FROM fill WHERE (SELECT count(*) FROM s WHERE weight * level > cap) > clamped
+    AND EXISTS (SELECT 1 FROM s WHERE weight * level <= cap)),
+top AS (SELECT level FROM fill ORDER BY step DESC LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN source_size > 0 THEN least(weight * level, cap::DOUBLE) ELSE 0.0 END AS target FROM s, top),
+r AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole,
+    floor(target + 0.5)::BIGINT - CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END * source_size AS rest FROM t),
+c AS (SELECT source, doc_id, size, hash, count(*) AS copies FROM d GROUP BY ALL),
+p AS (
+  SELECT *, coalesce(sum(size * copies) OVER (PARTITION BY source ORDER BY hash, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c)
+SELECT d.doc_id, d.size, r.source_size, r.target,
+  (r.whole * d.size + greatest(0, least(d.size, (r.rest - p.before) // p.copies)))::BIGINT AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.doc_id IS NOT DISTINCT FROM p.doc_id AND d.size = p.size
+JOIN r ON d.source IS NOT DISTINCT FROM r.source
+"""
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries that SQL can express."""
+    return {"op12_source_mix": MIX}
