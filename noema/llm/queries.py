@@ -81,6 +81,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from noema.llm import lexical
+
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from noema.llm import mixing
 
@@ -88,6 +94,14 @@ def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents, mixing.cyclic_weights(documents, (3, 1, 2))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from noema.llm import alignment
+
+    pair = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align(_table(spark, sf_dir, "documents"), *pair)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -125,6 +139,28 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.doc_id IS NOT DIST
 JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
+SEARCH = r"""
+WITH terms AS (
+  SELECT rowid_ AS row_, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT doc_id, text, row_number() OVER () AS rowid_ FROM documents)),
+tf AS (SELECT row_, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM terms GROUP BY row_, term),
+doc AS (SELECT row_, sum(tf)::BIGINT AS n FROM tf GROUP BY row_),
+a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM doc),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, a GROUP BY term, docs),
+m AS (SELECT row_, 100 - 25 + ((25 * n * docs) // words) AS m FROM doc, a),
+q AS (
+  SELECT i, item_id, term, count(*) AS q
+  FROM (SELECT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT item_id, text, row_number() OVER () AS i FROM benchmark))
+  GROUP BY ALL),
+scored AS (
+  SELECT i, item_id, row_, any_value(doc_id) AS doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (row_) GROUP BY i, item_id, row_)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op12_source_mix": MIX}
+    return {"op11_lexical_search": SEARCH, "op12_source_mix": MIX}
