@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,20 +36,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noema.llm.staging import Staging
+from noema.llm.staging import Staging, delete
 
 MARK = "▁"
 _CUT = re.compile(r"(?<=\S)(?= )")
+#: Where a space doesn't begin a segment, in a text with a space before it.
+_WITHIN = re.compile(r"\s ")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: Bytes of text that share a dictionary, unless one text is longer.
-    block_bytes: int = 4 << 20
+    #: Characters of text that share a dictionary, unless one text is longer.
+    block_chars: int = 32 << 20
     #: The table of linked id pairs is broadcast up to so many rows, and joined by shuffles beyond.
-    broadcast_rows: int = 200_000
+    broadcast_rows: int = 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -67,6 +71,7 @@ class Pair:
     """Both tokenizers, the bytes of their tokens, and what they make of a segment."""
 
     def __init__(self, json_a: bytes, model_b: bytes):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -90,32 +95,53 @@ class Pair:
         return bool(regular) and not any(map(_spaced, whole)) and not any(_spaced(t.decode(errors="replace")) for t in self.bytes_b)
 
     def segments(self, text: str) -> list[str]:
-        """The segments of a text; each begins with a space, and joined they are a space and the text."""
+        """The segments of a text without their first space; with it, joined they are a space and the text."""
         if not text:
             return []
-        return _CUT.split(" " + text) if self.cuts else [" " + text]
-
-    def align(self, segment: str, a: list[int]) -> tuple[bool, list[int], str, list[tuple[int, int]]]:
-        """Whether both give the segment back, B's ids, groups as text, and links. a: A's ids of the segment."""
-        b = list(self.b.encode(segment[1:])) if len(segment) > 1 else [self.space]
-        parts_a, parts_b, whole = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b], segment.encode()
-        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
-            return False, [], "", []
-        groups, links, i, j, end_a, end_b, from_a, from_b = [], [], 0, 0, len(parts_a[0]), len(parts_b[0]), 0, 0
+        if not self.cuts:
+            return [text]
+        whole = " " + text
+        return [x[1:] for x in _CUT.split(whole)] if _WITHIN.search(whole) else text.split(" ")
+
+    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """A's and B's ids of segments (without their first space), as they are inside a text."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + x for x in segments], add_special_tokens=False)]
+        b = self.b.encode(segments, num_threads=1)
+        return a, [x or [self.space] for x in b]
+
+    def align(self, segment: str, a: list[int], b: list[int]) -> tuple[str, list[int], list[int]] | None:
+        """Groups as text and the ids of the links, A's and B's; None if the tokens don't give the segment back."""
+        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
+        if b"".join(parts_a) != (whole := (" " + segment).encode()) or b"".join(parts_b) != whole:
+            return None
+        if len(a) == 1 or len(b) == 1:
+            return f"{','.join(map(str, a))}|{','.join(map(str, b))}", a * len(b), b * len(a)
+        left, right, groups, i, j, from_a, from_b = [], [], [], 0, 0, 0, 0
+        gap = len(parts_a[0]) - len(parts_b[0])  # where A's token ends, less where B's does
         while True:
-            links.append((a[i], b[j]))
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[from_a : i + 1]))}|{','.join(map(str, b[from_b : j + 1]))}")
+            left.append(a[i])
+            right.append(b[j])
+            if not gap:
                 i, j = i + 1, j + 1
+                groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
                 if i == len(a):
-                    return True, b, ";".join(groups), links
-                end_a, end_b, from_a, from_b = end_a + len(parts_a[i]), end_b + len(parts_b[j]), i, j
-            elif end_a < end_b:
+                    return ";".join(groups), left, right
+                from_a, from_b = i, j
+                gap = len(parts_a[i]) - len(parts_b[j])
+            elif gap < 0:
                 i += 1
-                end_a += len(parts_a[i])
+                gap += len(parts_a[i])
             else:
                 j += 1
-                end_b += len(parts_b[j])
+                gap -= len(parts_b[j])
+
+
+class Numbers(dict):
+    """Numbers things in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = at = len(self)
+        return at
 
 
 _loaded: dict[str, Pair] = {}
@@ -134,58 +160,107 @@ def _tables(documents: DataFrame, key: str, blobs, settings: Settings) -> DataFr
     kinds = {"kind": pa.int32(), "block": pa.int64(), "doc_id": None, "segs": pa.list_(pa.int32()), "idx": pa.int32(), "segment": pa.string(), "n": pa.int64()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, block, ids, rows, places, size = _pair(key, blobs), TaskContext.get().partitionId() << 32, [], [], {}, 0
+        pair, block, id_type = _pair(key, blobs), TaskContext.get().partitionId() << 32, None
+        ids, segs, bounds, places, size = [], array("i"), array("i", [0]), Numbers(), 0
 
-        def made(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-            flat = np.fromiter((k for r in rows for k in r), dtype=np.int64)
-            bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            texts = {"doc_id": pa.array(ids, id_type), "segs": pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat.astype(np.int32)))}
-            words = {"idx": pa.array(np.arange(len(places), dtype=np.int32)), "segment": pa.array(list(places), pa.string()), "n": pa.array(np.bincount(flat, minlength=len(places)))}
+        def made() -> Iterator[pa.RecordBatch]:
+            flat = np.frombuffer(segs, dtype=np.int32)
+            texts = {"doc_id": pa.chunked_array(ids).combine_chunks(), "segs": pa.ListArray.from_arrays(pa.array(np.frombuffer(bounds, dtype=np.int32)), pa.array(flat))}
+            words = {"idx": pa.array(np.arange(len(places), dtype=np.int32)), "segment": pa.array(places, pa.string()), "n": pa.array(np.bincount(flat, minlength=len(places)))}
             for kind, own in enumerate((texts, words)):
                 m = len(next(iter(own.values())))
                 own |= {"kind": pa.array(np.full(m, kind, dtype=np.int32)), "block": pa.array(np.full(m, block))}
-                yield pa.RecordBatch.from_arrays([own[c] if c in own else pa.nulls(m, t or id_type) for c, t in kinds.items()], list(kinds))
+                whole = pa.RecordBatch.from_arrays([own[c] if c in own else pa.nulls(m, t or id_type) for c, t in kinds.items()], list(kinds))
+                yield from (whole.slice(at, 1 << 16) for at in range(0, m, 1 << 16))
 
-        id_type = None
         for batch in batches:
-            id_type = batch.column("doc_id").type
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            id_type, first = batch.column("doc_id").type, 0
+            for row, text in enumerate(batch.column("text")):
                 text = text.as_py() or ""
-                ids.append(i)
-                rows.append([places.setdefault(s, len(places)) for s in pair.segments(text)])
+                segs.extend(map(places.__getitem__, pair.segments(text)))
+                bounds.append(len(segs))
                 size += len(text)
-                if size >= settings.block_bytes:
-                    yield from made(id_type)
-                    block, ids, rows, places, size = block + 1, [], [], {}, 0
+                if size >= settings.block_chars:
+                    ids.append(batch.column("doc_id").slice(first, row + 1 - first))
+                    yield from made()
+                    block, first = block + 1, row + 1
+                    ids, segs, bounds, places, size = [], array("i"), array("i", [0]), Numbers(), 0
+            if first < batch.num_rows:
+                ids.append(batch.column("doc_id").slice(first))
         if ids:
-            yield from made(id_type)
+            yield from made()
 
     schema = f"kind int, block long, doc_id {documents.schema['doc_id'].dataType.simpleString()}, segs array<int>, idx int, segment string, n long"
     return documents.select("doc_id", "text").mapInArrow(cut, schema)
 
 
 def _aligned(segments: DataFrame, key: str, blobs) -> DataFrame:
-    """segments(segment, total) encoded and aligned: ok, n_a, n_b, n_groups, groups, and the links' ids as two lists."""
+    """segments(segment, total) encoded and aligned: n_a, n_b, n_groups, groups (null where the tokens don't give the
+    segment back), and the links' ids as two lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(key, blobs)
         for batch in batches:
             texts = batch.column("segment").to_pylist()
-            ids = [e.ids for e in pair.a.encode_batch(texts, add_special_tokens=False)]
-            found = [pair.align(t, a) for t, a in zip(texts, ids)]
-            columns = [
-                pa.array([f[0] for f in found], pa.bool_()), pa.array([len(a) for a in ids], pa.int64()), pa.array([len(f[1]) for f in found], pa.int64()),
-                pa.array([f[2].count(";") + 1 for f in found], pa.int64()), pa.array([f[2] for f in found], pa.string()),
-                *(pa.array([[x[k] for x in f[3]] for f in found], pa.list_(pa.int32())) for k in (0, 1)),
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("segment"), batch.column("total"), *columns], ["segment", "total", "ok", "n_a", "n_b", "n_groups", "groups", "link_a", "link_b"])
+            ids_a, ids_b = pair.encode(texts)
+            found = [pair.align(*x) or (None, [], []) for x in zip(texts, ids_a, ids_b)]
+            sizes = (np.fromiter(map(len, x), dtype=np.int64, count=len(texts)) for x in (ids_a, ids_b))
+            groups = [f[0] for f in found]
+            bounds = pa.array(np.concatenate([[0], np.cumsum([len(f[1]) for f in found])]).astype(np.int32))
+            links = (pa.ListArray.from_arrays(bounds, pa.array(np.fromiter((i for f in found for i in f[k]), dtype=np.int32))) for k in (1, 2))
+            columns = [*map(pa.array, sizes), pa.array([g.count(";") + 1 if g else 0 for g in groups], pa.int64()), pa.array(groups, pa.string()), *links]
+            yield pa.RecordBatch.from_arrays([batch.column("segment"), batch.column("total"), *columns], ["segment", "total", "n_a", "n_b", "n_groups", "groups", "link_a", "link_b"])
+
+    return segments.mapInArrow(run, "segment string, total long, n_a long, n_b long, n_groups long, groups string, link_a array<int>, link_b array<int>")
 
-    return segments.mapInArrow(run, "segment string, total long, ok boolean, n_a long, n_b long, n_groups long, groups string, link_a array<int>, link_b array<int>")
 
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a batch of segments as one number each, and their bounds by segment."""
+    a, b = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("link_a", "link_b"))
+    return a << 32 | b, np.concatenate([[0], np.cumsum(batch.column("link_a").value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def pair_counts(segments: DataFrame) -> DataFrame:
+    """(pair, b, count, best): how often each id pair is linked in the corpus, and whether no other with that B id is
+    linked more often. Tasks add up their own segments first, in parts of bounded size."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links, bounds = _flat(batch)
+            pairs, at = np.unique(links, return_inverse=True)
+            count = np.zeros(len(pairs), dtype=np.int64)
+            np.add.at(count, at, np.repeat(batch.column("total").to_numpy(), np.diff(bounds)))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(count)], ["pair", "count"])
+
+    sums = segments.select("total", "link_a", "link_b").mapInArrow(add, "pair long, count long").groupBy("pair").agg(F.sum("count").alias("count"))
+    sums = sums.withColumn("b", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)))
+    most = sums.groupBy("b").agg(F.max("count").alias("most"))
+    return sums.join(most, "b").select("pair", "b", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
+
+
+_VALUES = ["segment", "n_a", "n_b", "n_groups", "groups", "n_links", "n_best", "count_sum"]
+
+
+def _valued(segments: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
+    """segments with the number of their links, of those that are best, and the sum of the links' counts."""
+    if pairs.count() > settings.broadcast_rows:
+        links = segments.select("segment", F.explode(F.arrays_zip("link_a", "link_b")).alias("x"))
+        links = links.select("segment", (F.shiftleft(F.col("x.link_a").cast("long"), 32).bitwiseOR(F.col("x.link_b").cast("long"))).alias("pair"))
+        sums = links.join(pairs, "pair").groupBy("segment").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        return segments.join(sums, "segment").select(*_VALUES)
+    known = pairs.select("pair", "count", "best").orderBy("pair").toArrow()
+    sent = segments.sparkSession.sparkContext.broadcast(tuple(known.column(c).to_numpy() for c in ("pair", "count", "best")))
+
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts, best = sent.value
+        for batch in batches:
+            links, bounds = _flat(batch)
+            at = np.searchsorted(names, links)
+            sums = (np.concatenate([[0], np.cumsum(x[at])]) for x in (best, counts))
+            columns = [np.diff(bounds), *(x[bounds[1:]] - x[bounds[:-1]] for x in sums)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _VALUES[:5]), *map(pa.array, columns)], _VALUES)
 
-def _links(segments: DataFrame, *columns: str) -> DataFrame:
-    pairs = segments.select(*columns, F.explode(F.arrays_zip("link_a", "link_b")).alias("x"))
-    return pairs.select(*columns, F.col("x.link_a").alias("a"), F.col("x.link_b").alias("b"))
+    return segments.mapInArrow(value, "segment string, n_a long, n_b long, n_groups long, groups string, n_links long, n_best long, count_sum long")
 
 
 def _composed(texts: DataFrame, words: DataFrame, keep_groups: bool) -> DataFrame:
@@ -228,13 +303,12 @@ def align(documents: DataFrame, json_path: str, model_path: str, settings: Setti
     key = hashlib.sha256(b"".join(blobs)).hexdigest()
     sent = spark.sparkContext.broadcast(blobs)
     stage = Staging(spark, "alignment")
-    both = stage.save(_tables(documents, key, sent, settings), "blocks", partition_by="kind")
+    both = stage.save(_tables(documents, key, sent, settings), "blocks", partition_by="kind", codec="zstd")
     texts = both.where("kind = 0").select("block", "doc_id", "segs")
-    # read as a table of its own, so that texts and dictionaries can meet
-    words = spark.read.schema(both.schema).parquet(both._staged_path).where("kind = 1").select("block", "idx", "segment", "n")
-    segments = stage.save(_aligned(words.groupBy("segment").agg(F.sum("n").alias("total")), key, sent), "segments")
+    words = both.where("kind = 1").select("block", "idx", "segment", "n")
+    segments = stage.save(_aligned(words.groupBy("segment").agg(F.sum("n").alias("total")), key, sent), "segments", codec="zstd")
 
-    bad = segments.where("not ok").select("segment")
+    bad = segments.where("groups is null").select("segment")
     if not bad.isEmpty():
         # texts that hold such a segment have no tokens, and what they hold doesn't count
         held = words.join(bad, "segment", "left_semi").groupBy("block").agg(F.collect_set("idx").alias("bads"))
@@ -242,14 +316,14 @@ def align(documents: DataFrame, json_path: str, model_path: str, settings: Setti
         texts = marked.select("block", "doc_id", F.when(~F.col("bad"), F.col("segs")).alias("segs"))
         lost = marked.where("bad").select("block", F.explode("segs").alias("idx")).groupBy("block", "idx").agg(F.count("*").alias("lost"))
         lost = lost.join(words, ["block", "idx"]).groupBy("segment").agg(F.sum("lost").alias("lost"))
-        less = segments.join(lost, "segment", "left").withColumn("total", F.col("total") - F.coalesce("lost", F.lit(0))).drop("lost")
-        segments = stage.save(less, "segments")
-
-    counted = segments.where("ok and total > 0")
-    pairs = stage.save(_links(counted, "total").groupBy("a", "b").agg(F.sum("total").alias("count")), "pairs")
-    most = pairs.groupBy("b").agg(F.max("count").alias("most"))
-    pairs = stage.save(pairs.join(most, "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("long").alias("best")), "pairs")
-    near = F.broadcast(pairs) if pairs.count() <= settings.broadcast_rows else pairs
-    sums = _links(counted, "segment").join(near, ["a", "b"]).groupBy("segment").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    values = stage.save(counted.select("segment", "n_a", "n_b", "n_groups", "groups").join(sums, "segment"), "values")
-    return _composed(texts, words.select("block", "idx", "segment").join(values, "segment").drop("segment"), keep_groups)
+        less = stage.save(segments.join(lost, "segment", "left").withColumn("total", F.col("total") - F.coalesce("lost", F.lit(0))).drop("lost"), "segments", codec="zstd")
+        stage.drop(segments)
+        segments = less
+
+    counted = segments.where("groups is not null and total > 0")
+    pairs = stage.save(pair_counts(counted), "pairs")
+    # a table, so that the files of this shuffle are gone before the next one
+    named = stage.save(words.select("block", "idx", "segment").join(_valued(counted, pairs, settings), "segment").drop("segment"), "dictionaries", codec="zstd")
+    stage.drop(segments)
+    delete(spark, f"{both._staged_path}/kind=1")
+    return _composed(texts, named, keep_groups)

@@ -55,7 +55,7 @@ class Settings:
     block_items: int = 256
     #: Rows of a chunk of a list, and documents whose fetched postings are summed in one group.
     chunk_rows: int = 16_384
-    group_rows: int = 16_384
+    group_rows: int = 4_096
 
 
 class Block:
@@ -206,7 +206,7 @@ def _kth(scores: DataFrame, by: str, k: int, items: int) -> np.ndarray:
 
 def fetched(lists: DataFrame, sent: Broadcast, bound: np.ndarray, most: np.ndarray, groups: int, k: int) -> DataFrame:
     """item, row, low and high: bounds of the scores of documents with a posting at or above the uniform threshold,
-    but for those that k documents of their own group surpass. bound: by item; most: by term, the best contribution."""
+    but for those whose upper bound lies below the item's bound or the k-th sum in their group. bound: by item; most: by term, the best contribution."""
     block: Block = sent.value
     m, q = block.lists[block.item], block.q
     # a list of an item counts from bound / m on; so a posting that isn't fetched gives under it
@@ -244,7 +244,7 @@ def fetched(lists: DataFrame, sent: Broadcast, bound: np.ndarray, most: np.ndarr
             for i in np.unique(out[-1][0]):  # the k best sums so far
                 now = np.concatenate([best[i], out[-1][2][out[-1][0] == i]])
                 best[i] = np.partition(now, len(now) - k)[len(now) - k :] if len(now) > k else now
-            floor = np.array([b.min() if len(b) == k else 0 for b in best])
+            floor = np.maximum(bound, [b.min() if len(b) == k else 0 for b in best])
             out[-1] = tuple(x[out[-1][3] >= floor[out[-1][0]]] for x in out[-1])
         item, row, low, high = (np.concatenate(x) for x in zip(*out))
         keep = high >= floor[item]

@@ -71,10 +71,11 @@ class Staging:
         self._count = 0
         atexit.register(self.close)
 
-    def save(self, frame: DataFrame, name: str = "t", partition_by: str | None = None) -> DataFrame:
+    def save(self, frame: DataFrame, name: str = "t", partition_by: str | None = None, codec: str | None = None) -> DataFrame:
         self._count += 1
         path = f"{self.root}/{self._count:03d}-{name}"
         writer = frame.write.mode("overwrite")
+        writer = writer.option("compression", codec) if codec else writer
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         back = self.spark.read.schema(frame.schema).parquet(path)
         back._staged_path = path

@@ -73,7 +73,7 @@ def test_against_whole_texts(spark, pair):
     docs = ODD + [(100 + i, "".join(draw.choice(letters) for _ in range(draw.randint(1, 80)))) for i in range(300)]
     want = brute(pair, docs)
     assert made(spark, docs) == want
-    assert made(spark, docs, alignment.Settings(block_bytes=50, broadcast_rows=0)) == want
+    assert made(spark, docs, alignment.Settings(block_chars=50, broadcast_rows=0)) == want
 
 
 def test_documents(spark, sf_dir, pair):
@@ -83,11 +83,12 @@ def test_documents(spark, sf_dir, pair):
 
 def test_cuts(pair):
     """Cuts stand where no entry reaches across; without that proof a text is one segment."""
-    assert pair.cuts and pair.segments("one  two\n three ") == [" one", "  two\n three", " "]
+    assert pair.cuts and pair.segments("one  two\n three ") == ["one", " two\n three", ""] and pair.segments("a b ") == ["a", "b", ""]
+    assert pair.segments("  a b") == ["  a", "b"]
     assert alignment._spaced("a b") and not alignment._spaced("  b") and not alignment._spaced("\n b") and alignment._spaced("b ")
     whole = alignment.Pair(*(Path(p).read_bytes() for p in FILES))
     whole.cuts = False
-    assert whole.segments("one two") == [" one two"]
+    assert whole.segments("one two") == ["one two"]
 
 
 def test_empty(spark):
