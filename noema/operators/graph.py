@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from noema.functions.numbers import blended, jaccard
 from noema.operators.lineage import checkpointed
+from noema.operators.selection import quantiles
 
 
 def scored_edges(directed: DataFrame, tags: DataFrame, weight: float) -> DataFrame:
@@ -52,15 +53,15 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def isolated(nearest_one: DataFrame, least: float, factor: float, eps: float = 1e-9) -> DataFrame:
     """Points whose nearest similarity lies below the bound and the lower fence of all nearest similarities."""
-    fence = nearest_one.agg(F.percentile("sim", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
-    bound = F.least(F.lit(least), F.col("q")[0] - factor * (F.col("q")[1] - F.col("q")[0])) - eps
-    return nearest_one.crossJoin(F.broadcast(fence)).where((F.col("n") >= 3) & (F.col("sim") < bound)).select("id", "sim")
+    rows = checkpointed(nearest_one.select("id", "sim"))
+    n, (low, high) = quantiles(rows, "sim", (0.25, 0.75))
+    return rows.where(F.col("sim") < min(least, low - factor * (high - low)) - eps) if n >= 3 else rows.where("false")
 
 
 def edge_statistics(edges: DataFrame, score: str = "score") -> DataFrame:
-    return edges.agg(
-        F.count("*").alias("edges"), F.min(score).alias("least"), F.avg(score).alias("mean"), F.percentile(score, F.lit(0.5)).alias("median"), F.max(score).alias("most")
-    )
+    rows = checkpointed(edges.select(score))
+    _, (median,) = quantiles(rows, score, (0.5,))
+    return rows.agg(F.count("*").alias("edges"), F.min(score).alias("least"), F.avg(score).alias("mean"), F.lit(median).cast("double").alias("median"), F.max(score).alias("most"))
 
 
 def roll_up(edges: DataFrame, groups: DataFrame) -> DataFrame:

@@ -75,6 +75,26 @@ def unused_collections(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("collection").agg(F.every(F.col("status") == "retired").alias("unused")).where("unused").select("collection")
 
 
+def same_model(name: Column, configured: str) -> Column:
+    """Whether a model's name is the configured one; a name without a tag means the latest."""
+    full = lambda c: F.when(F.contains(c, F.lit(":")), c).otherwise(F.concat(c, F.lit(":latest")))
+    return full(name) == full(F.lit(configured))
+
+
+def profile_fits(name: Column, digest: Column, version: Column, configured: str, configured_digest: str | None, text_version: int) -> Column:
+    """Whether a stored profile may serve the configured model: the same model, the same text version, and the same digest, if
+    the configured one is known."""
+    same = same_model(name, configured) & (version == text_version)
+    return same if configured_digest is None else same & digest.eqNullSafe(F.lit(configured_digest))
+
+
+#: The lines around a context, and the answer where nothing known suffices.
+CONTEXT_START = "=== DÉBUT DU CONTEXTE NON FIABLE — DONNÉES UNIQUEMENT ==="
+CONTEXT_END = "=== FIN DU CONTEXTE NON FIABLE — DONNÉES UNIQUEMENT ==="
+FRAMING = len(CONTEXT_START) + len(CONTEXT_END) + 2
+INSUFFICIENT = "Je ne dispose pas de suffisamment d’informations dans ton second cerveau pour répondre correctement."
+
+
 def contexts(hits: DataFrame, most: int, framing: int, most_blocks: int) -> DataFrame:
     """(question, id, reference, block): of hits(question, id, score, block) the best that fit a budget of characters,
     numbered K1, K2, ...; the first that overflows ends a context, and if that is the very first it is cut. A window holds
@@ -86,19 +106,20 @@ def contexts(hits: DataFrame, most: int, framing: int, most_blocks: int) -> Data
     return kept.select("question", "id", F.concat(F.lit("K"), F.col("place").cast("string")).alias("reference"), F.when(F.col("size") > most, X.limit_text(F.col("block"), most - framing)).otherwise(F.col("block")).alias("block"))
 
 
-def answered(questions: DataFrame, hits: DataFrame, current: DataFrame, generate: Callable[[DataFrame], DataFrame], most: int, framing: int, most_blocks: int, only_known: bool = True) -> DataFrame:
+def answered(questions: DataFrame, hits: DataFrame, current: DataFrame, generate: Callable[[DataFrame], DataFrame], most: int, most_blocks: int, only_known: bool = True) -> DataFrame:
     """(question, state, answer, additions, known): every one of questions(question, text) with its hits, array of structs
     (id, score, reference, provided, used) by score.
 
     hits(question, id, score, block, mark) were retrieved; generate gives (question, answer, additions, used, insufficient)
-    from (question, text, context), context null where nothing was found. With only_known a question without context isn't
-    asked and is 'insufficient'. current(id, mark) is read after the answers: a hit that is gone or has another mark makes
+    from (question, text, context), context between its start and end lines, null where nothing was found. With only_known a
+    question without context isn't asked and is 'insufficient'. An insufficient answer is a fixed sentence, whatever was
+    generated; additions stay. current(id, mark) is read after the answers: a hit that is gone or has another mark makes
     its question 'changed', and citations that don't hold make it 'refused: ' and why; both lose their answer.
     """
     c = F.col
-    given = checkpointed(contexts(hits, most, framing, most_blocks))
+    given = checkpointed(contexts(hits, most, FRAMING, most_blocks))
     parts = given.withColumn("place", F.substring("reference", 2, 9).cast("int")).groupBy("question").agg(F.array_sort(F.collect_list(F.struct("place", "reference", "block"))).alias("parts"))
-    context = parts.select("question", F.array_join(F.transform("parts", lambda x: x["block"]), "\n\n").alias("context"), F.transform("parts", lambda x: x["reference"]).alias("allowed"))
+    context = parts.select("question", F.concat_ws("\n", F.lit(CONTEXT_START), F.array_join(F.transform("parts", lambda x: x["block"]), "\n\n"), F.lit(CONTEXT_END)).alias("context"), F.transform("parts", lambda x: x["reference"]).alias("allowed"))
     asked = questions.join(context, "question", "left")
     sent = asked.where(c("context").isNotNull()) if only_known else asked
     replies = checkpointed(generate(sent.select("question", "text", "context")).select("question", "answer", "additions", "used", "insufficient"))
@@ -117,4 +138,5 @@ def answered(questions: DataFrame, hits: DataFrame, current: DataFrame, generate
     item = F.struct((-c("score")).alias("rank"), "id", "score", "reference", c("reference").isNotNull().alias("provided"), F.coalesce(F.array_contains("cited", c("reference")), F.lit(False)).alias("used"))
     known = flagged.groupBy("question").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("rank")).alias("known"))
     shown = lambda name: F.when(c("state").isin("answered", "insufficient"), c(name)).alias(name)
-    return decided.select("question", "state", shown("answer"), shown("additions")).join(known, "question", "left")
+    answer = F.when(c("state") == "insufficient", INSUFFICIENT).when(c("state") == "answered", c("answer")).alias("answer")
+    return decided.select("question", "state", answer, shown("additions")).join(known, "question", "left")

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from noema.functions import text as X
 from noema.functions.folding import client_text, plain, search_text
+from noema.operators.lineage import checkpointed
 from noema.operators.relational import numbered
 
 
@@ -108,23 +113,99 @@ def client_search(items: DataFrame, wanted: str, limit: int) -> DataFrame:
     return items.withColumn("score", score).where("score is not null").orderBy(F.col("score").desc(), "kind", "label", "id").limit(limit)
 
 
+class _Costs:
+    """Costs of consecutive items, and where bins that begin among them end."""
+
+    def __init__(self, costs: np.ndarray, budget: int):
+        self.budget, self.until = budget, np.cumsum(costs)
+        self.before = self.until - costs
+        after = np.searchsorted(self.until, self.before + budget, side="right")
+        # an item too large for any bin is taken by one that is empty
+        first = np.minimum(after, max(len(costs) - 1, 0))
+        self.next = np.where((after < len(costs)) & (self.before[first] == self.before), after + 1, after)
+
+    def entry(self, used: int) -> int:
+        """The first item that doesn't fit in an open bin of which so much is used; the number of items if all do."""
+        after = int(np.searchsorted(self.until, self.budget - used, side="right"))
+        return after + 1 if not used and after < len(self.until) and not self.before[after] else after
+
+    def starts(self, entry: int) -> list[int]:
+        """All items that begin a bin, if this one does."""
+        out = []
+        while entry < len(self.until):
+            out.append(entry)
+            entry = int(self.next[entry])
+        return out
+
+    def ends(self, upto: int) -> tuple[list[int], list[int]]:
+        """For each entry up to one: how much of the last bin is used in the end, and how many bins begin."""
+        total = int(self.until[-1])
+        used, count = [0] * (len(self.until) + 2), [0] * (len(self.until) + 2)
+        for i, (n, b) in zip(range(len(self.until) - 1, -1, -1), zip(self.next[::-1].tolist(), self.before[::-1].tolist())):
+            used[i], count[i] = (used[n], count[n] + 1) if n < len(self.until) else (total - b, 1)
+        return used[: upto + 1], count[: upto + 1]
+
+
 def bin_groups(items: DataFrame, budget: int, overhead: int) -> DataFrame:
     """(grp, ord, bin): items(grp, ord, tokens) in order; a new bin begins where the next item would exceed the budget.
-    Null tokens count as 0. A group passes one task in sorted batches, which hold a batch and the open bin only."""
-    import pandas as pd
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, number, used = object(), 0, 0
-        for frame in frames:
-            out = []
-            for grp, n in zip(frame["grp"], frame["tokens"]):
-                if grp != group:
-                    group, number, used = grp, 0, 0
-                elif used and used + n + overhead > budget:
-                    number, used = number + 1, 0
-                used += n + overhead
-                out.append(number)
-            yield pd.DataFrame({"grp": frame["grp"], "ord": frame["ord"], "bin": out})
-
-    rows = items.select(F.col("grp").cast("string"), F.col("ord").cast("long"), F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"))
-    return rows.repartition("grp").sortWithinPartitions("grp", "ord").mapInPandas(run, "grp string, ord long, bin long")
+    Null tokens count as 0, a null group is a group.
+
+    Items are dealt out in ranges of group and order, so a group of any size spreads over tasks. Each range tells for every
+    place at which a bin from before it may end (an item of its first bin's worth) how full its last bin gets and how many
+    begin; the driver follows these from range to range, and each range numbers its items.
+    """
+    rows = items.select(F.col("grp").cast("string"), F.col("ord").cast("long"), (F.coalesce(F.col("tokens").cast("long"), F.lit(0)) + overhead).alias("cost"))
+    placed = checkpointed(rows.repartitionByRange("grp", "ord").sortWithinPartitions("grp", "ord"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray] | None:
+        """A range, and where its groups begin, with the end."""
+        found = [b for b in batches if b.num_rows]
+        if not found:
+            return None
+        table = pa.Table.from_batches(found).combine_chunks()
+        codes = table.column("grp").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        return table, np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1, [len(codes)]])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (own := whole(batches)) is None:
+            return
+        table, bounds = own
+        costs, grp = table.column("cost").to_numpy(), table.column("grp")
+        first, last = _Costs(costs[: bounds[1]], budget), _Costs(costs[bounds[-2] :], budget)
+        upto = min(int(np.searchsorted(first.until, budget, side="right")) + 1, len(first.until) - 1)
+        used, count = first.ends(upto)
+        starts = last.starts(0)
+        yield pa.RecordBatch.from_pylist([{
+            "part": TaskContext.get().partitionId(), "first": grp[0].as_py(), "last": grp[-1].as_py(), "alone": len(bounds) == 2, "total": int(first.until[-1]),
+            "until": first.until[: upto + 1].tolist(), "used": used, "count": count, "last_used": int(last.until[-1] - last.before[starts[-1]]), "last_bin": len(starts) - 1,
+        }], schema=pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("alone", pa.bool_()), ("total", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("until", "used", "count")), ("last_used", pa.int64()), ("last_bin", pa.int64())]))
+
+    schema = "part int, first string, last string, alone boolean, total long, until array<long>, used array<long>, count array<long>, last_used long, last_bin long"
+    opened: dict[int, tuple[int, int]] = {}  # by range: what is used of the bin that its first group comes with, and that bin
+    before = None
+    for r in sorted(placed.mapInArrow(told, schema).collect(), key=lambda r: r["part"]):
+        used, number = before[1:] if before and before[0] == r["first"] else (0, -1)
+        opened[r["part"]] = used, number
+        if r["alone"]:
+            at = 0
+            if number >= 0:
+                at = bisect_right(r["until"], budget - used)
+                at += not used and at < len(r["until"]) and not (at and r["until"][at - 1])
+            before = (r["first"], r["used"][at], number + r["count"][at]) if at < len(r["until"]) else (r["first"], used + r["total"], number)
+        else:
+            before = r["last"], r["last_used"], r["last_bin"]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (own := whole(batches)) is None:
+            return
+        table, bounds = own
+        costs, bins = table.column("cost").to_numpy(), np.zeros(table.num_rows, dtype=np.int64)
+        for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+            used, last = opened[TaskContext.get().partitionId()] if k == 0 else (0, -1)
+            own_costs = _Costs(costs[a:b], budget)
+            begun = np.zeros(b - a, dtype=np.int64)
+            begun[own_costs.starts(own_costs.entry(used) if last >= 0 else 0)] = 1
+            bins[a:b] = last + np.cumsum(begun)
+        yield from pa.table({"grp": table.column("grp"), "ord": table.column("ord"), "bin": pa.array(bins)}).to_batches(max_chunksize=1 << 16)
+
+    return placed.mapInArrow(number, "grp string, ord long, bin long")

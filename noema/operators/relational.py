@@ -124,6 +124,23 @@ def violations(checks: dict[str, Column], rows: DataFrame) -> DataFrame:
     return counted.select(F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("rows")) for k in checks))).alias("x")).select("x.*")
 
 
+def dangling(children: DataFrame, keys: Sequence[str], parents: DataFrame, parent_keys: Sequence[str]) -> DataFrame:
+    """The children whose keys, none of them null, are those of no parent."""
+    held = parents.select(*(F.col(p).alias(f"_{i}") for i, p in enumerate(parent_keys))).distinct()
+    whole, same = F.lit(True), F.lit(True)
+    for i, k in enumerate(keys):
+        whole, same = whole & F.col(k).isNotNull(), same & (F.col(k) == F.col(f"_{i}"))
+    return children.where(whole).join(held, same, "left_anti")
+
+
+def stale_marks(marks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """marks(id, fingerprint, status) after a change of nodes(id, fingerprint): 'stale' where the text that was indexed is another
+    now. What isn't part of a fingerprint (tags) changes nothing; marks of nodes that are gone, or that weren't indexed, stay."""
+    now = nodes.select("id", F.col("fingerprint").alias("_now"))
+    changed = (F.col("status") == "indexed") & F.col("_now").isNotNull() & ~F.col("_now").eqNullSafe(F.col("fingerprint"))
+    return marks.join(now, "id", "left").withColumn("status", F.when(changed, "stale").otherwise(F.col("status"))).drop("_now")
+
+
 def duplicate_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).count().where("count > 1")
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from noema.operators.lineage import checkpointed
+
 #: Rows of a block, and of it those multiplied at once: a task holds two blocks and the product of a strip with one.
 BLOCK, STRIP = 8192, 1024
 
@@ -28,52 +30,154 @@ def unit_vectors(vectors: DataFrame, key: str = "id", column: str = "embedding")
     return vectors.where(usable_vector(F.col(column))).select(key, unit(F.col(column)).alias("u")).where("u is not null")
 
 
-def nearest(points: DataFrame, k: int, least: float = -1.0, key: str = "id", column: str = "u") -> DataFrame:
+_FOUND = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("sim", pa.float64())])
+
+
+def _best(ask: pa.Table, have: pa.Table, k: int, least: float) -> list[pa.Table]:
+    """The k best of have for each row of ask, strip by strip; have is in order of id, which decides ties."""
+    b, index, out = have.column("id").to_numpy(), _matrix(have.column("u")), []
+    for at in range(0, ask.num_rows, STRIP):
+        strip = ask.slice(at, STRIP)
+        a = strip.column("id").to_numpy()
+        sims = _matrix(strip.column("u")) @ index.T
+        sims[a[:, None] == b[None, :]] = -np.inf
+        rounded = np.round(sims, 9)
+        # those at least as good as the k-th; of equals at the end the smaller ids
+        kth = np.partition(rounded, -k, axis=1)[:, -k] if k < len(b) else np.full(len(a), -np.inf)
+        row, col = np.nonzero((rounded >= kth[:, None]) & (sims >= max(least, -2.0)))
+        order = np.lexsort((col, -rounded[row, col], row))
+        row, col = row[order], col[order]
+        starts = np.searchsorted(row, np.arange(len(a)))
+        keep = np.arange(len(row)) - starts[row] < k
+        row, col = row[keep], col[keep]
+        out.append(pa.table([a[row], b[col], sims[row, col]], schema=_FOUND))
+    return out
+
+
+def _kept_best(found: DataFrame, k: int) -> DataFrame:
+    window = Window.partitionBy("id").orderBy(F.round("sim", 9).desc(), "other")
+    return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+
+
+class Regions:
+    """Points of length one by their nearest pivot, and what each has still to be compared with.
+
+    Angles obey the triangle inequality: a point at an angle t from a pivot is at least t - r away from every point of the
+    pivot's region, whose points lie within r of it. Once a point knows its k best of its own region, a region that can't hold
+    a better one is passed by. pivots are a bounded sample of the points, by a hash of their ids.
+    """
+
+    def __init__(self, points: DataFrame, pivots: int, block: int):
+        rows = points.orderBy(F.xxhash64("id"), "id").limit(pivots).select("u").collect()  # at most `pivots` rows
+        self.pivots = np.array([r["u"] for r in rows], dtype=np.float64)
+        middle = self.pivots
+
+        def place(batches):
+            for batch in batches:
+                x = _matrix(pa.chunked_array([batch.column("u")])) if batch.num_rows else np.zeros((0, middle.shape[1]))
+                sims = np.clip(x @ middle.T, -1, 1)
+                at = sims.argmax(1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("u"), pa.array(at.astype(np.int32)), pa.array(np.arccos(sims[np.arange(len(x)), at]))], ["id", "u", "region", "angle"])
+
+        self.points = checkpointed(points.select("id", "u").mapInArrow(place, "id long, u array<double>, region int, angle double"))
+        self.sizes, self.reach = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows))
+        for r in self.points.groupBy("region").agg(F.count("*").alias("n"), F.max("angle").alias("reach")).collect():
+            self.sizes[r["region"]], self.reach[r["region"]] = r["n"], r["reach"]
+        self.parts = np.maximum(1, -(-self.sizes // block))
+
+    def _parted(self) -> DataFrame:
+        parts = self.points.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(self.parts)], "region int, parts int")
+        return self.points.join(F.broadcast(parts), "region").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+    def inside(self, k: int, least: float) -> DataFrame:
+        """The k best of each point in its own region."""
+        rows = self._parted()
+        asked = rows.select("region", F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("is_first"), "id", "u")
+        held = rows.select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("part").alias("j"), F.lit(False).alias("is_first"), "id", "u")
+        return _kept_best(asked.unionByName(held).groupBy("region", "i", "j").applyInArrow(lambda t: _asked(t, k, least), "id long, other long, sim double"), k)
+
+    def open(self, found: DataFrame, k: int, least: float) -> DataFrame:
+        """(id, u, region, part, other): the regions in which points may find better ones than those found."""
+        worst = found.where(F.col("rank") == k).select("id", F.col("sim").alias("worst"))
+        rows = self._parted().join(worst, "id", "left").select("id", "u", "region", "part", F.greatest(F.coalesce("worst", F.lit(-2.0)), F.lit(least)).alias("worst"))
+        middle, reach, filled = self.pivots, self.reach, self.sizes > 0
+
+        def check(batches):
+            for batch in batches:
+                x = _matrix(pa.chunked_array([batch.column("u")])) if batch.num_rows else np.zeros((0, middle.shape[1]))
+                away = np.arccos(np.clip(x @ middle.T, -1, 1)) - reach
+                # a margin for rounding: of similarities 1e-9 apart the smaller id wins
+                may = (np.cos(np.clip(away, 0, np.pi)) >= batch.column("worst").to_numpy()[:, None] - 2e-9) & filled
+                may[np.arange(len(x)), batch.column("region").to_numpy()] = False
+                row, region = np.nonzero(may)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in ("id", "u", "region", "part")), pa.array(region.astype(np.int32))], ["id", "u", "region", "part", "other"])
+
+        return rows.mapInArrow(check, "id long, u array<double>, region int, part int, other int")
+
+    def outside(self, asked: DataFrame, k: int, least: float) -> DataFrame:
+        """The k best of each asked point in each of the regions asked of."""
+        parts = self.points.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(self.parts)], "other int, parts int")
+        left = asked.join(F.broadcast(parts), "other").select("region", "part", "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("is_first"), "id", "u")
+        cells = left.select("region", "part", "other", "j").distinct()
+        right = self._parted().select(F.col("region").alias("other"), F.col("part").alias("j"), "id", "u").join(cells, ["other", "j"])
+        both = left.unionByName(right.select("region", "part", "other", "j", F.lit(False).alias("is_first"), "id", "u"))
+        return _kept_best(both.groupBy("region", "part", "other", "j").applyInArrow(lambda t: _asked(t, k, least), "id long, other long, sim double"), k)
+
+
+def _asked(table: pa.Table, k: int, least: float) -> pa.Table:
+    """The k best of a cell's held rows for its asked ones."""
+    ask = table.filter(table.column("is_first")).combine_chunks()
+    have = table.filter(pc.invert(table.column("is_first"))).sort_by("id").combine_chunks()
+    parts = _best(ask, have, k, least) if ask.num_rows and have.num_rows else []
+    return pa.concat_tables(parts) if parts else _FOUND.empty_table()
+
+
+def nearest_by_regions(points: DataFrame, k: int, least: float = -1.0, pivots: int = 256, block: int | None = None) -> DataFrame:
+    """nearest for points(id, u) of length one: products are those inside regions around pivots, and of points with regions
+    that may hold a better neighbour. Exact for any points; far fewer products where they lie in clusters."""
+    regions = Regions(points, pivots, block or BLOCK)
+    own = checkpointed(regions.inside(k, least).select("id", "other", "sim", "rank"))
+    more = regions.outside(regions.open(own, k, least), k, least)
+    return _kept_best(own.select("id", "other", "sim").unionByName(more.select("id", "other", "sim")), k)
+
+
+def nearest(points: DataFrame, k: int, least: float = -1.0, key: str = "id", column: str = "u", unit: bool = False) -> DataFrame:
     """(id, other, sim, rank): the k points with the highest dot product of every point, ties by id.
 
     Every pair of blocks is a cell with a matrix product of its own, which leaves k rows a point of either block; a
     window over these picks the k best. The search is exact, so products grow with the square of the points; a row travels
-    once for each block of all points.
+    once for each block of all points. Of more points than a block holds, if they are said to be of length one, those go by
+    regions, which pass by what can't be near.
     """
     n = points.count()
+    if unit and n > BLOCK:
+        return nearest_by_regions(points.select(F.col(key).cast("long").alias("id"), F.col(column).alias("u")), k, least)
     # small tables too are cut into cells for all cores
     spread = min(math.isqrt(2 * points.sparkSession.sparkContext.defaultParallelism) + 1, -(-n // 256))
     blocks = max(1, -(-n // BLOCK), spread)
     numbered = points.select(F.col(key).alias("id"), F.col(column).alias("u")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     sides = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cells = sides.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("is_first"), "id", "u")
-    schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("sim", pa.float64())])
-
-    def best(ask: pa.Table, have: pa.Table) -> list[pa.Table]:
-        """The k best of have for each row of ask, strip by strip; have is in order of id, which decides ties."""
-        b, index, out = have.column("id").to_numpy(), _matrix(have.column("u")), []
-        for at in range(0, ask.num_rows, STRIP):
-            strip = ask.slice(at, STRIP)
-            a = strip.column("id").to_numpy()
-            sims = _matrix(strip.column("u")) @ index.T
-            sims[a[:, None] == b[None, :]] = -np.inf
-            rounded = np.round(sims, 9)
-            # those at least as good as the k-th; of equals at the end the smaller ids
-            kth = np.partition(rounded, -k, axis=1)[:, -k] if k < len(b) else np.full(len(a), -np.inf)
-            row, col = np.nonzero((rounded >= kth[:, None]) & (sims >= max(least, -2.0)))
-            order = np.lexsort((col, -rounded[row, col], row))
-            row, col = row[order], col[order]
-            starts = np.searchsorted(row, np.arange(len(a)))
-            keep = np.arange(len(row)) - starts[row] < k
-            row, col = row[keep], col[keep]
-            out.append(pa.table([a[row], b[col], sims[row, col]], schema=schema))
-        return out
 
     def compare(table: pa.Table) -> pa.Table:
         first = table.filter(table.column("is_first")).sort_by("id").combine_chunks()
         second = table.filter(pc.invert(table.column("is_first"))).sort_by("id").combine_chunks()
         inside = table.num_rows and table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        parts = best(first, first) if inside else best(first, second) + best(second, first) if first.num_rows and second.num_rows else []
-        return pa.concat_tables(parts) if parts else schema.empty_table()
+        parts = _best(first, first, k, least) if inside else _best(first, second, k, least) + _best(second, first, k, least) if first.num_rows and second.num_rows else []
+        return pa.concat_tables(parts) if parts else _FOUND.empty_table()
 
-    window = Window.partitionBy("id").orderBy(F.round("sim", 9).desc(), "other")
-    found = cells.groupBy("i", "j").applyInArrow(compare, "id long, other long, sim double")
-    return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    return _kept_best(cells.groupBy("i", "j").applyInArrow(compare, "id long, other long, sim double"), k)
+
+
+def nearest_of(asked: DataFrame, points: DataFrame, k: int, least: float = -1.0, key: str = "id", column: str = "u") -> DataFrame:
+    """nearest for some of the points only: products are those of asked rows with all points."""
+    few, n = asked.count(), points.count()
+    asks, haves = max(1, -(-few // BLOCK)), max(1, -(-n // BLOCK), min(points.sparkSession.sparkContext.defaultParallelism, -(-n // 256)))
+    block = lambda frame, blocks: frame.select(F.col(key).alias("id"), F.col(column).alias("u")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    left = block(asked, asks).select(F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(haves - 1))).alias("j"), F.lit(True).alias("is_first"), "id", "u")
+    right = block(points, haves).select(F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("i"), F.col("block").alias("j"), F.lit(False).alias("is_first"), "id", "u")
+
+    return _kept_best(left.unionByName(right).groupBy("i", "j").applyInArrow(lambda t: _asked(t, k, least), "id long, other long, sim double"), k)
 
 
 def top_k(points: DataFrame, wanted: list[float], k: int, key: str = "id", column: str = "u") -> DataFrame:

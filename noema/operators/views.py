@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from noema.operators.selection import quantiles
+
 #: Camera ratios from which domains, and up to which facts are shown; labels shown by tier.
 DOMAINS_FROM, FACTS_TO = 1.2, 0.52
 LABELS = {"domains": 12, "themes": 18, "knowledge": 24}
+#: The quantile of edge scores below which edges are hidden.
+CUTOFFS = {"themes": 0.15, "knowledge": 0.25}
 
 
 def zoom_tier(ratio: Column) -> Column:
@@ -54,11 +60,11 @@ def visible_labels(nodes: DataFrame, tier: str, forced: list[str]) -> DataFrame:
 
 def canonical_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(source, target, score, relations) of edges between known nodes: no loops, one edge a pair in either direction,
-    with the highest score (within -1 to 1, 0 if it is no number) and the highest count."""
+    with the highest score (within -1 to 1, 0 if it is no number) and the highest count (whole, 1 or more)."""
     score = F.when(F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf")), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score"))))
     known = nodes.select("id").distinct()
     both = edges.where("source <> target").join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
-    return both.groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(F.max(score).alias("score"), F.max("relations").alias("relations"))
+    return both.groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(F.max(score).alias("score"), F.max(F.greatest(F.lit(1), F.coalesce("relations", F.lit(1)).cast("long"))).alias("relations"))
 
 
 def positions(points: DataFrame) -> DataFrame:
@@ -92,12 +98,34 @@ def graph_faults(nodes: DataFrame) -> DataFrame:
     return own.crossJoin(twice).select(F.expr("stack(3, 'blank label', `blank label`, 'no place', `no place`, 'repeated id', n) as (fault, rows)"))
 
 
-def presentation(nodes: DataFrame, edges: DataFrame, focus: Column, tier: str) -> DataFrame:
-    """nodes(id, kind) with hidden (by tier), highlighted (the focus and what is linked with it) and dimmed (the rest of
-    the shown ones, if there is a focus)."""
-    near = edges.where((F.col("source") == focus) | (F.col("target") == focus)).select(F.explode(F.array("source", "target")).alias("id")).distinct()
-    has_clusters = not nodes.where("kind = 'cluster'").isEmpty()
-    marked = nodes.join(near.withColumn("near", F.lit(True)), "id", "left")
-    hidden = ~kind_visible(F.col("kind"), F.lit(tier), F.lit(has_clusters))
-    lit = F.coalesce("near", F.lit(False)) | F.coalesce(F.col("id") == focus, F.lit(False))
-    return marked.select("id", "kind", hidden.alias("hidden"), (~hidden & lit).alias("highlighted"), (~hidden & ~lit & focus.isNotNull()).alias("dimmed"))
+class Presentation(NamedTuple):
+    """nodes(id, kind, hidden, highlighted, dimmed) and edges(source, target, score, hidden, highlighted, dimmed)."""
+
+    nodes: DataFrame
+    edges: DataFrame
+
+
+def presentation(nodes: DataFrame, edges: DataFrame, focus, marked, tier: str) -> Presentation:
+    """How nodes(id, kind) and edges(source, target, score) are shown around a focus, with a marked node; either may be None.
+
+    The focus and the marked node are highlighted and never hidden; other nodes are hidden by kind and tier. With a
+    focus that exists all but it and its neighbours are dimmed, whether they are hidden or not, and of the edges only
+    its own are shown, highlighted. Without one the weakest edges are hidden: those below a low quantile of all scores,
+    higher in the nearest tier, none in the farthest.
+    """
+    c = F.col
+    if focus is not None and nodes.where(c("id") == focus).isEmpty():
+        focus = None
+    clusters = not nodes.where("kind = 'cluster'").isEmpty()
+    lit = c("id").isin([x for x in (focus, marked) if x is not None])
+    hidden = ~lit & ~kind_visible(c("kind"), F.lit(tier), F.lit(clusters))
+    direct = F.lit(False) if focus is None else (c("source") == focus) | (c("target") == focus)
+    near = edges.where(direct).select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("near", F.lit(True))
+    far = F.lit(False) if focus is None else ~F.coalesce(c("near"), F.lit(False)) & (c("id") != focus)
+    shown = nodes.join(near, "id", "left").select("id", "kind", hidden.alias("hidden"), lit.alias("highlighted"), far.alias("dimmed"))
+    cutoff = None
+    if focus is None and tier in CUTOFFS:
+        _, (cutoff,) = quantiles(edges.where(F.abs("score") < float("inf")), "score", (CUTOFFS[tier],), between=False)
+    weak = ~direct if focus is not None else F.lit(False) if cutoff is None else c("score") < cutoff
+    lines = edges.select("source", "target", "score", weak.alias("hidden"), direct.alias("highlighted"), (~direct if focus is not None else F.lit(False)).alias("dimmed"))
+    return Presentation(shown, lines)

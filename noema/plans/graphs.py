@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from noema.functions import numbers as N
 from noema.operators import cluster, graph, similarity, tree
 from noema.operators.lineage import checkpointed
+from noema.operators.selection import quantiles
 from noema.plans.registry import Tables, query
 
 K, LEAST, WEIGHT = 8, 0.25, 0.05
@@ -25,7 +25,7 @@ def _points(t: Tables):
 
 
 def _directed(t: Tables):
-    return similarity.nearest(_points(t), K).where(F.col("sim") >= LEAST)
+    return similarity.nearest(_points(t), K, unit=True).where(F.col("sim") >= LEAST)
 
 
 def _tags(t: Tables):
@@ -89,7 +89,7 @@ def node_degree(t: Tables):
 @query(f"""with {_DIRECTED}, n as (select id, max(sim) as sim from s group by 1), f as (select quantile_cont(sim, 0.25) as q1, quantile_cont(sim, 0.75) as q3 from n)
 select id, round(sim, 6) as sim from n, f where sim < least(0.45::double, q1 - 1.5::double * (q3 - q1)) - 1e-9::double""")
 def isolated_nodes(t: Tables):
-    return graph.isolated(similarity.nearest(_points(t), 1), 0.45, 1.5).select("id", F.round("sim", 6).alias("sim"))
+    return graph.isolated(similarity.nearest(_points(t), 1, unit=True), 0.45, 1.5).select("id", F.round("sim", 6).alias("sim"))
 
 
 @query(f"with {_EDGES} select true as bounded, true as canonical, 0::bigint as lost_mutual")
@@ -182,14 +182,8 @@ def neighbourhood(t: Tables):
 @query(f"with {_EDGES}, l as (select list_sort(list(score)) as v from e) select round(v[(floor((len(v) - 1) * 0.6::double))::int + 1], 6) as cutoff from l")
 def edge_cutoff(t: Tables):
     """The score below which the weakest edges of a view are hidden."""
-    # the score at a rank, from counts of different scores in ranges: only a row a range is in one task
-    scores = checkpointed(_edges(t).groupBy("score").agg(F.count("*").alias("n")).repartitionByRange("score").withColumn("part", F.spark_partition_id()))
-    sums = scores.groupBy("part").agg(F.sum("n").alias("total"))
-    before = sums.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("total").over(Window.partitionBy()).alias("all"))
-    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("score"))
-    ranked = scores.join(F.broadcast(before), "part").withColumn("upto", upto)
-    at = F.floor((F.col("all") - 1) * F.lit(0.6)) + 1
-    return ranked.where((F.col("upto") >= at) & (F.col("upto") - F.col("n") < at)).select(F.round("score", 6).alias("cutoff"))
+    _, (cutoff,) = quantiles(_edges(t), "score", (0.6,), between=False)
+    return t.spark.range(1).select(F.round(F.lit(cutoff).cast("double"), 6).alias("cutoff"))
 
 
 @query("""with c as (select 0 as o, 'cluster' as kind, label::varchar as id, 'Group ' || label as label, count(*) as size from embeddings where label < 8 group by label),
@@ -238,18 +232,11 @@ def pca_invariants(t: Tables):
     return spread.select(F.lit(straight).alias("orthonormal"), falling.alias("falling"))
 
 
-def _groups(t: Tables):
-    """Mean vectors of the labels: where the dendrogram begins, so that its rounds don't grow with the points."""
-    means = similarity.mean_vectors(_labelled(t), "grp")
-    return checkpointed(means.select(F.col("grp").cast("long").alias("id"), F.col("mean").alias("u"), "members"))
-
-
 @query("select (select count(*) from embeddings) as points, 4::bigint as groups, true as sizes_add_up")
 def partition_choice(t: Tables):
-    """A cut of the average-linkage dendrogram into four groups is a partition of all points."""
-    start = _groups(t)
-    labels = cluster.cut(start, cluster.average_linkage(start), 4).withColumnRenamed("id", "label")
-    members = t.embeddings.select("vec_id", F.col("label").cast("long").alias("label")).join(labels, "label")
+    """A cut of the average-linkage dendrogram of all points into four groups is a partition of them."""
+    points = checkpointed(_points(t))
+    members = t.embeddings.select("vec_id").join(cluster.cut(points, cluster.average_linkage(points), 4), F.col("vec_id") == F.col("id"))
     sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("d"))
     return sizes.agg(F.sum("n").alias("points"), F.count("*").alias("groups"), (F.sum("n") == F.sum("d")).alias("sizes_add_up"))
 
@@ -257,11 +244,24 @@ def partition_choice(t: Tables):
 @query("select (select count(*) from embeddings) as points, true as themes_inside")
 def hierarchy_invariants(t: Tables):
     """Every point is in the hierarchy once, and a theme lies in one domain."""
-    start = _groups(t).withColumn("u", N.unit(F.col("u")))
-    found = checkpointed(cluster.hierarchy(start, 3, 2, -1.0))
+    found = checkpointed(cluster.hierarchy(_points(t), 12, 3, 0.0, 6))
     themes = found.where("theme is not null").groupBy("theme").agg(F.count_distinct("domain").alias("d")).agg(F.coalesce(F.max("d") <= 1, F.lit(True)).alias("themes_inside"))
-    placed = t.embeddings.select("vec_id", F.col("label").cast("long").alias("id")).join(found, "id")
-    return placed.agg(F.count("vec_id").alias("points")).crossJoin(themes)  # one row each
+    placed = t.embeddings.select(F.col("vec_id").alias("id")).join(found, "id")
+    return placed.agg(F.count("id").alias("points")).crossJoin(themes)  # one row each
+
+
+@query()
+def point_clusters(t: Tables):
+    """Domain and theme of every point, and points that belong nowhere."""
+    return cluster.clustered(_points(t), 12, 3, 0.0, 0.45, 1.5, 6)
+
+
+@query()
+def partition_scores(t: Tables):
+    """The silhouette of every cut of all points that has groups of three or more."""
+    points = checkpointed(_points(t).withColumn("part", F.lit(0).cast("long")))
+    found = cluster.partition_search(points, checkpointed(cluster.average_linkage(points)), 12, 3, 0.0)
+    return found.scores.select("groups", F.round("silhouette", 6).alias("silhouette"), "least")
 
 
 def _tree(t: Tables):

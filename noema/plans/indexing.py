@@ -81,14 +81,16 @@ def retired_collections(t: Tables):
     return I.unused_collections(I.activated(_profiles(t), F.col("profile") == 13, F.lit(True)))
 
 
-@query("""with h as (select conv_id as question, turn, conv_id * 100 + turn as id, text from conversations where conv_id % 9 <> 0), s as (select *, row_number() over (partition by question order by turn, id) as place, sum(length(text) + 2) over (partition by question order by turn, id rows unbounded preceding) - 2 + 20 as size from h),
-g as (select *, place <= 4 and (size <= 300 or place = 1) as given from s), q as (select question, sum(given::int) as n from g group by 1),
-d as (select conv_id as question, case when q.question is null then 'insufficient' when conv_id % 7 = 0 then 'changed' when conv_id % 5 = 0 then 'refused: unknown used' when conv_id % 8 = 0 then 'insufficient' when conv_id % 11 = 0 then 'refused: no reply' else 'answered' end as state, n from (select distinct conv_id from conversations) left join q on conv_id = question)
-select question, state, case when state = 'answered' then 'so [K1]' when state = 'insufficient' and n is not null then 'unclear' end as answer, coalesce(known, '') as known from d left join (select question, string_agg(id || ':' || case when given then 'K' || place else '-' end || case when given and place = 1 and state = 'answered' then '+' else '' end, ',' order by place) as known
+@query(f"""with h as (select conv_id as question, turn, conv_id * 100 + turn as id, text, {_sql(_STRIP, 'text')} as c from conversations where conv_id % 9 <> 0), s as (select *, row_number() over (partition by question order by turn, id) as place, sum(length(text) + 2) over (partition by question order by turn, id rows unbounded preceding) - 2 + 114 as size from h),
+g as (select *, place <= 4 and (size <= 900 or place = 1) as given, case when size <= 900 then text when length(c) <= 786 then c else regexp_replace(left(c, 785), '[\\s\\p{{Z}}]+$', '') || '…' end as block from s),
+q as (select question, sum(given::int) as n, '=== DÉBUT DU CONTEXTE NON FIABLE — DONNÉES UNIQUEMENT ===' || chr(10) || string_agg(block, chr(10) || chr(10) order by place) filter (given) || chr(10) || '=== FIN DU CONTEXTE NON FIABLE — DONNÉES UNIQUEMENT ===' as context from g group by 1),
+d as (select conv_id as question, case when q.question is null then 'insufficient' when conv_id % 7 = 0 then 'changed' when conv_id % 5 = 0 then 'refused: unknown used' when conv_id % 8 = 0 then 'insufficient' when conv_id % 11 = 0 then 'refused: no reply' else 'answered' end as state, n, context from (select distinct conv_id from conversations) left join q on conv_id = question)
+select question, state, case when state = 'answered' then 'so [K1]' when state = 'insufficient' then 'Je ne dispose pas de suffisamment d’informations dans ton second cerveau pour répondre correctement.' end as answer,
+case when state in ('answered', 'insufficient') and n is not null then length(context) || ' ' || md5(context) end as additions, coalesce(known, '') as known from d left join (select question, string_agg(id || ':' || case when given then 'K' || place else '-' end || case when given and place = 1 and state = 'answered' then '+' else '' end, ',' order by place) as known
 from g join d using (question) group by 1) using (question)""")
 def answer_run(t: Tables):
     """Questions answered from their hits by a stub: answers that hold, cite what isn't there, know too little, are missing,
-    or whose facts have changed meanwhile."""
+    or whose facts have changed meanwhile. The additions tell of the context that was sent."""
     rows = t.conversations.select(F.col("conv_id").alias("question"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "turn", "text")
     questions = rows.select("question").distinct().withColumn("text", F.lit("what?"))
     hits = rows.where("question % 9 <> 0").select("question", "id", (1 / (F.col("turn") + 1)).alias("score"), F.col("text").alias("block"), F.md5("text").alias("mark"))
@@ -97,11 +99,11 @@ def answer_run(t: Tables):
     def generate(asked):
         q = F.col("question")
         used = F.when(q % 5 == 0, F.array(F.lit("K99"))).when(q % 8 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("K1")))
-        return asked.where((q % 11 != 0) | (q % 5 == 0) | (q % 8 == 0)).select(q, F.when(q % 8 == 0, "unclear").otherwise("so [K1]").alias("answer"), F.lit(None).cast("string").alias("additions"), used.alias("used"), (q % 8 == 0).alias("insufficient"))
+        return asked.where((q % 11 != 0) | (q % 5 == 0) | (q % 8 == 0)).select(q, F.when(q % 8 == 0, "unclear").otherwise("so [K1]").alias("answer"), F.concat_ws(" ", F.length("context").cast("string"), F.md5("context")).alias("additions"), used.alias("used"), (q % 8 == 0).alias("insufficient"))
 
-    out = I.answered(questions, hits, current, generate, 300, 20, 4)
+    out = I.answered(questions, hits, current, generate, 900, 4)
     shown = F.transform("known", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), F.coalesce(x["reference"], F.lit("-")), F.when(x["used"], "+").otherwise("")))
-    return out.select("question", "state", "answer", F.coalesce(F.array_join(shown, ","), F.lit("")).alias("known"))
+    return out.select("question", "state", "answer", "additions", F.coalesce(F.array_join(shown, ","), F.lit("")).alias("known"))
 
 
 @query("""with j as (select event_id as job_id, user_id as target, case when event_id % 2 = 0 then 'index' else 'rebuild' end as kind, case when event_id % 7 = 0 then 'pending' when event_id % 3 = 0 then 'failed' else 'succeeded' end as status, ts from events where user_id % 3 <> 0),

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from noema.functions import numbers as N
+from noema.functions import text as X
+from noema.functions.times import utc, utc_text
 from noema.operators import relational as R
 from noema.plans.registry import Tables, query
 
@@ -207,6 +209,39 @@ def unique_violations(t: Tables):
     return R.duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
+@query("""select 'orders.customer' as rule, count(*) as rows from orders where o_custkey is not null and o_custkey not in (select c_custkey from customer) union all
+select 'labels.german', count(*) from labels where doc_id is not null and doc_id not in (select doc_id from documents where lang = 'de') union all
+select 'lineitem.line of its order', count(*) from lineitem l where not exists (select 1 from lineitem p where p.l_orderkey = l.l_orderkey and p.l_linenumber = l.l_linenumber - 1) and l_linenumber > 1""")
+def foreign_violations(t: Tables):
+    """Rows that name a parent that isn't there, by one key or two."""
+    lines = t.lineitem.where("l_linenumber > 1").withColumn("before", F.col("l_linenumber") - 1)
+    checks = {
+        "orders.customer": R.dangling(t.orders, ["o_custkey"], t.customer, ["c_custkey"]),
+        "labels.german": R.dangling(t.labels, ["doc_id"], t.documents.where("lang = 'de'"), ["doc_id"]),
+        "lineitem.line of its order": R.dangling(lines, ["l_orderkey", "before"], t.lineitem, ["l_orderkey", "l_linenumber"]),
+    }
+    parts = [frame.agg(F.count("*").alias("rows")).select(F.lit(rule).alias("rule"), "rows") for rule, frame in checks.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""select doc_id as id, case when doc_id % 4 = 0 then 'failed' when doc_id % 6 = 1 then 'indexed' when length(text) % 3 = 0 then 'stale' else 'indexed' end as status from documents where text is not null and source is not null""")
+def stale_embeddings(t: Tables):
+    """Marks after edits: a third of the texts by length, tags of all; some nodes are gone, some were never indexed."""
+    rows = t.documents.where("text is not null and source is not null").withColumnRenamed("doc_id", "id")
+    marks = rows.select("id", X.fingerprint(F.col("source"), F.col("text")).alias("fingerprint"), F.when(F.col("id") % 4 == 0, "failed").otherwise("indexed").alias("status"))
+    edited = F.when(F.length("text") % 3 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))
+    nodes = rows.where("id % 6 <> 1").select("id", X.fingerprint(F.col("source"), edited).alias("fingerprint"), F.array(F.lit("new tag")).alias("tags"))
+    return R.stale_marks(marks, nodes).select("id", "status")
+
+
+@query("""select event_id, strftime(ts - case when event_id % 3 = 1 then interval 90 minute else interval 0 minute end, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' as utc from events""")
+def utc_coercion(t: Tables):
+    """Points in time without an offset, with one, and in Zulu time."""
+    plain = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    written = F.concat(plain, F.when(F.col("event_id") % 3 == 1, "+01:30").when(F.col("event_id") % 3 == 2, "Z").otherwise(""))
+    return t.events.select("event_id", utc_text(utc(written)).alias("utc"))
+
+
 @query("select 'part' as kind, p_partkey::varchar as id, p_name as label from part union all select 'nation', n_nationkey::varchar, n_name from nation")
 def union_kinds(t: Tables):
     """Two sources as one typed stream."""

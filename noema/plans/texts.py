@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from noema.functions import numbers as N
 from noema.functions import text as X
+from noema.functions.canonical import canonical_row
 from noema.operators import chunking, knowledge
 from noema.operators.lineage import checkpointed
 from noema.plans.registry import Tables, query
@@ -142,14 +143,18 @@ def evidence_locator(t: Tables):
 _FACTS = f"select doc_id, {_TITLE} as title, text, lang, source from documents"
 
 
-@query(f"""with f as ({_FACTS}), k as (select *, {_sql(_KEY, 'title')} as kt, {_sql(_KEY, 'text')} as kx from f)
-select min(doc_id) as first, arg_min(title, doc_id) as title, count(*) as merged, count(distinct doc_id % 16) as n_passages from k group by kt, kx""")
+@query(f"""with f as ({_FACTS}), k as (select *, {_sql(_KEY, 'title')} as kt, {_sql(_KEY, 'text')} as kx from f),
+t as (select kt, kx, tag, min(doc_id * 2 + at) as first from (select kt, kx, doc_id, unnest([lang, source]) as tag, unnest([0, 1]) as at from k) group by 1, 2, 3),
+r as (select kt, kx, tag, first, row_number() over (partition by kt, kx order by first) as rank from t where tag is not null),
+g as (select kt, kx, string_agg(tag, ',' order by first) as tags from r where rank <= 8 group by 1, 2),
+m as (select kt, kx, min(doc_id) as first, arg_min(title, doc_id) as title, count(*) as merged, array_to_string(list_sort(list_distinct(list(doc_id % 16))), ',') as passages from k group by 1, 2)
+select m.first, title, merged, passages, coalesce(tags, '') as tags from m left join g on m.kt is not distinct from g.kt and m.kx is not distinct from g.kx""")
 def fact_merge(t: Tables):
     facts = t.documents.select(
         F.col("doc_id").alias("ord"), X.derived_title(F.col("text")).alias("title"), F.col("text").alias("content"),
         F.array("lang", "source").alias("tags"), (F.col("doc_id") % 16).alias("passage"),
     )
-    return knowledge.merge_facts(facts).select("first", "title", "merged", F.size("passages").cast("long").alias("n_passages"))
+    return knowledge.merge_facts(facts).select("first", "title", "merged", F.array_join(F.transform("passages", lambda p: p.cast("string")), ",").alias("passages"), F.array_join("tags", ",").alias("tags"))
 
 
 @query("""with m as (select source as grp, count(*) over (partition by source) as members, lower(lang) as word from documents), c as (select grp, word, count(*) as n, any_value(members) as members from m group by 1, 2 having count(*) >= case when any_value(members) = 1 then 1 else 2 end),
@@ -181,10 +186,19 @@ def bin_pack_groups(t: Tables):
     return knowledge.bin_groups(t.documents.select(F.col("source").alias("grp"), F.col("doc_id").alias("ord"), F.col("n_chars").alias("tokens")), 6000, 8)
 
 
-@query("""select doc_id, '{"lang":"' || lang || '","n":' || n_chars || ',"source":"' || source || '"}' as canonical, sha256('{"lang":"' || lang || '","n":' || n_chars || ',"source":"' || source || '"}') as digest from documents""")
+@query("""with j as (select doc_id, '{"a":{"size":' || coalesce(n_chars::varchar, 'null') || ',"z":[{"lang":' || coalesce(to_json(lang)::varchar, 'null') || ',"n":1},null]},"m":{' || to_json('k' || doc_id % 3)::varchar || ':' || doc_id % 2 || ',"kz":0},"source":' || coalesce(to_json(source)::varchar, 'null')
+|| ',"text":' || coalesce(to_json(left(text, 60))::varchar, 'null') || ',"yes":' || (doc_id % 2 = 0)::varchar || '}' as canonical from documents) select *, sha256(canonical) as digest, true as same from j""")
 def canonical_json_digest(t: Tables):
-    doc = F.to_json(F.struct("lang", F.col("n_chars").alias("n"), "source"))
-    return t.documents.select("doc_id", doc.alias("canonical"), F.sha2(doc, 256).alias("digest"))
+    """Nested values as JSON; another order of fields and of a map's entries gives the same digest."""
+    d, one, no = F.col("doc_id"), F.lit(1).alias("n"), F.lit(None).cast("struct<n:int,lang:string>")
+    text, yes = F.left("text", F.lit(60)).alias("text"), (d % 2 == 0).alias("yes")
+    key, value = F.concat(F.lit("k"), (d % 3).cast("string")), (d % 2).cast("int")
+    first = t.documents.select("doc_id", yes, text, F.create_map(F.lit("kz"), F.lit(0), key, value).alias("m"), "source", F.struct(F.array(F.struct(one, "lang"), no).alias("z"), F.col("n_chars").alias("size")).alias("a"))
+    other = t.documents.select("doc_id", F.struct(F.col("n_chars").alias("size"), F.array(F.struct("lang", one), no.cast("struct<lang:string,n:int>")).alias("z")).alias("a"), "source", F.create_map(key, value, F.lit("kz"), F.lit(0)).alias("m"), yes, text)
+    names = ("a", "m", "source", "text", "yes")
+    made = [rows.select("doc_id", canonical_row(rows, *order).alias("canonical")) for rows, order in ((first, names), (other, names[::-1]))]
+    both = made[0].join(made[1].withColumnRenamed("canonical", "again"), "doc_id")
+    return both.select("doc_id", "canonical", F.sha2("canonical", 256).alias("digest"), (F.col("canonical") == F.col("again")).alias("same"))
 
 
 @query("""with h as (select label as grp, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('level=1;members=' || string_agg(vec_id::varchar, ',' order by vec_id))) as r from embeddings group by 1)

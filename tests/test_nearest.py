@@ -31,3 +31,24 @@ def test_few_points(spark):
     assert similarity.nearest(one.limit(0), 3).count() == 0
     two = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, u array<double>")
     assert [(r["id"], r["other"]) for r in similarity.nearest(two, 3).orderBy("id").collect()] == [(1, 2), (2, 1)]
+
+
+def test_regions_give_the_same_rows_with_few_products(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    middles = draw.normal(size=(12, 16))
+    x = middles[np.arange(600) % 12] + draw.normal(size=(600, 16)) * 0.05
+    x[100:130] = x[100]  # copies that tie
+    x[590:] = draw.normal(size=(10, 16))  # points far from all
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points = spark.createDataFrame([(int(i), row.tolist()) for i, row in enumerate(x)], "id long, u array<double>").repartition(4)
+    rows = lambda f: sorted((r["id"], r["rank"], r["other"], round(r["sim"], 8)) for r in f.collect())
+    wanted = rows(similarity.nearest(points, 6, 0.2))
+    assert rows(similarity.nearest_by_regions(points, 6, 0.2, pivots=30, block=25)) == wanted
+    assert rows(similarity.nearest_by_regions(points, 6, 0.2, pivots=1)) == wanted
+    regions = similarity.Regions(points, 30, 25)
+    own = regions.inside(6, 0.2)
+    asked = regions.open(own, 6, 0.2).groupBy("other").count().collect()
+    products = int((regions.sizes**2).sum()) + sum(r["count"] * int(regions.sizes[r["other"]]) for r in asked)
+    assert products < 600 * 600 / 4
+    monkeypatch.setattr(similarity, "BLOCK", 100)
+    assert rows(similarity.nearest(points, 6, 0.2, unit=True)) == wanted
