@@ -144,7 +144,7 @@ _FACTS = f"select doc_id, {_TITLE} as title, text, lang, source from documents"
 
 
 @query(f"""with f as ({_FACTS}), k as (select *, {_sql(_KEY, 'title')} as kt, {_sql(_KEY, 'text')} as kx from f),
-t as (select kt, kx, tag, min(doc_id * 2 + at) as first from (select kt, kx, doc_id, unnest([lang, source]) as tag, unnest([0, 1]) as at from k) group by 1, 2, 3),
+t as (select kt, kx, tag, min(doc_id * 2 + pos) as first from (select kt, kx, doc_id, unnest([lang, source]) as tag, unnest([0, 1]) as pos from k) group by 1, 2, 3),
 r as (select kt, kx, tag, first, row_number() over (partition by kt, kx order by first) as rank from t where tag is not null),
 g as (select kt, kx, string_agg(tag, ',' order by first) as tags from r where rank <= 8 group by 1, 2),
 m as (select kt, kx, min(doc_id) as first, arg_min(title, doc_id) as title, count(*) as merged, array_to_string(list_sort(list_distinct(list(doc_id % 16))), ',') as passages from k group by 1, 2)
