@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noema.llm.staging import Staging
 
+#: Different edges of two numbers each that one task joins; more are joined in rounds over all tasks.
+LOCAL = 1 << 20
+
 
 def _canonical(edges: DataFrame) -> DataFrame:
     return (
@@ -29,13 +36,36 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (a, b) and the smallest node each is joined with: roots take the smaller root of a neighbour
+    and all nodes their root's root, until no edge lies between two roots."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while (apart := root[x] != root[y]).any():
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+    if found:
+        nodes, roots = joined(*(np.concatenate(x) for x in zip(*found)))
+        yield from pa.table({"node": nodes, "component": roots}).to_batches(max_chunksize=1 << 16)
+
+
 def connected_components(edges: DataFrame, stage: Staging) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 
     edges has columns a and b of one orderable type; nulls, loops and repeats count for nothing. Each round's
-    edges are a staged table; the result is a star around each smallest node when a round changes nothing.
+    edges are a staged table; the result is a star around each smallest node when a round changes nothing. Up to LOCAL
+    different edges of whole numbers are one small file, which a single task solves.
     """
     current, before = stage.save(_canonical(edges), "edges"), None
+    if {t for _, t in current.dtypes} == {"bigint"} and current.count() <= LOCAL:
+        return current.coalesce(1).mapInArrow(_at_once, "node long, component long")
     while True:
         larger = stage.save(_large_star(current), "large")
         stage.drop(current)

@@ -12,8 +12,9 @@ several components get another pivot; what then still lies apart is compared in
 that return only the links that join components. All links are confirmed on full texts.
 At similarity 0.85 one of 24 bands of 4 is shared with probability 1 - 2e-8.
 
-Null, empty and blank texts have no shingles and link with nothing. Rows with one doc_id are one node. Repeated
-rows come out as often as they go in. Columns other than doc_id and text are ignored here.
+Null, empty and blank texts have no shingles and link with nothing. Rows with one doc_id are one node, whatever their texts:
+it is linked with all that any of them is linked with. Repeated rows come out as often as they go in; rows without an id are
+no node. Columns other than doc_id and text are ignored here.
 """
 
 from __future__ import annotations
@@ -115,15 +116,15 @@ def verify(pairs: DataFrame, texts: DataFrame, settings: Settings = Settings())
     both = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
+        last, own = None, None  # an id may have several texts
         for batch in batches:
             a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
             keep = np.zeros(len(a), dtype=bool)
             at = 0
             for first, end, values, bounds in K.shingles(batch.column("text_b"), settings.width):
                 for i in range(first, end):
-                    if a[i] != last:
-                        last = a[i]
+                    if last != (now := (a[i], batch.column("text_a")[i].as_py())):
+                        last = now
                         own = next(K.shingles(batch.column("text_a").slice(i, 1), settings.width))[2]
                     other = values[bounds[i - first] : bounds[i - first + 1]]
                     spot = np.minimum(np.searchsorted(own, other), max(len(own) - 1, 0))
@@ -192,6 +193,11 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
         "classes",
     )
     texts = documents.select("doc_id", "text")
+    repeated = stage.save(signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    several = not repeated.isEmpty()
+    if several:  # each text of an id once, however often it is repeated
+        again = texts.join(repeated, "doc_id", "left_semi").groupBy("doc_id", F.sha2("text", 256).alias("mark")).agg(F.first("text").alias("text"))
+        texts = texts.join(repeated, "doc_id", "left_anti").unionByName(stage.save(again.select("doc_id", "text"), "texts"))
     rows = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n")).alias("pivot")).where("members > 1")
     # a table, so that a bucket of many members is an ordinary skewed partition of the join, which Spark splits
@@ -243,12 +249,16 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
         if not more.isEmpty():
             component = stage.save(connected_components(edges.union(more), stage), "components")
     named = classes.join(component, classes.rep == component.node, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    return (
+    found = (
         signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
         .withColumn("component_id", F.coalesce("component_id", "doc_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+    if several:  # what the texts of one id belong to is one group
+        found = stage.save(found, "found")
+        same = connected_components(found.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), stage)
+        found = found.join(stage.save(same, "same"), F.col("component_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_representatives(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:

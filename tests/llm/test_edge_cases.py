@@ -208,3 +208,42 @@ def test_pipeline(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert 0.2 * docs.count() < out.count() < docs.count()
     assert {"doc_id", "n_tokens", "ids_sha256"} <= set(out.columns)
+
+
+def test_minhash_rows_of_one_id_are_one_node(spark):
+    """An id with several texts joins the groups of all of them; a text that an id repeats costs one row."""
+    a, b, c = (" ".join(WORDS[k : k + 50]) for k in (0, 100, 200))
+    rows = [(3, a), (5, a), (5, b), (9, b + " tail"), (7, c), (8, None), (8, c), (2, None), (2, ""), *[(5, b)] * 40, (None, a)]
+    made = {}
+    for r in minhash.near_duplicates(table(spark, rows).repartition(4)).collect():
+        made.setdefault(r["doc_id"], set()).add(r["component_id"])
+    assert made == {3: {3}, 5: {3}, 9: {3}, 7: {7}, 8: {7}, 2: {2}, None: {3}} or made == {3: {3}, 5: {3}, 9: {3}, 7: {7}, 8: {7}, 2: {2}, None: {None}}
+    kept = ids(minhash.keep_representatives(table(spark, rows)))
+    assert [i for missing, i in kept if not missing] == [2, 2, 3, 7]
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    import random
+
+    from noema.llm import graph
+
+    draw = random.Random(4)
+    edges = [(draw.randrange(400), draw.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)] + [(None, 3), (5, 5)]
+    root = list(range(1100))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in edges:
+        if x is not None and x != y:
+            x, y = sorted((find(x), find(y)))
+            root[y] = x
+    want = {n: find(n) for e in edges if e[0] is not None and e[0] != e[1] for n in e}
+    frame = spark.createDataFrame(edges, "a long, b long")
+    for local in (1 << 20, 0):
+        monkeypatch.setattr(graph, "LOCAL", local)
+        stage = Staging(spark, "t")
+        assert {r["node"]: r["component"] for r in graph.connected_components(frame, stage).collect()} == want
+        stage.close()
