@@ -14,16 +14,37 @@ from noema.plans.texts import _SEG, _STRIP, _TITLE, _cues, _sql
 from noema.sources import subtitles
 
 
-@query("select doc_id, case when doc_id % 4 = 3 then 'naïve “quote” – 5 €' else text end as text from documents where text is not null")
+#: Letters of other scripts for a to z, by which given texts become Cyrillic and Greek ones.
+_CYRILLIC, _GREEK = "абцдефгхийклмнопярстувшчыз", "αβκδεφγηίϊκλμνόπθρστύχωξψζ"
+
+
+@query(f"""with t as (select doc_id, text, lower(text) as small from documents where regexp_matches(text, '\\S') and not contains(text, chr(65533))), plain as (select * from t where regexp_full_match(text, '[\\x00-\\x7F]*') and regexp_matches(text, '[a-z]{{3}}'))
+select 'marked' as kind, doc_id, text from t union all select 'cyrillic', doc_id, translate(small, 'abcdefghijklmnopqrstuvwxyz', '{_CYRILLIC}') from plain union all select 'greek', doc_id, translate(small, 'abcdefghijklmnopqrstuvwxyz', '{_GREEK}') from plain
+union all select 'western', doc_id, text || ' naïve “quote” – 5 €' from t where regexp_full_match(text, '[\\x00-\\x7F]*') union all select 'damaged', doc_id, null from t""")
 def text_decode(t: Tables):
-    """Bytes of four encodings: with either byte order mark, plain, and Western 8-bit."""
-    mark = lambda h: F.unhex(F.lit(h))
-    western = "naïve “quote” – 5 €".encode("cp1252").hex()
-    data = (
-        F.when(F.col("doc_id") % 4 == 0, F.concat(mark("EFBBBF"), F.encode("text", "UTF-8"))).when(F.col("doc_id") % 4 == 1, F.concat(mark("FEFF"), F.encode("text", "UTF-16BE")))
-        .when(F.col("doc_id") % 4 == 2, F.encode("text", "UTF-8")).otherwise(mark(western))
+    """Bytes of texts: with and without byte order marks, in three 8-bit sets without a mark, and damaged ones."""
+    mark, d, text = (lambda h: F.unhex(F.lit(h))), F.col("doc_id"), F.col("text")
+    rows = t.documents.where(r"text rlike '\\S' and not contains(text, '\ufffd')").select("doc_id", "text")
+    marked = (
+        F.when(d % 6 == 0, F.concat(mark("EFBBBF"), F.encode(text, "UTF-8"))).when(d % 6 == 1, F.concat(mark("FEFF"), F.encode(text, "UTF-16BE"))).when(d % 6 == 2, F.concat(mark("FFFE"), F.encode(text, "UTF-16LE")))
+        .when(d % 6 == 3, F.concat(mark("0000FEFF"), F.encode(text, "UTF-32"))).otherwise(F.encode(text, "UTF-8"))
     )
-    return t.documents.where("text is not null").select("doc_id", subtitles.decode(data).alias("text"))
+    ascii_ = rows.where(r"text rlike '^[\\x00-\\x7F]*$'")
+
+    def spelled(letters: str, charset: str):
+        as_latin = letters.encode(charset).decode("iso-8859-1")
+        return F.encode(F.translate(F.lower(text), "abcdefghijklmnopqrstuvwxyz", as_latin), "ISO-8859-1")
+
+    few = ascii_.where("text rlike '[a-z]{3}'")
+    kinds = {
+        "marked": rows.withColumn("data", marked), "cyrillic": few.withColumn("data", spelled(_CYRILLIC, "cp1251")), "greek": few.withColumn("data", spelled(_GREEK, "cp1253")),
+        "western": ascii_.withColumn("data", F.concat(F.encode(text, "UTF-8"), mark(" naïve “quote” – 5 €".encode("cp1252").hex()))), "damaged": rows.withColumn("data", F.concat(mark("EFBBBF"), F.encode(F.concat(text, F.lit("\ufffd")), "UTF-8"))),
+    }
+    parts = [frame.select(F.lit(kind).alias("kind"), "doc_id", subtitles.decode(F.col("data")).alias("text")) for kind, frame in kinds.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query(f"""with d as (select doc_id, text, case doc_id % 3 when 0 then null when 1 then '  ' else ' Title ' || doc_id end as raw from documents)

@@ -19,23 +19,49 @@ def read_files(spark, path: str, most_bytes: int) -> DataFrame:
     return files.select("path", "length", verdict.alias("verdict"), F.when(F.col("length") <= most_bytes, F.col("content")).alias("data"))
 
 
-#: What the Western 8-bit set has where ISO-8859-1 has control characters, from 80 to 9F (unused ones as
-#: they are).
-WESTERN = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+#: 8-bit sets that bytes without a mark may be in; of equally good ones the first is taken.
+SETS = ("cp1252", "cp1251", "cp1253")
+VOWELS = "àáâãäåæèéêëìíîïòóôõöøùúûüаеёиоуыэюяαεηιουωάέήίόύώ"
+_UPPER_HALF = "".join(map(chr, range(0x80, 0x100)))
+
+
+def _in_set(latin: Column, charset: str) -> Column:
+    """Bytes, given as characters of ISO-8859-1, in an 8-bit set; unused places become U+FFFD, in the Western set what they
+    are in ISO-8859-1."""
+    table = "".join(bytes([b]).decode(charset, "replace") for b in range(0x80, 0x100))
+    if charset == "cp1252":
+        table = "".join(own if c == "\ufffd" else c for c, own in zip(table, _UPPER_HALF))
+    return F.translate(latin, _UPPER_HALF, table)
+
+
+def _likelihood(text: Column) -> Column:
+    """How well a decoded text looks like one: letters beyond ASCII count for it, vowels twice; against it unused places, capitals
+    after small letters, letters of two scripts side by side, and long runs of accented Latin letters."""
+    n = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    mixed = n(r"[A-Za-z][\p{IsGreek}\p{IsCyrillic}]") + n(r"[\p{IsGreek}\p{IsCyrillic}][A-Za-z]")
+    return n(r"[\p{L}&&[^\x00-\x7F]]") + n(f"(?iu)[{VOWELS}]") - 4 * (n("\ufffd") + n(r"\p{Ll}\p{Lu}") + mixed + n(r"[\u00C0-\u00FF]{3}"))
+
+
+def eight_bit(data: Column) -> Column:
+    """Bytes of an unknown 8-bit set as text of the likeliest one."""
+    latin = F.decode(data, "ISO-8859-1")
+    ranked = F.array(*(F.struct(_likelihood(_in_set(latin, c)).alias("score"), F.lit(-i).alias("place"), _in_set(latin, c).alias("text")) for i, c in enumerate(SETS)))
+    return F.array_max(ranked)["text"]
 
 
 def decode(data: Column) -> Column:
-    """Text of bytes: by byte order mark (the longest first), else strict UTF-8, else the Western 8-bit set; null if
-    that leaves no text."""
+    """Text of bytes: by byte order mark (the longest first), else strict UTF-8, else the likeliest 8-bit set; null if that
+    leaves no text or characters that can't be read."""
     start = F.hex(F.substring(data, 1, 4))
     part = lambda skip, charset: F.decode(F.substring(data, skip + 1, 1 << 30), charset)
     plain = F.try_validate_utf8(data.cast("string"))
-    return (
+    text = (
         F.when(start == "FFFE0000", part(4, "UTF-32")).when(start == "0000FEFF", part(4, "UTF-32"))
         .when(F.startswith(start, F.lit("EFBBBF")), part(3, "UTF-8"))
         .when(F.startswith(start, F.lit("FFFE")), F.decode(data, "UTF-16")).when(F.startswith(start, F.lit("FEFF")), F.decode(data, "UTF-16"))
-        .when(plain.isNotNull(), plain).otherwise(F.translate(F.decode(data, "ISO-8859-1"), "".join(map(chr, range(0x80, 0xA0))), WESTERN))
+        .when(plain.isNotNull(), plain).otherwise(eight_bit(data))
     )
+    return F.when((F.length(X.strip(text)) > 0) & ~F.contains(text, F.lit("\ufffd")), text)
 
 
 def parse(files: DataFrame) -> DataFrame:

@@ -1,15 +1,11 @@
 """Every query with SQL gives DuckDB's rows; every other one runs."""
 
-import os
-
 import pytest
 
 import __spark_entry__ as entry
 from tests.compare import differences, duck
 
 OWN = entry.QUERIES
-#: Average linkage takes many rounds; these run over the smallest tables only when asked for.
-SLOW = {"partition_choice", "hierarchy_invariants"}
 
 
 @pytest.fixture(scope="module")
@@ -19,8 +15,6 @@ def db(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(OWN))
 def test_query(spark, sf_dir, db, name):
-    if name in SLOW and not os.environ.get("TEST_SLOW"):
-        pytest.skip("slow; set TEST_SLOW")
     if name in entry.SQL:
         assert differences(spark, db, sf_dir, OWN[name], entry.SQL[name]) == ""
     else:
