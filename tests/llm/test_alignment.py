@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+from bisect import bisect_right
 from collections import Counter, defaultdict
+from itertools import takewhile
 from pathlib import Path
 
 import pytest
@@ -37,11 +39,14 @@ def brute(pair, docs):
                 out.append((at, at + len(p)))
                 at += len(p)
             spans.append(out)
-        links.append([(a[i], b[j]) for i, x in enumerate(spans[0]) for j, y in enumerate(spans[1]) if x[0] < y[1] and y[0] < x[1]])
+        until = [y[1] for y in spans[1]]
+        near = [takewhile(lambda j, end=x[1]: spans[1][j][0] < end, range(bisect_right(until, x[0]), len(b))) for x in spans[0]]
+        links.append([(a[i], b[j]) for i, js in enumerate(near) for j in js])
         ends = sorted({x[1] for x in spans[0]} & {y[1] for y in spans[1]})
         made, before = [], 0
+        after = [[s[1] for s in own] for own in spans]
         for end in ends:
-            made.append("|".join(",".join(str(i) for i, s in zip(ids, own) if before < s[1] <= end) for ids, own in ((a, spans[0]), (b, spans[1]))))
+            made.append("|".join(",".join(map(str, ids[bisect_right(own, before) : bisect_right(own, end)])) for ids, own in ((a, after[0]), (b, after[1]))))
             before = end
         groups.append(";".join(made))
         sizes.append((len(a), len(b), len(ends)))
