@@ -11,6 +11,7 @@ from noema.functions import text as X
 from noema.operators.chunking import Limits, chunk_texts
 from noema.operators.knowledge import bin_groups
 from noema.operators.lineage import checkpointed
+from noema.operators.relational import numbered
 
 #: Fixed value: what a place of a template is. Braces around anything else stay as they are.
 _PLACE = r"\{\{([a-z_]+)\}\}"
@@ -233,10 +234,11 @@ ANSWER = [Text("answer", 1, 12_000, collapsed=False), *_CITED]
 ANSWER_WITH_ADDITIONS = [Text("from_brain", 1, 12_000, collapsed=False), Text("model_additions", 0, 12_000, collapsed=False, nullable=True), *_CITED]
 
 
-def provenance_error(result_index: Column, expected: Column, references: Column, most: int) -> Column:
+def provenance_error(result_index: Column, expected: Column, references: Column, most: int, valid: Column | None = None) -> Column:
     """Why an analysed passage is refused, or null: its number, too many facts, or a fact (an array of places each) that
-    refers to another passage."""
-    wrong = F.filter(F.transform(references, lambda r, i: F.struct((F.array_distinct(r) != F.array(expected)).alias("bad"), i.alias("i"))), lambda x: x["bad"])
+    refers to another passage or to one that isn't valid (an array of the source's passages)."""
+    absent = (lambda r: F.size(F.array_except(r, valid)) > 0) if valid is not None else lambda r: F.lit(False)
+    wrong = F.filter(F.transform(references, lambda r, i: F.struct(((F.array_distinct(r) != F.array(expected)) | absent(r)).alias("bad"), i.alias("i"))), lambda x: x["bad"])
     return (
         F.when(result_index != expected, F.lit("passage_index")).when(F.size(references) > most, F.lit("knowledge"))
         .when(F.size(wrong) > 0, F.concat(F.lit("knowledge["), wrong[0]["i"].cast("string"), F.lit("].passage_indices")))
@@ -267,13 +269,11 @@ def reduced(summaries: DataFrame, summarise: Callable[[DataFrame], DataFrame], b
         keyed = large.select(F.to_json("key").alias("doc_id"), "text")
         cut = chunk_texts(keyed, limits, key_type="string").select(F.from_json("doc_id", "source string, ord long").alias("k"), "passage", "text")
         parts = small.withColumn("source", F.col("source").cast("string")).unionByName(cut.select("k.source", "k.ord", "passage", "text"))
-        # one number in order for each part of a source
-        place = F.struct("ord", "passage")
-        lists = parts.groupBy("source").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "text"))).alias("parts"))
-        numbered = lists.select("source", F.posexplode("parts").alias("ord", "p")).select("source", F.col("ord").cast("long").alias("ord"), F.col("p.text").alias("text"))
-        numbered = checkpointed(numbered.withColumn("tokens", X.token_estimate(F.col("text"))))
-        bins = bin_groups(numbered.select(F.col("source").alias("grp"), "ord", "tokens"), budget, overhead)
-        grouped = numbered.join(bins.select(F.col("grp").alias("source"), "ord", "bin"), ["source", "ord"]).groupBy("source", "bin").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("t"))
+        # one number in order for each part; of a source's parts only the order counts
+        placed = numbered(parts, F.col("source"), F.col("ord"), F.col("passage")).select("source", F.col("number").alias("ord"), "text")
+        placed = checkpointed(placed.withColumn("tokens", X.token_estimate(F.col("text"))))
+        bins = bin_groups(placed.select(F.col("source").alias("grp"), "ord", "tokens"), budget, overhead)
+        grouped = placed.join(bins.select(F.col("grp").alias("source"), "ord", "bin"), ["source", "ord"]).groupBy("source", "bin").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("t"))
         joined = grouped.select("source", F.col("bin").alias("ord"), F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
         made = checkpointed(summarise(joined).select("source", "ord", "text"))
         single = made.groupBy("source").agg(F.count("*").alias("n"), F.first("text").alias("summary"))

@@ -57,6 +57,31 @@ def index_run(nodes: DataFrame, points: DataFrame, marks: DataFrame, cutoff: Col
     return Indexed(after, marked, faults)
 
 
+def point_faults(points: DataFrame, dimensions: int) -> DataFrame:
+    """(id, fault) of points(id, payload: struct of id, source, fingerprint; vector) that an index must not hold; the first fault
+    counts. A vector is usable if it has the dimensions, finite numbers only, and some length."""
+    c = F.col
+    blank = lambda x: F.length(X.strip(F.coalesce(x.cast("string"), F.lit("")))) == 0
+    copies = points.groupBy("id").agg(F.count("*").alias("copies"), F.first(F.struct("payload", "vector")).alias("p")).select("id", "copies", "p.payload", "p.vector")
+    fault = (
+        F.when(c("id").isNull(), "no id").when(c("copies") > 1, "repeated id").when(c("payload").isNull(), "no payload").when(~c("payload.id").eqNullSafe(c("id")), "other id in the payload")
+        .when(blank(c("payload.source")), "no source").when(blank(c("payload.fingerprint")), "no fingerprint").when(c("vector").isNull() | (F.size("vector") == 0), "no vector")
+        .when(F.size("vector") != dimensions, "other dimensions").when(F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "not finite")
+        .when(F.forall("vector", lambda x: x == 0), "no length")
+    )
+    return copies.select("id", fault.alias("fault")).where("fault is not null")
+
+
+def current_hits(hits: DataFrame, nodes: DataFrame, marks: DataFrame, k: int) -> DataFrame:
+    """The k best of hits(id, score, fingerprint) that hold: the node is there, its mark is 'indexed', and hit, mark and node
+    agree on the text. nodes(id, title, content), marks(id, status, fingerprint). The filter comes before the limit."""
+    c = F.col
+    now = nodes.select("id", "title", X.fingerprint(c("title"), c("content")).alias("_now"))
+    held = marks.where("status = 'indexed'").select("id", c("fingerprint").alias("_mark"))
+    good = hits.join(now, "id").join(held, "id").where((c("fingerprint") == c("_now")) & (c("_mark") == c("_now")))
+    return good.select("id", "title", "score").orderBy(F.round("score", 9).desc(), "id").limit(k)
+
+
 def activated(profiles: DataFrame, chosen: Column, compatible: Column) -> DataFrame:
     """profiles(profile, status, dimensions, ...) with the chosen one active and other active ones retired. Nothing
     changes if the chosen one has no dimensions, doesn't fit its model or isn't there."""

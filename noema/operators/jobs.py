@@ -100,6 +100,27 @@ def failure_kind(message: Column) -> Column:
     )
 
 
+def index_facts(owners: DataFrame, nodes: DataFrame, marks: DataFrame, jobs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The facts from which index_status decides, for every one of owners(owner): from nodes(id, owner), marks(id, owner, status),
+    jobs(owner, running) and profiles(owner, status, compatible, error). A node without a mark is pending, a mark without a
+    node an orphan; only marks of nodes there are count as failed. Whether the store answers is for the caller to add."""
+    c = F.col
+    both = nodes.select("id", "owner", F.lit(1).alias("node")).join(marks.select("id", c("owner").alias("_owner"), c("status").alias("mark")), "id", "full_outer")
+    sums = both.groupBy(F.coalesce("owner", "_owner").alias("owner")).agg(
+        F.count("node").alias("nodes"), F.count_if(c("node").isNotNull() & (c("mark").isNull() | ~c("mark").isin("indexed", "failed"))).alias("pending"),
+        F.count_if(c("node").isNotNull() & (c("mark") == "failed")).alias("failed"), F.count_if(c("node").isNull()).alias("orphans"),
+    )
+    live, made = c("status") == "active", c("status") == "building"
+    held = profiles.groupBy("owner").agg(
+        F.bool_or(live).alias("has_active"), F.bool_or(made).alias("has_building"), F.bool_or(live & c("compatible")).alias("active_compatible"),
+        F.bool_or(made & c("compatible")).alias("building_compatible"), F.bool_or(made & c("error")).alias("building_error"),
+    )
+    busy = jobs.groupBy("owner").agg(F.bool_or("running").alias("job_running"))
+    wide = owners.select("owner").distinct().join(sums, "owner", "left").join(held, "owner", "left").join(busy, "owner", "left")
+    counts, flags = ["nodes", "pending", "failed", "orphans"], ["has_active", "has_building", "active_compatible", "building_compatible", "building_error", "job_running"]
+    return wide.select("owner", *(F.coalesce(n, F.lit(0)).alias(n) for n in counts), *(F.coalesce(n, F.lit(False)).alias(n) for n in flags))
+
+
 def index_status(facts: DataFrame) -> DataFrame:
     """facts with the state of a vector index; the first rule that holds decides."""
     c = F.col

@@ -180,12 +180,17 @@ def nearest_of(asked: DataFrame, points: DataFrame, k: int, least: float = -1.0,
     return _kept_best(left.unionByName(right).groupBy("i", "j").applyInArrow(lambda t: _asked(t, k, least), "id long, other long, sim double"), k)
 
 
-def top_k(points: DataFrame, wanted: list[float], k: int, key: str = "id", column: str = "u") -> DataFrame:
-    """(id, score): the k points of the highest cosine with one vector; a per-task top-k, then a merge of these."""
+def scored(points: DataFrame, wanted: list[float], key: str = "id", column: str = "u") -> DataFrame:
+    """(id, score): the cosine of every point with one vector."""
     q = np.asarray(wanted, dtype=np.float64)
     q = q / np.linalg.norm(q)
     score = F.aggregate(F.zip_with(column, F.array(*map(F.lit, q.tolist())), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return points.select(F.col(key).alias("id"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)).alias("score")).orderBy(F.round("score", 9).desc(), "id").limit(k)
+    return points.select(F.col(key).alias("id"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)).alias("score"))
+
+
+def top_k(points: DataFrame, wanted: list[float], k: int, key: str = "id", column: str = "u") -> DataFrame:
+    """(id, score): the k points of the highest cosine with one vector; a per-task top-k, then a merge of these."""
+    return scored(points, wanted, key, column).orderBy(F.round("score", 9).desc(), "id").limit(k)
 
 
 def mean_vectors(points: DataFrame, by: str, column: str = "u") -> DataFrame:

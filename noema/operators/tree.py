@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from noema.operators.lineage import checkpointed
 
@@ -41,6 +42,25 @@ def descendants(tree: DataFrame, start: str) -> DataFrame:
     return _union(_levels(tree, first, lambda b: b.select("id", (F.col("depth") + 1).alias("depth"))), first)
 
 
+def breadcrumb(tree: DataFrame, current: str | None, root: str) -> DataFrame:
+    """(place, id, label, level): the way from the root (its given label, no id) to a node of tree(id, parent, label, level). What
+    lies at level 0 is the root itself; a cycle ends the way where it is met again, an unknown node leaves the root."""
+    top = tree.sparkSession.createDataFrame([(0, None, root, 0)], f"place int, id {tree.schema['id'].dataType.simpleString()}, label string, level int")
+    if current is None:
+        return top
+    up = tree.select(F.col("parent").alias("_up"), F.col("id").alias("_own"))
+    step = lambda b: b.select(F.col("_up").alias("id"), (F.col("depth") + 1).alias("depth"))
+    level = checkpointed(tree.where(F.col("id") == current).select("id", F.lit(0).alias("depth")).distinct())
+    met = level
+    while not level.isEmpty():
+        above = step(level.join(up, F.col("id") == F.col("_own"))).where("id is not null").distinct()
+        level = checkpointed(above.join(tree.select("id"), "id", "left_semi").join(met.select("id"), "id", "left_anti"))
+        met = checkpointed(met.unionByName(level))
+    way = met.join(tree.select("id", "label", "level"), "id").where("level > 0")
+    place = F.row_number().over(Window.orderBy(F.col("depth").desc()))  # a way, not a tree
+    return top.unionByName(way.select(place.alias("place"), "id", "label", F.col("level").cast("int").alias("level")))
+
+
 def ancestor_at(paths: DataFrame, level: int) -> DataFrame:
     """(id, ancestor): the ancestor (or the node itself) at a level, for nodes at least so deep; of paths()."""
     return paths.where(F.col("depth") >= level).select("id", F.get(F.split("path", "/"), F.lit(level)).alias("ancestor"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from noema.operators import analysis as A
+from noema.operators import chunking
 from noema.operators.lineage import scratch
 from noema.plans.registry import Tables, query
 from noema.sources import generations
@@ -89,3 +90,41 @@ def analysis_sink(t: Tables):
     used = nodes.select("source", "node").join(tags, "node").groupBy("source").agg(F.count_distinct("name").alias("tags"))
     none = F.lit(0).cast("long")
     return counts.join(used, "source", "left").withColumn("reason", F.lit(None).cast("string")).unionByName(refused.select("source", none.alias("nodes"), none.alias("evidence"), none.alias("tags"), "reason"))
+
+
+@query("select lang, count(*) as rows, 2 as generation, true as refused from documents group by lang")
+def published_generation(t: Tables):
+    """The newest of two generations; a writer that began from the first is refused."""
+    root, counts = scratch(t.spark, "generations"), lambda rows: {"counts": rows.groupBy("lang").agg(F.count("*").alias("rows"))}
+    generations.publish(t.spark, counts(t.documents.where("lang = 'en'")), root)
+    newest = generations.publish(t.spark, counts(t.documents), root, base=1)
+    try:
+        generations.publish(t.spark, counts(t.documents.where("lang = 'fr'")), root, base=1)
+        refused = False
+    except generations.Conflict:
+        refused = True
+    return generations.read(t.spark, "counts", root).select("lang", "rows", F.lit(newest).alias("generation"), F.lit(refused).alias("refused"))
+
+
+@query("""with d as (select doc_id, text from documents where text is not null), s as (select doc_id, md5(text) as mark, doc_id % 3 as edit from d)
+select doc_id as source, edit = 0 as cut_again, true as ids_kept from s where exists (select 1 from d where d.doc_id = s.doc_id and regexp_matches(d.text, '\\S'))""")
+def passage_rebuild(t: Tables):
+    """A second import of all documents, a third of which have got a last paragraph: only these are cut again, and every passage
+    whose text is as before keeps its id."""
+    texts = t.documents.where("text is not null").select(F.col("doc_id").alias("source"), "text")
+    limits = chunking.Limits(target=120, most=160)
+
+    def cut(sources):
+        made = chunking.chunk_texts(sources, limits, key="source")
+        return made.select("source", "passage", F.col("char_start").alias("start"), F.col("char_end").alias("end"), "text")
+
+    none = t.spark.createDataFrame([], "id string, source long, passage int, start int, end int, text string")
+    known = t.spark.createDataFrame([], "source long, mark string")
+    stored = A.checkpointed(A.prepared(texts, none, known, cut, "1").drop("state"))
+    edited = texts.withColumn("text", F.when(F.col("source") % 3 == 0, F.concat("text", F.lit("\n\nA paragraph at the end."))).otherwise(F.col("text")))
+    seen = []
+    again = A.checkpointed(A.prepared(edited, stored, texts.select("source", F.md5("text").alias("mark")), lambda s: seen.append(s) or cut(s), "2"))
+    old = stored.select("source", F.md5("text").alias("mark")).distinct().withColumn("was", F.lit(True))
+    lost = again.where("state = 'new'").select("source", F.md5("text").alias("mark")).join(old, ["source", "mark"], "left_semi").select("source").distinct().withColumn("lost", F.lit(True))
+    wide = again.select("source").distinct().join(seen[0].select("source").distinct().withColumn("cut_again", F.lit(True)), "source", "left").join(lost, "source", "left")
+    return wide.select("source", F.coalesce("cut_again", F.lit(False)).alias("cut_again"), F.coalesce(~F.col("lost"), F.lit(True)).alias("ids_kept"))

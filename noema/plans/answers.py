@@ -268,13 +268,20 @@ def list_parse(t: Tables):
     return t.events.select("event_id", F.array_join(A.listed(raw), "|").alias("items"))
 
 
-@query("""select event_id, case when event_id % 5 = 0 then 'passage_index' when event_id % 7 = 0 then 'knowledge' when event_id % 3 = 0 then 'knowledge[1].passage_indices' end as field from events""")
+@query("""with r as (select conv_id, turn, length(text) as n, lag(turn) over w as before, lead(turn) over w as after, max(turn) over (partition by conv_id) as last from conversations where text is not null window w as (partition by conv_id order by turn))
+select conv_id, turn, case when n % 5 = 0 and before is not null then 'passage_index' when n % 7 = 0 then 'knowledge' when n % 3 = 0 and after is not null then 'knowledge[1].passage_indices' when turn = last then 'knowledge[0].passage_indices' end as field from r""")
 def provenance(t: Tables):
-    e = F.col("event_id")
-    own = F.array((e % 11).cast("int"))
-    facts = F.when(e % 7 == 0, F.array(own, own, own, own)).when(e % 3 == 0, F.array(own, F.array((e % 11).cast("int"), F.lit(99)))).otherwise(F.array(own))
-    found = A.provenance_error(F.when(e % 5 == 0, (e % 11 + 1)).otherwise(e % 11).cast("int"), (e % 11).cast("int"), facts, 3)
-    return t.events.select("event_id", found.alias("field"))
+    """Replies about passages, judged by the passages there are: some name the one before, tell too much, cite the next one, or
+    come of a passage that has since been dropped (the last of each source)."""
+    order = Window.partitionBy("source").orderBy("passage")
+    rows = t.conversations.where("text is not null").select(F.col("conv_id").alias("source"), F.col("turn").cast("int").alias("passage"), F.length("text").alias("n"))
+    rows = rows.withColumn("before", F.lag("passage").over(order)).withColumn("after", F.lead("passage").over(order))
+    valid = rows.where("after is not null").groupBy("source").agg(F.collect_set("passage").alias("valid"))  # a source's numbers
+    n, own = F.col("n"), F.array("passage")
+    facts = F.when(n % 7 == 0, F.array(own, own, own, own)).when((n % 3 == 0) & F.col("after").isNotNull(), F.array(own, F.array("passage", "after"))).otherwise(F.array(own, own))
+    number = F.when(n % 5 == 0, F.coalesce("before", "passage")).otherwise(F.col("passage"))
+    both = rows.join(valid, "source", "left").withColumn("valid", F.coalesce("valid", F.array().cast("array<int>")))
+    return both.select(F.col("source").alias("conv_id"), F.col("passage").alias("turn"), A.provenance_error(number, F.col("passage"), facts, 3, F.col("valid")).alias("field"))
 
 
 @query("select conv_id as source, turn as passage from conversations where not (turn % 2 = 0 and conv_id % 3 <> 0 and conv_id % 5 <> 0)")

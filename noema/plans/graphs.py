@@ -293,3 +293,19 @@ def subtree_detail(t: Tables):
     members = t.customer.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("id")).join(below.select("id"), "id", "left_semi").agg(F.count("*").alias("members"))
     children = whole.where("parent = 'r2'").agg(F.count("*").alias("children"))
     return children.crossJoin(members).select(F.lit("r2").alias("cluster"), "children", "members")
+
+
+_LABELLED = """l as (select 'root' as id, null as parent, 'World' as label, 0 as level union all select 'r' || r_regionkey, 'root', r_name, 1 from region union all select 'n' || n_nationkey, 'r' || n_regionkey, n_name, 2 from nation
+union all select 'c' || c_custkey, 'n' || c_nationkey, c_name, 3 from customer)"""
+
+
+@query(f"""with recursive {_LABELLED}, w as (select id, parent, label, level from l where id = 'c9' union all select l.id, l.parent, l.label, l.level from l join w on l.id = w.parent)
+select level as place, id, label, level from w where level > 0 union all select 0, null, 'All', 0""")
+def breadcrumbs(t: Tables):
+    """The way from the root to a customer."""
+    names = t.region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("label"), F.lit(1).alias("level")).union(
+        t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), "n_name", F.lit(2))
+    )
+    inner = _tree(t).join(names, "id", "left").select("id", "parent", F.coalesce("label", F.lit("World")).alias("label"), F.coalesce("level", F.lit(0)).alias("level"))
+    leaves = t.customer.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent"), F.col("c_name").alias("label"), F.lit(3).alias("level"))
+    return tree.breadcrumb(inner.unionByName(leaves), "c9", "All")

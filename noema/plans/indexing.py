@@ -8,6 +8,7 @@ from noema.functions import text as X
 from noema.operators import indexing as I
 from noema.operators import jobs as J
 from noema.operators import relational as R
+from noema.operators import similarity
 from noema.plans.registry import Tables, query
 from noema.plans.texts import _STRIP, _TITLE, _sql
 
@@ -55,6 +56,37 @@ def index_faults(t: Tables):
     return _run(t).faults
 
 
+_FORM = f"n as (select doc_id as id, source as title, sha256({_sql(_STRIP, 'source')} || chr(10) || chr(10) || {_sql(_STRIP, 'text')}) as f, length(text) as n from documents where text is not null and source is not null and doc_id is not null)"
+
+
+@query(f"""with {_FORM}, h as (select b.vec_id as id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as score from embeddings a, embeddings b where a.vec_id = 7)
+select id, title, round(score, 6) as score from h join n using (id) where n.n % 5 <> 0 and n.n % 7 <> 0 and n.n % 4 <> 1 order by round(score, 9) desc, id limit 10""")
+def search_hits(t: Tables):
+    """The best hits whose node, mark and point agree on the text: some points and some marks are of an older text, some
+    marks aren't 'indexed', some nodes are gone."""
+    rows = t.documents.where("text is not null and source is not null and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("content"), F.length("text").alias("n"))
+    now = rows.select("id", "n", X.fingerprint(F.col("title"), F.col("content")).alias("now"))
+    wanted = [float(x) for x in t.embeddings.where("vec_id = 7").first()["embedding"]]
+    points = similarity.unit_vectors(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"))
+    hits = similarity.scored(points, wanted).join(now, "id", "left").select("id", "score", F.when(F.col("n") % 5 == 0, "old").otherwise(F.col("now")).alias("fingerprint"))
+    marks = now.select("id", F.when(F.col("n") % 7 == 0, "failed").otherwise("indexed").alias("status"), F.when(F.col("n") % 4 == 1, "old").otherwise(F.col("now")).alias("fingerprint"))
+    return I.current_hits(hits, rows, marks, 10).select("id", "title", F.round("score", 6).alias("score"))
+
+
+@query("""with d as (select doc_id, source, md5(text) as f, length(text) as n from documents), p as (select vec_id as id, source, f, coalesce(n, 0) as n from embeddings left join d on vec_id = doc_id)
+select id, case when n % 11 = 1 then 'repeated id' when n % 13 = 1 then 'other id in the payload' when source is null then 'no source' when n % 7 = 1 then 'no fingerprint' when n % 5 = 1 then 'other dimensions' when n % 3 = 1 then 'not finite' when n % 4 = 1 then 'no length' end as fault
+from p where n % 11 = 1 or n % 13 = 1 or source is null or n % 7 = 1 or n % 5 = 1 or n % 3 = 1 or n % 4 = 1""")
+def point_faults(t: Tables):
+    """What an index must not hold: points damaged by the length of their text, and those whose document is gone."""
+    d = t.documents.select(F.col("doc_id").alias("id"), "source", F.md5("text").alias("f"), F.length("text").alias("n"))
+    p = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")).join(d, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    n = F.col("n")
+    vector = F.when(n % 5 == 1, F.slice("v", 1, 3)).when(n % 3 == 1, F.concat(F.slice("v", 2, 63), F.array(F.lit(float("nan"))))).when(n % 4 == 1, F.array_repeat(F.lit(0.0), 64)).otherwise(F.col("v"))
+    own = F.when(n % 13 == 1, F.col("id") + 1).otherwise(F.col("id")).alias("id")
+    points = p.select("id", F.struct(own, "source", F.when(n % 7 == 1, " ").otherwise(F.coalesce("f", F.lit("none"))).alias("fingerprint")).alias("payload"), vector.alias("vector"), n.alias("n"))
+    return I.point_faults(points.unionByName(points.where("n % 11 = 1")).drop("n"), 64)
+
+
 _PROFILES = "p as (select c_custkey as profile, case c_custkey % 4 when 0 then 'active' when 1 then 'building' when 2 then 'retired' else 'failed' end as status, case when c_custkey % 3 <> 0 then 64 end as dimensions, 'g' || (c_custkey // 3) as collection from customer)"
 
 

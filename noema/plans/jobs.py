@@ -109,6 +109,29 @@ def index_status(t: Tables):
     return J.index_status(facts).select("event_id", "state")
 
 
+@query("""with n as (select o_orderkey as id, o_custkey as owner from orders where o_totalprice > 100000 and o_orderkey % 10 > 0), m as (select l_orderkey as id, o_custkey as owner, case when min(struct_pack(a := l_linenumber, q := l_quantity)).q > 48 then 'failed' when min(struct_pack(a := l_linenumber, q := l_quantity)).q > 46 then 'pending' else 'indexed' end as status from lineitem join orders on l_orderkey = o_orderkey where o_totalprice > 100000 group by 1, 2),
+b as (select coalesce(n.owner, m.owner) as owner, count(n.id) as nodes, count(*) filter (where n.id is not null and coalesce(status, 'pending') = 'pending') as pending, count(*) filter (where n.id is not null and status = 'failed') as failed, count(*) filter (where n.id is null) as orphans from n full join m using (id) group by 1),
+j as (select user_id as owner, arg_max(event_type, struct_pack(t := ts, i := event_id)) = 'signup' as running from events group by 1),
+f as (select c_custkey as owner, coalesce(nodes, 0) as nodes, coalesce(pending, 0) as pending, coalesce(failed, 0) as failed, coalesce(orphans, 0) as orphans, c_mktsegment in ('MACHINERY', 'AUTOMOBILE', 'HOUSEHOLD') as live, c_mktsegment in ('BUILDING', 'HOUSEHOLD') as made, c_acctbal > 2000 as fits, c_acctbal < 4000 as error, coalesce(running, false) as running
+from customer left join b on b.owner = c_custkey left join j on j.owner = c_custkey)
+select owner, nodes, pending, failed, orphans, case when nodes = 0 and not live and not made then 'empty' when not live and made and not fits then 'incompatible' when not live and running then 'building' when not live and made and error then 'stale' when not live and made then 'building'
+when not live then 'not_built' when not fits and running then 'building' when not fits then 'incompatible' when running then 'building' when pending + failed + orphans > 0 then 'stale' else 'ready' end as state from f""")
+def owner_index_states(t: Tables):
+    """The state of each customer's index, from their orders as nodes, first lines as marks, segments as profiles and last
+    events as jobs."""
+    large = t.orders.where("o_totalprice > 100000").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner"))
+    first = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.min(F.struct("l_linenumber", "l_quantity")).alias("m")).select("id", F.col("m.l_quantity").alias("q"))
+    marks = large.join(first, "id").select("id", "owner", F.when(F.col("q") > 48, "failed").when(F.col("q") > 46, "pending").otherwise("indexed").alias("status"))
+    last = t.events.groupBy(F.col("user_id").alias("owner")).agg((F.max_by("event_type", F.struct("ts", "event_id")) == "signup").alias("running"))
+    segment, own = F.col("c_mktsegment"), [F.col("c_custkey").alias("owner")]
+    rows = t.customer.select(*own, segment, (F.col("c_acctbal") > 2000).alias("compatible"), (F.col("c_acctbal") < 4000).alias("error"))
+    live = rows.where(segment.isin("MACHINERY", "AUTOMOBILE", "HOUSEHOLD")).withColumn("status", F.lit("active"))
+    made = rows.where(segment.isin("BUILDING", "HOUSEHOLD")).withColumn("status", F.lit("building"))
+    facts = J.index_facts(t.customer.select(*own), large.where("id % 10 > 0"), marks, last, live.unionByName(made))
+    up = F.lit(True)
+    return J.index_status(facts.withColumn("store_readable", up).withColumn("store_up", up)).select("owner", "nodes", "pending", "failed", "orphans", "state")
+
+
 @query("""with f as (select event_id as e from events), s as (select e, concat_ws(', ', case when e % 2 = 0 then 'no embedding profile' end, case when e % 3 = 0 then 'embedding profile changed' end, case when e % 5 = 0 then 'input changed' end,
 case when e % 7 = 0 then 'parameters changed' end, case when e % 11 = 0 then 'vectors not ready' end) as reasons from f)
 select e as event_id, reasons, case when e % 13 = 0 or e % 17 = 0 then 'building' when e % 19 = 0 and e % 2 = 0 then 'empty' when e % 11 = 0 then 'vector_index_required' when e % 23 = 0 then case when e % 4 = 1 then 'error' else 'not_built' end when reasons <> '' then 'stale' else 'ready' end as state from s""")

@@ -115,16 +115,24 @@ def citation_extract(t: Tables):
     return t.conversations.select("conv_id", "turn", F.array_join(X.citations(answer), ",").alias("found"))
 
 
-@query("""select conv_id, turn, case when conv_id % 7 = 0 then 'unknown used' when turn = 2 then 'malformed' when turn = 3 then 'unknown inline' when turn = 4 then 'additions cite' when turn = 5 then 'insufficient cites'
-when turn = 6 then 'nothing used' when turn = 1 then 'sets differ' else 'valid' end as verdict from conversations""")
+_SHAPE = r"\[([Kk][^\]\r\n]*)\]"
+
+
+@query(rf"""with a as (select conv_id, turn, text || ' [K' || length(text) % 5 || ']' || case when length(text) % 3 = 0 then ' and [K' || (length(text) % 4 + 1) || ']' when length(text) % 17 = 0 then ' [K2 and more]' else '' end as answer, case when length(text) % 11 = 0 then 'see [K2]' end as additions,
+case when length(text) % 6 = 1 then []::varchar[] when length(text) % 3 = 0 then list_distinct(['K' || length(text) % 5, 'K' || (length(text) % 4 + 1)]) when length(text) % 7 = 0 then ['K3'] else ['K' || length(text) % 5] end as used, length(text) % 13 = 0 as short from conversations where text is not null),
+t as (select *, regexp_extract_all(answer, '{_SHAPE}', 1) as marks from a), u as (select *, list_transform(marks, lambda x: upper(x)) as inline from t)
+select conv_id, turn, case when len(list_filter(used, lambda x: not list_contains(['K1', 'K2', 'K3'], x))) > 0 then 'unknown used' when len(list_filter(marks, lambda x: not regexp_full_match(x, 'K[1-9][0-9]*'))) > 0 then 'malformed'
+when len(list_filter(inline, lambda x: not list_contains(['K1', 'K2', 'K3'], x))) > 0 then 'unknown inline' when len(regexp_extract_all(coalesce(additions, ''), '{_SHAPE}', 1)) > 0 then 'additions cite' when short and (len(used) > 0 or len(inline) > 0) then 'insufficient cites'
+when not short and len(used) = 0 then 'nothing used' when list_sort(list_distinct(inline)) <> list_sort(list_distinct(used)) then 'sets differ' else 'valid' end as verdict from u""")
 def citation_verdict(t: Tables):
-    """Synthetic answers, one kind of failure for each turn number."""
-    turn = F.col("turn")
-    known = F.array(*map(F.lit, ("K1", "K2", "K3")))
-    answer = F.when(turn == 2, "so [K1] [K0x]").when(turn == 3, "so [K1] [K9]").when(turn == 6, "so nothing").otherwise(F.lit("so [K1]"))
-    used = F.when(F.col("conv_id") % 7 == 0, F.array(F.lit("K8"))).when(turn == 1, F.array(F.lit("K1"), F.lit("K2"))).when(turn == 6, F.array().cast("array<string>")).otherwise(F.array(F.lit("K1")))
-    verdict = knowledge.citation_verdict(answer, F.when(turn == 4, "also [K2]"), used, known, turn == 5)
-    return t.conversations.select("conv_id", "turn", verdict.alias("verdict"))
+    """Answers that end in marks by the length of a turn's text, judged by what they cite."""
+    n = F.length("text")
+    mark = lambda c: F.concat(F.lit("K"), c.cast("string"))
+    more = F.when(n % 3 == 0, F.concat(F.lit(" and ["), mark(n % 4 + 1), F.lit("]"))).when(n % 17 == 0, " [K2 and more]").otherwise("")
+    answer = F.concat("text", F.lit(" ["), mark(n % 5), F.lit("]"), more)
+    used = F.when(n % 6 == 1, F.array().cast("array<string>")).when(n % 3 == 0, F.array_distinct(F.array(mark(n % 5), mark(n % 4 + 1)))).when(n % 7 == 0, F.array(F.lit("K3"))).otherwise(F.array(mark(n % 5)))
+    verdict = knowledge.citation_verdict(answer, F.when(n % 11 == 0, "see [K2]"), used, F.array(*map(F.lit, ("K1", "K2", "K3"))), n % 13 == 0)
+    return t.conversations.where("text is not null").select("conv_id", "turn", verdict.alias("verdict"))
 
 
 @query("""select conv_id, turn, printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) as clock, ms as parsed from (select conv_id, turn, conv_id * 987654 + turn * 4001 as ms from conversations)""")

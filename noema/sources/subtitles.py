@@ -36,10 +36,10 @@ def _in_set(latin: Column, charset: str) -> Column:
 
 def _likelihood(text: Column) -> Column:
     """How well a decoded text looks like one: letters beyond ASCII count for it, vowels twice; against it unused places, capitals
-    after small letters, letters of two scripts side by side, and long runs of accented Latin letters."""
+    after small letters, letters of two scripts side by side, accented Latin letters next to each other, and a final sigma before a letter."""
     n = lambda pattern: F.regexp_count(text, F.lit(pattern))
     mixed = n(r"[A-Za-z][\p{IsGreek}\p{IsCyrillic}]") + n(r"[\p{IsGreek}\p{IsCyrillic}][A-Za-z]")
-    return n(r"[\p{L}&&[^\x00-\x7F]]") + n(f"(?iu)[{VOWELS}]") - 4 * (n("\ufffd") + n(r"\p{Ll}\p{Lu}") + mixed + n(r"[\u00C0-\u00FF]{3}"))
+    return n(r"[\p{L}&&[^\x00-\x7F]]") + n(f"(?iu)[{VOWELS}]") - 4 * (n("\ufffd") + n(r"\p{Ll}\p{Lu}") + mixed + n(r"[\u00C0-\u00FF]{2}") + n(r"ς\p{L}"))
 
 
 def eight_bit(data: Column) -> Column:
