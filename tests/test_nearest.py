@@ -1,8 +1,10 @@
 """Exact nearest neighbours over several blocks and strips, with copies that tie, against all products."""
 
 import numpy as np
+import pytest
 
 from noema.operators import similarity
+from noema.operators.lineage import checkpointed
 
 
 def test_blocks_strips_and_ties(spark, monkeypatch):
@@ -52,3 +54,28 @@ def test_regions_give_the_same_rows_with_few_products(spark, monkeypatch):
     assert products < 600 * 600 / 4
     monkeypatch.setattr(similarity, "BLOCK", 100)
     assert rows(similarity.nearest(points, 6, 0.2, unit=True)) == wanted
+
+
+def test_points_without_clusters_go_by_blocks(spark, monkeypatch):
+    """Regions pass by nothing here: no table may hold a copy of a point for each of them."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(700, 24))
+    x[40:60] = x[40]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points = spark.createDataFrame([(int(i), row.tolist()) for i, row in enumerate(x)], "id long, u array<double>").repartition(4)
+    rows = lambda f: sorted((r["id"], r["rank"], r["other"], round(r["sim"], 8)) for r in f.collect())
+    wanted = rows(similarity.nearest(points, 6, 0.2))
+    monkeypatch.setattr(similarity, "BLOCK", 300)
+    monkeypatch.setattr(similarity.Regions, "open", lambda *_: pytest.fail("copies for every region"))
+    assert rows(similarity.nearest(points, 6, 0.2, unit=True)) == wanted
+
+
+def test_asked_regions_are_counted_as_they_are_listed(spark):
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(2000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points = spark.createDataFrame([(int(i), row.tolist()) for i, row in enumerate(x)], "id long, u array<double>").coalesce(1)
+    regions = similarity.Regions(points, 64, 500)
+    own = checkpointed(regions.inside(4, -1.0))
+    opened = regions.open(own, 4, -1.0)
+    assert opened.count() == int(regions.asked(own, 4, -1.0).sum()) > 2000 * 32
