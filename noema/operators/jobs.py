@@ -30,12 +30,17 @@ def finished(jobs: DataFrame, ends: DataFrame, default: str, unstored: str) -> D
     is stored. A failed one keeps its percent, names the stage it failed in, and its texts are cut to their columns."""
     c = F.col
     good = c("ok") & c("stored")
-    said = F.when(c("ok"), F.lit(unstored)).otherwise(F.coalesce(F.nullif(F.left(F.trim("message"), F.lit(4000)), F.lit("")), F.lit(default)))
-    detail = F.when(~c("ok"), F.nullif(F.left(F.trim("detail"), F.lit(4000)), F.lit("")))
-    return jobs.join(ends, "job_id").select(
+    # texts are cut, and dropped where the job went well, before they travel to the join
+    texts = ends.select(
+        "job_id", "ok", "stored", F.when(~F.coalesce("ok", F.lit(False)), F.nullif(F.left(F.trim("message"), F.lit(4000)), F.lit(""))).alias("message"),
+        F.when(~c("ok"), F.nullif(F.left(F.trim("detail"), F.lit(4000)), F.lit(""))).alias("detail"),
+    )
+    said = F.when(c("ok"), F.lit(unstored)).otherwise(F.coalesce("message", F.lit(default)))
+    few = jobs.select("job_id", F.left("stage", F.lit(64)).alias("stage"), "percent").hint("shuffle_hash")  # short rows, one a job: no text is sorted
+    return few.join(texts, "job_id").select(
         "job_id", F.when(good, "succeeded").otherwise("failed").alias("status"), F.when(good, "completed").otherwise("failed").alias("stage"),
         F.when(good, 100).otherwise(c("percent")).alias("percent"), F.when(~good, said).alias("error_message"),
-        F.when(~good, F.coalesce(detail, said)).alias("error_detail"), F.when(~good, F.left("stage", F.lit(64))).alias("error_stage"),
+        F.when(~good, F.coalesce("detail", said)).alias("error_detail"), F.when(~good, c("stage")).alias("error_stage"),
     )
 
 
