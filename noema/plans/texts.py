@@ -263,12 +263,14 @@ def srt_reject(t: Tables):
 def chunk_text_invariants(t: Tables):
     """Passages are exact parts of the text, within the limit, in order and apart."""
     limits = chunking.Limits(target=60, most=90)
-    parts = chunking.chunk_texts(t.documents, limits).alias("p").join(t.documents.select("doc_id", F.col("text").alias("whole")), "doc_id")
-    before = F.lag("char_end").over(Window.partitionBy("doc_id").orderBy("passage"))
-    checked = parts.withColumn("before", before)
-    return checked.groupBy("doc_id").agg(
-        F.every(F.expr("substring(whole, char_start + 1, char_end - char_start) = text")).alias("exact"), F.every(F.col("tokens") <= 90).alias("bounded"),
-        F.every(F.col("before").isNull() | (F.col("before") <= F.col("char_start"))).alias("ordered"),
+    # a document's passages are one row, as its text is, so a text travels once and not with each passage
+    parts = chunking.chunk_texts(t.documents, limits).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("passage", "char_start", "char_end", "tokens", "text"))).alias("p"))
+    checked = parts.join(t.documents.select("doc_id", F.col("text").alias("whole")), "doc_id")
+    ends = F.concat(F.array(F.lit(0)), F.transform("p", lambda x: x["char_end"]))
+    return checked.select(
+        "doc_id", F.expr("forall(p, x -> substring(whole, x.char_start + 1, x.char_end - x.char_start) = x.text)").alias("exact"),
+        F.forall("p", lambda x: x["tokens"] <= 90).alias("bounded"),
+        F.forall(F.zip_with(F.slice(ends, F.lit(1), F.size("p")), "p", lambda before, x: before <= x["char_start"]), lambda x: x).alias("ordered"),
     )
 
 

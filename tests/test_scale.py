@@ -10,3 +10,8 @@ def plan(frame):
 def test_ends_of_jobs_are_not_sorted(spark, sf_dir):
     _, physical = plan(QUERIES["job_finish"](spark, sf_dir))
     assert "SortMergeJoin" not in physical
+
+
+def test_a_document_is_not_copied_for_each_passage(spark, sf_dir):
+    logical, _ = plan(QUERIES["chunk_text_invariants"](spark, sf_dir))
+    assert "Window" not in logical
