@@ -18,15 +18,14 @@ LOG = "run int, id string, mark string, event string, payload string, error stri
 
 
 def _placed(passages: DataFrame) -> DataFrame:
-    """passages with the mark of their text, their distance from the source's last place, and their number among the
+    """passages, which have a mark of their text, with their distance from the source's last place, and their number among the
     source's passages of one text. Numbers are those of a range-partitioned order, so a text that a source repeats
     without end is spread over tasks."""
-    marked = passages.withColumn("mark", F.md5("text"))
-    placed = numbered(marked, F.col("source"), F.col("mark"), F.col("passage"))
+    placed = numbered(passages, F.col("source"), F.col("mark"), F.col("passage"))
     first = placed.groupBy("source", "mark").agg(F.min("number").alias("first"))
-    last = marked.groupBy("source").agg(F.max("end").alias("last"))
+    last = passages.groupBy("source").agg(F.max("end").alias("last"))
     both = placed.join(first, ["source", "mark"]).join(last, "source")
-    return both.select(*passages.columns, "mark", (F.col("last") - F.col("end")).alias("behind"), (F.col("number") - F.col("first")).alias("occurrence"))
+    return both.select(*passages.columns, (F.col("last") - F.col("end")).alias("behind"), (F.col("number") - F.col("first")).alias("occurrence"))
 
 
 def aligned_passages(new: DataFrame, stored: DataFrame, version: str) -> DataFrame:
@@ -40,13 +39,17 @@ def aligned_passages(new: DataFrame, stored: DataFrame, version: str) -> DataFra
     are left out.
     """
     whole = F.col("source").isNotNull() & F.col("text").isNotNull()
-    left, right = checkpointed(_placed(new.select(*PASSAGE).where(whole))), checkpointed(_placed(stored.select("id", *PASSAGE).where(whole)))
+    # texts stay in these two tables; what is placed and joined has their marks
+    new = checkpointed(new.select(*PASSAGE, F.md5("text").alias("mark")).where(whole))
+    stored = stored.select("id", *PASSAGE, F.md5("text").alias("mark")).where(whole)
+    at = [c for c in PASSAGE if c != "text"]
+    left, right = checkpointed(_placed(new.drop("text"))), checkpointed(_placed(stored.drop("text")))
     pairs = None
     for step, by in enumerate(("start", "behind", "turn")):
         if by == "turn":  # those that are left count anew
-            left, right = (checkpointed(_placed(x.select(*[c for c in x.columns if c in ("id", *PASSAGE)]))).withColumnRenamed("occurrence", "turn") for x in (left, right))
+            left, right = (checkpointed(_placed(x.select(*[c for c in x.columns if c in ("id", "mark", *at)]))).withColumnRenamed("occurrence", "turn") for x in (left, right))
         other = right.select("id", "source", "mark", by, *(F.col(c).alias(f"_{c}") for c in ("passage", "start", "end")))
-        found = checkpointed(left.join(other, ["source", "mark", by]).select("id", *PASSAGE, *(F.col(f"_{c}") for c in ("passage", "start", "end"))))
+        found = checkpointed(left.join(other, ["source", "mark", by]).select("id", *at, "mark", *(F.col(f"_{c}") for c in ("passage", "start", "end"))))
         pairs = found if pairs is None else pairs.unionByName(found)
         left = left.join(found.select("source", "passage"), ["source", "passage"], "left_anti")
         right = right.join(found.select("id"), "id", "left_anti")
@@ -54,11 +57,10 @@ def aligned_passages(new: DataFrame, stored: DataFrame, version: str) -> DataFra
     for c in ("passage", "start", "end"):
         same = same & (F.col(c) == F.col(f"_{c}"))
     made = left.withColumn("id", F.sha2(F.concat_ws("\x1f", F.lit(version), F.col("source").cast("string"), "mark", F.col("turn").cast("string")), 256))
-    return (
-        pairs.select("id", *PASSAGE, F.when(same, "kept").otherwise("moved").alias("state"))
-        .unionByName(made.select("id", *PASSAGE, F.lit("new").alias("state")))
-        .unionByName(right.select("id", *PASSAGE, F.lit("retired").alias("state")))
-    )
+    named = pairs.select("id", *at, "mark", F.when(same, "kept").otherwise("moved").alias("state")).unionByName(made.select("id", *at, "mark", F.lit("new").alias("state")))
+    place = ["source", "passage", "mark"]  # a source that is given twice has two passages of one place
+    found = named.join(new.select(*place, "text").dropDuplicates(place), place).select("id", *PASSAGE, "state")
+    return found.unionByName(stored.join(right.select("id"), "id", "left_semi").select("id", *PASSAGE, F.lit("retired").alias("state")))
 
 
 def prepared(sources: DataFrame, stored: DataFrame, known: DataFrame, cut: Callable[[DataFrame], DataFrame], version: str) -> DataFrame:

@@ -121,3 +121,14 @@ def test_two_writers_cannot_share_a_generation(spark, tmp_path):
     assert generations.newest(spark, root) == 2
     with pytest.raises(generations.Conflict):
         generations.publish(spark, {"t": spark.range(5)}, root)
+
+
+def test_texts_travel_apart_from_places(spark, monkeypatch):
+    """What is placed and joined has marks of texts only."""
+    seen, placed = [], analysis._placed
+    monkeypatch.setattr(analysis, "_placed", lambda rows: seen.append(rows.columns) or placed(rows))
+    new = spark.createDataFrame([(1, 0, 0, 1, "a"), (1, 1, 2, 3, "b")], "source long, passage int, start int, end int, text string")
+    stored = spark.createDataFrame([("x", 1, 0, 0, 1, "a"), ("y", 1, 1, 2, 3, "c")], "id string, source long, passage int, start int, end int, text string")
+    rows = {(r["state"], r["text"]) for r in analysis.aligned_passages(new, stored, "1").collect()}
+    assert rows == {("kept", "a"), ("new", "b"), ("retired", "c")}
+    assert seen and not any("text" in columns for columns in seen)
