@@ -6,8 +6,9 @@ with the last token of the prefix before it is the answer. Ids follow backwards
 compatible if merging their concatenation would give back these two; the test walks their merge histories.
 
 No vocabulary entry has a space mark after another character, so a run of space marks with the word after it is
-encoded by itself, and tasks keep a bounded memo of words. Runs of marks have equal scores and merge last, from the
-left. Characters outside the vocabulary become byte pieces, which never merge.
+encoded by itself, and tasks keep a bounded memo of words. Where no entry has a letter beside another kind of character, no
+merge crosses such a place either, so new words are put together from runs of one kind, which are far fewer. Runs of marks
+have equal scores and merge last, from the left. Characters outside the vocabulary become byte pieces, which never merge.
 
 A null text counts as empty: begin and end ids only. Very long words cost time in proportion to their length.
 Repeated rows and ids come out as they went in.
@@ -30,7 +31,7 @@ _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NORMAL, _CONTROL, _USER, _UNUSED, _BYTE = 1, 3, 4, 5, 6
 NEVER = 1 << 60
 #: Words that a task remembers before it starts anew.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 500_000
 
 
 class Memo(dict):
@@ -63,6 +64,7 @@ class PieceModel:
         self.bos, self.eos, self.unk = proto.trainer_spec.bos_id, proto.trainer_spec.eos_id, proto.trainer_spec.unk_id
         self.pieces = [p.piece for p in proto.pieces]
         self.kinds = [p.type for p in proto.pieces]
+        self.sizes = list(map(len, self.pieces))
         if _USER in self.kinds or _UNUSED in self.kinds:
             raise ValueError("user-defined and unused pieces are not supported")
         self.bytes = {int(p[1:-1], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == _BYTE}
@@ -78,8 +80,30 @@ class PieceModel:
         self.automaton.make_automaton()
         self.histories: dict[int, tuple[list, list] | None] = {}
         self.pairs = Memo(self._compatible, 1 << 19)
+        self.runs = self._kinds_apart()
+        self.segments = Memo(self._segment)
         self.words = Memo(self._word)
         self.texts = Memo(self._decode_word)
+        #: Of each id the text it decodes to; None for byte pieces, which are read together.
+        self.plain = [None if kind == _BYTE else "" if kind == _CONTROL else " ⁇ " if i == self.unk else piece.replace(MARK, " ") for i, (piece, kind) in enumerate(zip(self.pieces, self.kinds))]
+
+    def _kinds_apart(self) -> re.Pattern:
+        """Segments that no vocabulary entry crosses: runs of letters, of other characters, and digits if they stand alone in
+        the vocabulary, each with the space marks before it. Letters that an entry joins to another kind count as others."""
+        entries = [p.lstrip(MARK) for p in self.ids]
+        entries = [p for p in entries if len(p) > 1]
+        digits = "" if any(re.search("[0-9]", p) for p in entries) else "0-9"
+        odd: set[str] = set()
+        while True:
+            letter = re.compile(rf"[^\W\d_{re.escape(''.join(sorted(odd)))}]")
+            crossed = {a if letter.match(a) else b for p in entries for a, b in zip(p, p[1:]) if bool(letter.match(a)) != bool(letter.match(b))}
+            if not crossed:
+                break
+            odd |= crossed
+            if len(odd) > 64:
+                return _SEGMENT
+        alone = f"{MARK}*[{digits}]{{1,3}}|" if digits else ""
+        return re.compile(f"{MARK}*{letter.pattern}+|{alone}{MARK}*(?:(?!{letter.pattern})[^{MARK}{digits}])+|{MARK}+")
 
     def merge(self, text: str) -> tuple[list[str], list[tuple[int, str, str]]]:
         """Plain merging, for short strings: the pieces and the merges in order."""
@@ -118,7 +142,10 @@ class PieceModel:
         return self.histories[i]
 
     def _compatible(self, pair: tuple[int, int]) -> bool:
-        before, after = self.history(pair[0]), self.history(pair[1])
+        after = self.history(pair[1])
+        if pair[0] < 0:  # nothing before it, or a character outside the vocabulary
+            return after is not None
+        before = self.history(pair[0])
         if before is None or after is None:
             return False
         left, right, x, y = before[1], after[0], 0, 0
@@ -153,37 +180,33 @@ class PieceModel:
         pairs = self.pairs
         found = -1
         for end, (i, size) in self.automaton.iter(word):
-            if end == found:
-                continue
-            start = end - size
-            if start < 0:
-                good = self.history(i) is not None
-            else:
-                before = last[start]
-                good = pairs[before, i] if before >= 0 else self.history(i) is not None
-            if good:
+            if end != found and pairs[last[end - size] if end >= size else -1, i]:
                 last[end] = i
                 found = end
         return last
 
     def _word(self, word: str) -> bytes:
-        """Ids of one segment (space marks, then other characters) as little-endian 32-bit integers."""
-        marks = len(word) - len(word.lstrip(MARK))
-        body = MARK + word[marks:] if marks else word
-        last, out, end = self.last_tokens(body), [], len(body) - 1
+        """Ids of space marks and the word after them as little-endian 32-bit integers."""
+        return b"".join(map(self.segments.__getitem__, self.runs.findall(word)))
+
+    def _segment(self, word: str) -> bytes:
+        """Ids of one segment (space marks, then other characters)."""
+        marks = len(word) - len(word.lstrip(MARK)) if word[0] == MARK else 0
+        body = word[marks - 1 :] if marks > 1 else word
+        last, sizes, out, end = self.last_tokens(body), self.sizes, [], len(body) - 1
         while end >= 0:
             i = last[end]
             if i >= 0:
                 out.append(i)
-                end -= len(self.pieces[i])
+                end -= sizes[i]
             else:
                 out.extend(self.bytes[b] for b in reversed(body[end].encode()))
                 end -= 1
         out.reverse()
-        if marks:
+        if marks > 1:
             if out[0] == self.ids[MARK]:
                 out[:1] = self._run(marks)
-            elif marks > 1:
+            else:
                 out[:0] = self._run(marks - 1)
         return array("I", out).tobytes()
 
@@ -200,16 +223,19 @@ class PieceModel:
         return edge[:4] + b"".join(self.encode_parts(text)) + edge[4:]
 
     def _decode_word(self, ids: bytes) -> str:
+        codes = array("I", ids)
+        found = list(map(self.plain.__getitem__, codes))
+        if None not in found:
+            return "".join(found)
         out, held = [], bytearray()
-        for i in array("I", ids):
-            if self.kinds[i] == _BYTE:
+        for i, text in zip(codes, found):
+            if text is None:
                 held.append(int(self.pieces[i][1:-1], 16))
                 continue
             if held:
                 out.append(held.decode(errors="replace"))
                 held.clear()
-            if self.kinds[i] != _CONTROL:
-                out.append(" ⁇ " if i == self.unk else self.pieces[i].replace(MARK, " "))
+            out.append(text)
         return "".join(out) + (held.decode(errors="replace") if held else "")
 
     def decode_parts(self, parts: list[bytes]) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import pytest
 
 from noema.llm import decontaminate, html_text, langid, language_model, minhash, pieces, pii, substrings, toxicity, vectors
@@ -247,3 +249,19 @@ def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
         stage = Staging(spark, "t")
         assert {r["node"]: r["component"] for r in graph.connected_components(frame, stage).collect()} == want
         stage.close()
+
+
+def test_pieces_of_new_words_come_from_runs_of_one_kind():
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as file:
+        model = pieces.PieceModel(file.read())
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    for text in ("zugabel, zugabel. (zugabel) zugabel;\nzugabel", "m²). x²y 12½ 555-2358 a_b  ,  7", "x٣٤ \t▁▁, naïvé\U0001f4a5 "):
+        ids = array("I", model.encode(text)).tolist()
+        assert ids == [library.bos_id(), *library.encode(text), library.eos_id()]
+        assert model.decode_parts(model.encode_parts(text)) == library.decode(ids)
+    # five words, but their letters are encoded twice only: with the mark before them, and without
+    assert {s for s in model.segments if "zugabel" in s} == {"▁zugabel", "zugabel"}
