@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from noema.operators.lineage import checkpointed
 
 #: Rows of a block, and of it those multiplied at once: a task holds two blocks and the product of a strip with one.
-BLOCK, STRIP = 16384, 256
+BLOCK, STRIP = 16384, 128
 #: Of the columns of a product one in so many tells a bound that the k best reach.
 SPARSE = 16
 
@@ -35,28 +35,57 @@ def unit_vectors(vectors: DataFrame, key: str = "id", column: str = "embedding")
 _FOUND = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("sim", pa.float64())])
 
 
-def _best(ask: pa.Table, have: pa.Table, k: int, least: float) -> list[pa.Table]:
-    """The k best of have for each row of ask, strip by strip; have is in order of id, which decides ties. The k-th best of
-    some columns is a bound that the k best of all reach, so only few are put in order."""
-    b, index, out = have.column("id").to_numpy(), _matrix(have.column("u")), []
+def _best(ask: tuple[np.ndarray, np.ndarray], have: tuple[np.ndarray, np.ndarray], k: int, least: float) -> Iterator[pa.RecordBatch]:
+    """The k best of have (ids, vectors) for each row of ask, strip by strip; have is in order of id, which decides ties. The
+    k-th best of some columns is a bound that the k best of all reach, so only few are put in order."""
+    b, index = have
     step = SPARSE if len(b) >= SPARSE * k else 1
-    for at in range(0, ask.num_rows, STRIP):
-        strip = ask.slice(at, STRIP)
-        a = strip.column("id").to_numpy()
-        sims = _matrix(strip.column("u")) @ index.T
+    product = np.empty((min(STRIP, len(ask[0])), len(b)))  # one for all strips
+    for at in range(0, len(ask[0]), STRIP):
+        a = ask[0][at : at + STRIP]
+        sims = np.matmul(ask[1][at : at + STRIP], index.T, out=product[: len(a)])
         first, n = np.searchsorted(b, a), np.searchsorted(b, a, "right") - np.searchsorted(b, a)
         sims[np.repeat(np.arange(len(a)), n), np.arange(n.sum()) + np.repeat(first + n - np.cumsum(n), n)] = -np.inf  # itself
         some = sims[:, ::step]
         kth = np.partition(some, -k, axis=1)[:, -k] if k < some.shape[1] else np.full(len(a), -np.inf)
         # a margin for rounding: of similarities 1e-9 apart the smaller id wins
-        row, col = np.nonzero((sims >= (kth - 2e-9)[:, None]) & (sims >= max(least, -2.0)))
+        row, col = np.nonzero(sims >= np.maximum(kth - 2e-9, max(least, -2.0))[:, None])
         order = np.lexsort((col, -np.round(sims[row, col], 9), row))
         row, col = row[order], col[order]
         starts = np.searchsorted(row, np.arange(len(a)))
         keep = np.arange(len(row)) - starts[row] < k
         row, col = row[keep], col[keep]
-        out.append(pa.table([a[row], b[col], sims[row, col]], schema=_FOUND))
-    return out
+        yield pa.RecordBatch.from_arrays([pa.array(a[row]), pa.array(b[col]), pa.array(sims[row, col])], schema=_FOUND)
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], bool]:
+    """The first and the other rows of a cell as ids in order and vectors, and whether it is a block with itself. Batches are
+    taken apart as they come, so that the cell isn't held twice."""
+    parts: dict[bool, list] = {True: [], False: []}
+    own = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = batch.column("i")[0] == batch.column("j")[0] if "i" in batch.schema.names else False
+        ids, x, is_first = batch.column("id").to_numpy(), _matrix(pa.chunked_array([batch.column("u")])), batch.column("is_first").to_numpy(zero_copy_only=False)
+        for side, held in parts.items():
+            mine = is_first == side
+            if mine.any():
+                held.append((ids[mine], x[mine]))
+    out = []
+    for held in parts.values():
+        ids = np.concatenate([i for i, _ in held]) if held else np.zeros(0, dtype=np.int64)
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(ids), dtype=np.int64)
+        place[order] = np.arange(len(ids))
+        x = np.empty((len(ids), held[0][1].shape[1] if held else 0))
+        at = 0
+        while held:
+            _, some = held.pop(0)
+            x[place[at : at + len(some)]] = some
+            at += len(some)
+        out.append((ids[order], x))
+    return out[0], out[1], own
 
 
 def _kept_best(found: DataFrame, k: int) -> DataFrame:
@@ -78,11 +107,13 @@ class Regions:
         middle = self.pivots
 
         def place(batches):
-            for batch in batches:
-                x = _matrix(pa.chunked_array([batch.column("u")])) if batch.num_rows else np.zeros((0, middle.shape[1]))
-                sims = np.clip(x @ middle.T, -1, 1)
-                at = sims.argmax(1)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("u"), pa.array(at.astype(np.int32)), pa.array(np.arccos(sims[np.arange(len(x)), at]))], ["id", "u", "region", "angle"])
+            for whole in batches:
+                for start in range(0, whole.num_rows, STRIP):
+                    batch = whole.slice(start, STRIP)
+                    x = _matrix(pa.chunked_array([batch.column("u")]))
+                    sims = np.clip(x @ middle.T, -1, 1)
+                    at = sims.argmax(1)
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("u"), pa.array(at.astype(np.int32)), pa.array(np.arccos(sims[np.arange(len(x)), at]))], ["id", "u", "region", "angle"])
 
         self.points = checkpointed(points.select("id", "u").mapInArrow(place, "id long, u array<double>, region int, angle double"))
         self.sizes, self.reach = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows))
@@ -99,7 +130,7 @@ class Regions:
         rows = self._parted()
         asked = rows.select("region", F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("is_first"), "id", "u")
         held = rows.select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("part").alias("j"), F.lit(False).alias("is_first"), "id", "u")
-        return _kept_best(asked.unionByName(held).groupBy("region", "i", "j").applyInArrow(lambda t: _asked(t, k, least), "id long, other long, sim double"), k)
+        return _kept_best(asked.unionByName(held).groupBy("region", "i", "j").applyInArrow(_asking(k, least), "id long, other long, sim double"), k)
 
     def _may(self, found: DataFrame, k: int, least: float, emit, schema: str) -> DataFrame:
         """emit(batch, row, region) of small batches of points and the regions in which they may find better ones than found."""
@@ -147,15 +178,20 @@ class Regions:
         cells = left.select("region", "part", "other", "j").distinct()
         right = self._parted().select(F.col("region").alias("other"), F.col("part").alias("j"), "id", "u").join(cells, ["other", "j"])
         both = left.unionByName(right.select("region", "part", "other", "j", F.lit(False).alias("is_first"), "id", "u"))
-        return _kept_best(both.groupBy("region", "part", "other", "j").applyInArrow(lambda t: _asked(t, k, least), "id long, other long, sim double"), k)
+        return _kept_best(both.groupBy("region", "part", "other", "j").applyInArrow(_asking(k, least), "id long, other long, sim double"), k)
+
+
+def _asking(k: int, least: float):
+    """A function of a cell: the k best of its held rows for its asked ones."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask, have, _ = _sides(batches)
+        if len(ask[0]) and len(have[0]):
+            yield from _best(ask, have, k, least)
+        del ask, have
+        pa.default_memory_pool().release_unused()
 
-def _asked(table: pa.Table, k: int, least: float) -> pa.Table:
-    """The k best of a cell's held rows for its asked ones."""
-    ask = table.filter(table.column("is_first")).combine_chunks()
-    have = table.filter(pc.invert(table.column("is_first"))).sort_by("id").combine_chunks()
-    parts = _best(ask, have, k, least) if ask.num_rows and have.num_rows else []
-    return pa.concat_tables(parts) if parts else _FOUND.empty_table()
+    return run
 
 
 def nearest_by_regions(points: DataFrame, k: int, least: float = -1.0, pivots: int = 256, block: int | None = None) -> DataFrame:
@@ -200,12 +236,15 @@ def nearest(points: DataFrame, k: int, least: float = -1.0, key: str = "id", col
     sides = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cells = sides.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("is_first"), "id", "u")
 
-    def compare(table: pa.Table) -> pa.Table:
-        first = table.filter(table.column("is_first")).sort_by("id").combine_chunks()
-        second = table.filter(pc.invert(table.column("is_first"))).sort_by("id").combine_chunks()
-        inside = table.num_rows and table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        parts = _best(first, first, k, least) if inside else _best(first, second, k, least) + _best(second, first, k, least) if first.num_rows and second.num_rows else []
-        return pa.concat_tables(parts) if parts else _FOUND.empty_table()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second, inside = _sides(batches)
+        if inside:
+            yield from _best(first, first, k, least)
+        elif len(first[0]) and len(second[0]):
+            yield from _best(first, second, k, least)
+            yield from _best(second, first, k, least)
+        del first, second
+        pa.default_memory_pool().release_unused()
 
     return _kept_best(cells.groupBy("i", "j").applyInArrow(compare, "id long, other long, sim double"), k)
 
@@ -218,7 +257,7 @@ def nearest_of(asked: DataFrame, points: DataFrame, k: int, least: float = -1.0,
     left = block(asked, asks).select(F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(haves - 1))).alias("j"), F.lit(True).alias("is_first"), "id", "u")
     right = block(points, haves).select(F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("i"), F.col("block").alias("j"), F.lit(False).alias("is_first"), "id", "u")
 
-    return _kept_best(left.unionByName(right).groupBy("i", "j").applyInArrow(lambda t: _asked(t, k, least), "id long, other long, sim double"), k)
+    return _kept_best(left.unionByName(right).groupBy("i", "j").applyInArrow(_asking(k, least), "id long, other long, sim double"), k)
 
 
 def scored(points: DataFrame, wanted: list[float], key: str = "id", column: str = "u") -> DataFrame:

@@ -79,3 +79,21 @@ def test_asked_regions_are_counted_as_they_are_listed(spark):
     own = checkpointed(regions.inside(4, -1.0))
     opened = regions.open(own, 4, -1.0)
     assert opened.count() == int(regions.asked(own, 4, -1.0).sum()) > 2000 * 32
+
+
+def test_a_cell_is_taken_apart_as_it_comes(spark):
+    """Its batches are used up one by one, and each strip's rows leave at once."""
+    import pyarrow as pa
+
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(900, 4))
+    ids = draw.permutation(900)
+    schema = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("is_first", pa.bool_()), ("id", pa.int64()), ("u", pa.list_(pa.float64()))])
+    batches = (
+        pa.RecordBatch.from_arrays([pa.array([0] * 100, pa.int32()), pa.array([1] * 100, pa.int32()), pa.array((ids[at : at + 100] % 2 == 0).tolist()), pa.array(ids[at : at + 100]), pa.array(x[ids[at : at + 100]].tolist())], schema=schema)
+        for at in range(0, 900, 100)
+    )
+    first, second, own = similarity._sides(batches)
+    assert not own and first[0].tolist() == list(range(0, 900, 2)) and np.allclose(second[1], x[1::2])
+    found = similarity._best(first, second, 2, -1.0)
+    assert next(found).num_rows == 2 * similarity.STRIP
