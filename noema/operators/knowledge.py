@@ -19,9 +19,15 @@ from noema.operators.lineage import checkpointed
 from noema.operators.relational import numbered
 
 
+#: Whole texts that a Python worker holds at once to fold them.
+FOLDED = 512
+
+
 def merge_facts(facts: DataFrame) -> DataFrame:
     """Facts(ord, title, content, tags, passage) with equal keys become one: the first title and content, all
-    passages, and the first eight different tags in order."""
+    passages, and the first eight different tags in order. Keys of whole texts are folded in Python, so a batch holds
+    few: this stays set in the session."""
+    facts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(FOLDED))
     keyed = facts.withColumn("key", F.sha2(F.concat(X.identity_key(F.col("title")), F.lit("\x1f"), X.identity_key(F.col("content"))), 256))
     merged = keyed.groupBy("key").agg(
         F.min("ord").alias("first"), F.min_by("title", "ord").alias("title"), F.min_by("content", "ord").alias("content"),

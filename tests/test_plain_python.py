@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +193,17 @@ def test_bins_with_nulls_and_hot_group(spark, overhead, zeros):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == want
+
+
+def test_facts_are_folded_in_small_batches(spark, monkeypatch):
+    """What a worker holds doesn't grow with Spark's own 10,000 rows a batch of whole texts."""
+    monkeypatch.setattr(knowledge, "FOLDED", 7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        rows = [(i, "T", f"É{i % 20}", ["a"], i) for i in range(60)]
+        facts = spark.createDataFrame(rows, "ord long, title string, content string, tags array<string>, passage long").coalesce(1)
+        assert {r["merged"] for r in knowledge.merge_facts(facts).collect()} == {3}
+        sizes = facts.select("ord").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches), "n long")
+        assert max(r["n"] for r in sizes.collect()) == 7
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
