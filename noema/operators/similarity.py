@@ -14,7 +14,9 @@ from pyspark.sql.window import Window
 from noema.operators.lineage import checkpointed
 
 #: Rows of a block, and of it those multiplied at once: a task holds two blocks and the product of a strip with one.
-BLOCK, STRIP = 16384, 128
+BLOCK, STRIP = 16384, 64
+#: So many products, and those of one row more, are put in order at once, however many of them are equal.
+ORDERED = 65536
 #: Of the columns of a product one in so many tells a bound that the k best reach.
 SPARSE = 16
 
@@ -49,13 +51,17 @@ def _best(ask: tuple[np.ndarray, np.ndarray], have: tuple[np.ndarray, np.ndarray
         some = sims[:, ::step]
         kth = np.partition(some, -k, axis=1)[:, -k] if k < some.shape[1] else np.full(len(a), -np.inf)
         # a margin for rounding: of similarities 1e-9 apart the smaller id wins
-        row, col = np.nonzero(sims >= np.maximum(kth - 2e-9, max(least, -2.0))[:, None])
-        order = np.lexsort((col, -np.round(sims[row, col], 9), row))
-        row, col = row[order], col[order]
-        starts = np.searchsorted(row, np.arange(len(a)))
-        keep = np.arange(len(row)) - starts[row] < k
-        row, col = row[keep], col[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(a[row]), pa.array(b[col]), pa.array(sims[row, col])], schema=_FOUND)
+        good = sims >= np.maximum(kth - 2e-9, max(least, -2.0))[:, None]
+        ends = np.cumsum(np.count_nonzero(good, axis=1)) // ORDERED
+        for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(ends)) + 1):
+            row, col = np.nonzero(good[part[0] : part[-1] + 1])
+            row += part[0]
+            order = np.lexsort((col, -np.round(sims[row, col], 9), row))
+            row, col = row[order], col[order]
+            starts = np.searchsorted(row, part)
+            keep = np.arange(len(row)) - starts[row - part[0]] < k
+            row, col = row[keep], col[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(a[row]), pa.array(b[col]), pa.array(sims[row, col])], schema=_FOUND)
 
 
 def _sides(batches: Iterator[pa.RecordBatch]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], bool]:

@@ -97,3 +97,18 @@ def test_a_cell_is_taken_apart_as_it_comes(spark):
     assert not own and first[0].tolist() == list(range(0, 900, 2)) and np.allclose(second[1], x[1::2])
     found = similarity._best(first, second, 2, -1.0)
     assert next(found).num_rows == 2 * similarity.STRIP
+
+
+def test_copies_of_one_vector_are_put_in_order_a_part_at_a_time():
+    """All products are equal: what is held beside the product doesn't grow with their number."""
+    import tracemalloc
+
+    n = 8192
+    ids, x = np.arange(n) * 3, np.tile(np.eye(4)[1], (n, 1))
+    tracemalloc.start()
+    parts = [(b.column("id").to_numpy(), b.column("other").to_numpy()) for b in similarity._best((ids[:300], x[:300]), (ids, x), 3, -1.0)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = np.stack([np.concatenate(c) for c in zip(*parts)], axis=1).tolist()
+    assert got == [[i * 3, j * 3] for i in range(300) for j in [c for c in range(4) if c != i][:3]]
+    assert peak < 20e6
