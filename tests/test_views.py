@@ -72,6 +72,15 @@ def test_eight_bit_sets_are_told_apart(spark):
     assert found == texts | {"utf8": "été", "blank": None, "lost": None}
 
 
+def test_short_texts_of_two_scripts_are_told_apart(spark):
+    """Both scripts use the same bytes for most letters; more vowels don't make the likelier reading."""
+    cyrillic = ["дие цхен пфен енсцхеин.", "ед, бле. ен реес.", "ин ерерон схен ербле ерхехахе.", "съезд", "жизнь"]
+    greek = ["ίστ ύνδ δερ δεν.", "εδ, βλε. εν ρεεσ.", "ερστρερε όύστ τηε σκύμ σκύμ όνεν όφ.", "ερεδερρε όν ηεόν όνεδεν.", "έτσι"]
+    rows = [(x, bytearray(x.encode("cp1251"))) for x in cyrillic] + [(x, bytearray(x.encode("cp1253"))) for x in greek]
+    found = spark.createDataFrame(rows, "wanted string, data binary").select("wanted", subtitles.decode(F.col("data")).alias("text")).collect()
+    assert [r["text"] for r in found] == [r["wanted"] for r in found]
+
+
 def test_damaged_points(spark):
     rows = [(1, (1, "s", "f"), [1.0, 0.0]), (2, (3, "s", "f"), [1.0, 0.0]), (4, None, [1.0, 0.0]), (5, (5, " ", "f"), [1.0, 0.0]), (6, (6, "s", None), [1.0, 0.0]), (7, (7, "s", "f"), None), (8, (8, "s", "f"), [1.0]), (9, (9, "s", "f"), [1.0, float("inf")]), (10, (10, "s", "f"), [0.0, 0.0]), (11, (11, "s", "f"), [1.0, 0.0]), (11, (11, "s", "f"), [1.0, 0.0])]
     frame = spark.createDataFrame(rows, "id long, payload struct<id: long, source: string, fingerprint: string>, vector array<double>")
