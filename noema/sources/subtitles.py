@@ -27,8 +27,8 @@ VOWELS = "àáâãäåæèéêëìíîïòóôõöøùúûüаеёиоуыэюя
 #: foreign vowels carry the Greek accent.
 CYRILLIC = {2: "е", 1.5: "оаин", 1: "тср", 0.5: "лду", 0: "вкм", -0.5: "пгх", -1: "бэ", -1.5: "яызйц", -2: "ьчф", -2.5: "ж", -3: "шющъё"}
 GREEK = {1.5: "αετν", 1: "οισρ", 0.5: "κλ", 0: "υπμδέί", -0.5: "ςηγάό", -1: "χβύ", -1.5: "ωφ", -2: "θή", -2.5: "ζ", -3: "ξψώϊϋΐΰ"}
-#: A difference in likelihood that single letters don't outweigh.
-SURE = 16
+#: A difference in likelihood that letters don't outweigh: so much, and so great a part of the likelihood.
+SURE, SURE_PART = 16, 0.25
 _UPPER_HALF = "".join(map(chr, range(0x80, 0x100)))
 
 
@@ -75,7 +75,7 @@ def eight_bit(data: Column) -> Column:
         w, c, g = (read[f"{x}_score"] for x in SETS)
         russian = _spelled(cyrillic, CYRILLIC) - 4 * sum((_count(cyrillic, o) for o in odd), F.lit(0))
         return (
-            F.when(w >= F.greatest(c, g), western).when(c - g > SURE, cyrillic).when(g - c > SURE, greek)
+            F.when(w >= F.greatest(c, g), western).when(c - g > SURE + SURE_PART * F.abs(c), cyrillic).when(g - c > SURE + SURE_PART * F.abs(g), greek)
             .when(russian >= _spelled(greek, GREEK), cyrillic).otherwise(greek)
         )
 
