@@ -20,9 +20,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """Scaled to length one; null for a zero vector."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+    """Scaled to length one; null for a zero vector. The norm is an element of an array, so that it is worked out once a
+    vector and not for each component."""
+    scaled = F.transform(F.array(F.sqrt(dot(v, v))), lambda norm: F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)))
+    return F.get(scaled, F.lit(0))
 
 
 def jaccard(a: Column, b: Column) -> Column:

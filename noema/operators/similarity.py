@@ -29,9 +29,10 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def unit_vectors(vectors: DataFrame, key: str = "id", column: str = "embedding") -> DataFrame:
     """(key, u): vectors of length one in double precision; zero, null and non-finite ones are left out."""
-    from noema.functions.numbers import unit, usable_vector
+    from noema.functions.numbers import dot, unit, usable_vector
 
-    return vectors.where(usable_vector(F.col(column))).select(key, unit(F.col(column)).alias("u")).where("u is not null")
+    v = F.col(column)
+    return vectors.where(usable_vector(v) & (dot(v, v) > 0)).select(key, unit(v).alias("u"))
 
 
 _FOUND = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("sim", pa.float64())])

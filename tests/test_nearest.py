@@ -112,3 +112,11 @@ def test_copies_of_one_vector_are_put_in_order_a_part_at_a_time():
     got = np.stack([np.concatenate(c) for c in zip(*parts)], axis=1).tolist()
     assert got == [[i * 3, j * 3] for i in range(300) for j in [c for c in range(4) if c != i][:3]]
     assert peak < 20e6
+
+
+def test_a_vector_is_measured_once_and_not_for_each_component(spark):
+    rows = [(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [1.0, float("nan")]), (6, [1.0, float("inf")]), (7, [1.0, None]), (8, [-2.0])]
+    units = similarity.unit_vectors(spark.createDataFrame(rows, "id long, embedding array<float>"))
+    assert sorted((r["id"], r["u"]) for r in units.collect()) == [(1, [0.6, 0.8]), (8, [-1.0])]
+    plan = units._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("sqrt(") == 1  # a second one stood in the function of the components
