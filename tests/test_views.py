@@ -1,5 +1,7 @@
 """What a view shows, ways to the root, templates, profiles and points, by small cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +83,19 @@ def test_short_texts_of_two_scripts_are_told_apart(spark):
     assert [r["text"] for r in found] == [r["wanted"] for r in found]
 
 
+def test_short_files_are_read_as_the_sure_ones_are_spelled(spark):
+    """By its letters alone one of them is Cyrillic; the other files of the import tell that they are Greek words."""
+    draw = random.Random(3)
+    write = lambda words, n: " ".join(draw.choice(words) for _ in range(n)) + "."
+    greek = ["εδρε", "ρερεδ", "ρεαεα", "ερε", "τηε", "θυεστιον", "ανσ", "δεν", "λαστ"]
+    cyrillic = ["едно", "жизнь", "что", "этот", "погода", "холод", "вода", "дом"]
+    rows = [("cp1253", write(greek, 200)) for _ in range(6)] + [("cp1251", write(cyrillic, 200)) for _ in range(6)] + [("cp1253", x) for x in ("εδρερε.", "ερεαεα.")] + [("cp1251", x) for x in ("едно.", "дом.")] + [("utf-8", "é"), ("cp1252", "naïve – 5 €")]
+    frame = spark.createDataFrame([(i, text, bytearray(text.encode(name))) for i, (name, text) in enumerate(rows)], "id int, wanted string, data binary").repartition(3)
+    assert [r for r in subtitles.decoded(frame).collect() if r["text"] != r["wanted"]] == []
+    few = frame.where("id between 12 and 13")
+    assert subtitles.decoded(few).columns == ["id", "wanted", "text"] and subtitles.decoded(few).where("text = wanted").count() == 1
+
+
 def test_damaged_points(spark):
     rows = [(1, (1, "s", "f"), [1.0, 0.0]), (2, (3, "s", "f"), [1.0, 0.0]), (4, None, [1.0, 0.0]), (5, (5, " ", "f"), [1.0, 0.0]), (6, (6, "s", None), [1.0, 0.0]), (7, (7, "s", "f"), None), (8, (8, "s", "f"), [1.0]), (9, (9, "s", "f"), [1.0, float("inf")]), (10, (10, "s", "f"), [0.0, 0.0]), (11, (11, "s", "f"), [1.0, 0.0]), (11, (11, "s", "f"), [1.0, 0.0])]
     frame = spark.createDataFrame(rows, "id long, payload struct<id: long, source: string, fingerprint: string>, vector array<double>")
