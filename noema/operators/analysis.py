@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noema.functions import text as X
-from noema.operators.lineage import checkpointed
+from noema.operators.lineage import checkpointed, written
 from noema.operators.relational import get_or_create, numbered
 
 PASSAGE = ["source", "passage", "start", "end", "text"]
@@ -21,46 +21,66 @@ def _placed(passages: DataFrame) -> DataFrame:
     """passages, which have a mark of their text, with their distance from the source's last place, and their number among the
     source's passages of one text. Numbers are those of a range-partitioned order, so a text that a source repeats
     without end is spread over tasks."""
-    placed = numbered(passages, F.col("source"), F.col("mark"), F.col("passage"))
+    placed = numbered(passages, F.col("source"), F.col("mark"), F.col("passage"), kept=written)
     first = placed.groupBy("source", "mark").agg(F.min("number").alias("first"))
     last = passages.groupBy("source").agg(F.max("end").alias("last"))
     both = placed.join(first, ["source", "mark"]).join(last, "source")
     return both.select(*passages.columns, (F.col("last") - F.col("end")).alias("behind"), (F.col("number") - F.col("first")).alias("occurrence"))
 
 
-def aligned_passages(new: DataFrame, stored: DataFrame, version: str) -> DataFrame:
-    """(id, source, passage, start, end, text, state): new(source, passage, start, end, text) with the ids of stored(id, and
-    the same columns) where the text is equal.
-
-    A text keeps its id where it stands as far from the source's beginning as before, else as far from its end, else by its
-    turn among the source's passages of that text that are left. So an edit keeps all ids before and behind it. state is
-    'kept', 'moved' (other place or number), 'new' (with an id made of version, source, text and turn), and 'retired' for
-    stored passages whose text is gone. version names the import, so that no id is given twice. Rows without a source or text
-    are left out.
-    """
-    whole = F.col("source").isNotNull() & F.col("text").isNotNull()
-    # texts stay in these two tables; what is placed and joined has their marks
-    new = checkpointed(new.select(*PASSAGE, F.md5("text").alias("mark")).where(whole))
-    stored = stored.select("id", *PASSAGE, F.md5("text").alias("mark")).where(whole)
+def _named(new: DataFrame, places: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
+    """(id, row, state) of new(row, source, passage, start, end, mark), and the ids of places(id, and the same columns without a row) whose texts are
+    gone; see aligned_passages. Neither table has texts."""
     at = [c for c in PASSAGE if c != "text"]
-    left, right = checkpointed(_placed(new.drop("text"))), checkpointed(_placed(stored.drop("text")))
+    left, right = written(_placed(new)), written(_placed(places))
     pairs = None
     for step, by in enumerate(("start", "behind", "turn")):
         if by == "turn":  # those that are left count anew
-            left, right = (checkpointed(_placed(x.select(*[c for c in x.columns if c in ("id", "mark", *at)]))).withColumnRenamed("occurrence", "turn") for x in (left, right))
+            left, right = (written(_placed(x.select(*[c for c in x.columns if c in ("id", "row", "mark", *at)]))).withColumnRenamed("occurrence", "turn") for x in (left, right))
         other = right.select("id", "source", "mark", by, *(F.col(c).alias(f"_{c}") for c in ("passage", "start", "end")))
-        found = checkpointed(left.join(other, ["source", "mark", by]).select("id", *at, "mark", *(F.col(f"_{c}") for c in ("passage", "start", "end"))))
+        same = F.lit(True)
+        for c in ("passage", "start", "end"):
+            same = same & (F.col(c) == F.col(f"_{c}"))
+        found = written(left.join(other, ["source", "mark", by]).select("id", "row", "source", "passage", F.when(same, "kept").otherwise("moved").alias("state")))
         pairs = found if pairs is None else pairs.unionByName(found)
         left = left.join(found.select("source", "passage"), ["source", "passage"], "left_anti")
         right = right.join(found.select("id"), "id", "left_anti")
-    same = F.lit(True)
-    for c in ("passage", "start", "end"):
-        same = same & (F.col(c) == F.col(f"_{c}"))
     made = left.withColumn("id", F.sha2(F.concat_ws("\x1f", F.lit(version), F.col("source").cast("string"), "mark", F.col("turn").cast("string")), 256))
-    named = pairs.select("id", *at, "mark", F.when(same, "kept").otherwise("moved").alias("state")).unionByName(made.select("id", *at, "mark", F.lit("new").alias("state")))
-    place = ["source", "passage", "mark"]  # a source that is given twice has two passages of one place
-    found = named.join(new.select(*place, "text").dropDuplicates(place), place).select("id", *PASSAGE, "state")
-    return found.unionByName(stored.join(right.select("id"), "id", "left_semi").select("id", *PASSAGE, F.lit("retired").alias("state")))
+    return pairs.select("id", "row", "state").unionByName(made.select("id", "row", F.lit("new").alias("state"))), right.select("id")
+
+
+#: Passages that can be told apart.
+_WHOLE = "source is not null and text is not null"
+
+
+def _rows(new: DataFrame) -> DataFrame:
+    """new, written once, with a number for each row, on which its text is joined again."""
+    return written(new.select(*PASSAGE, F.md5("text").alias("mark")).where(_WHOLE).withColumn("row", F.monotonically_increasing_id()))
+
+
+def _places(stored: DataFrame) -> DataFrame:
+    """stored with marks in place of its texts."""
+    return stored.where(_WHOLE).select("id", *(F.md5(c).alias("mark") if c == "text" else c for c in PASSAGE))
+
+
+def _texts(stored: DataFrame, states: DataFrame) -> DataFrame:
+    """Passages of stored whose ids are in states(id, state)."""
+    return stored.join(states.dropDuplicates(["id"]), "id").select("id", *PASSAGE, "state")
+
+
+def aligned_passages(new: DataFrame, stored: DataFrame, version: str) -> DataFrame:
+    """(id, source, passage, start, end, text, state): new(source, passage, start, end, text) with the ids of stored(id, and
+    the same columns) where the text is equal.
+
+    A text keeps its id where it stands as far from the source's beginning as before, else as far from its end, else by its
+    turn among the source's passages of that text that are left. So an edit keeps all ids before and behind it. state is
+    'kept', 'moved' (other place or number), 'new' (with an id made of version, source, text and turn), and 'retired' for
+    stored passages whose text is gone. version names the import, so that no id is given twice. Rows without a source or text
+    are left out. Texts are written once and joined once; what is placed and joined before has their marks.
+    """
+    rows = _rows(new)
+    named, gone = _named(rows.drop("text"), _places(stored), version)
+    return rows.join(named, "row").select("id", *PASSAGE, "state").unionByName(_texts(stored, gone.withColumn("state", F.lit("retired"))))
 
 
 def prepared(sources: DataFrame, stored: DataFrame, known: DataFrame, cut: Callable[[DataFrame], DataFrame], version: str) -> DataFrame:
@@ -68,10 +88,14 @@ def prepared(sources: DataFrame, stored: DataFrame, known: DataFrame, cut: Calla
     stored is of: a source whose text hasn't changed isn't cut again and keeps its passages; those of sources that are no
     more are retired. cut gives (source, passage, start, end, text) from (source, text)."""
     marked = sources.where("source is not null and text is not null").withColumn("mark", F.md5("text"))
-    same = checkpointed(marked.join(known.select("source", "mark").distinct(), ["source", "mark"], "left_semi").select("source"))
-    changed = marked.join(same, "source", "left_anti").select("source", "text")
-    kept = stored.join(same, "source", "left_semi").select("id", *PASSAGE, F.lit("kept").alias("state"))
-    return kept.unionByName(aligned_passages(cut(changed), stored.join(same, "source", "left_anti"), version))
+    same = written(marked.join(known.select("source", "mark").distinct(), ["source", "mark"], "left_semi").select("source"))
+    changed = marked.select("source", "text")
+    if not same.isEmpty():  # else no text needs to travel
+        changed = changed.join(same, "source", "left_anti")
+    rows, places = _rows(cut(changed)), _places(stored)
+    named, gone = _named(rows.drop("text"), places.join(same, "source", "left_anti"), version)
+    kept = places.join(same, "source", "left_semi").select("id", F.lit("kept").alias("state"))
+    return rows.join(named, "row").select("id", *PASSAGE, "state").unionByName(_texts(stored, kept.unionByName(gone.withColumn("state", F.lit("retired")))))
 
 
 def _log(spark: SparkSession, path: str) -> DataFrame:

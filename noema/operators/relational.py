@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,10 +101,11 @@ def corpus_mark(rows: DataFrame, key: str, *marks: str) -> DataFrame:
     return parts.select("rows", F.sha2(F.concat_ws(";", *(F.col(c).cast("string") for c in ("rows", "x", "s"))), 256).alias("mark"))
 
 
-def numbered(rows: DataFrame, *order: Column) -> DataFrame:
-    """rows with their 'number' from 0 in order. Numbers come from per-partition counts and offsets, not from one sorted task."""
+def numbered(rows: DataFrame, *order: Column, kept: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
+    """rows with their 'number' from 0 in order. Numbers come from per-partition counts and offsets, not from one sorted task. kept is how rows are
+    written in between."""
     # written once, since two evaluations may draw their ranges differently
-    placed = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    placed = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
     part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
     before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a partition

@@ -120,11 +120,12 @@ def passage_rebuild(t: Tables):
 
     none = t.spark.createDataFrame([], "id string, source long, passage int, start int, end int, text string")
     known = t.spark.createDataFrame([], "source long, mark string")
-    stored = A.checkpointed(A.prepared(texts, none, known, cut, "1").drop("state"))
+    stored = A.written(A.prepared(texts, none, known, cut, "1").drop("state"))
     edited = texts.withColumn("text", F.when(F.col("source") % 3 == 0, F.concat("text", F.lit("\n\nA paragraph at the end."))).otherwise(F.col("text")))
     seen = []
-    again = A.checkpointed(A.prepared(edited, stored, texts.select("source", F.md5("text").alias("mark")), lambda s: seen.append(s) or cut(s), "2"))
+    made = A.prepared(edited, stored, texts.select("source", F.md5("text").alias("mark")), lambda s: seen.append(s) or cut(s), "2")
+    again = A.written(made.select("source", "state", F.md5("text").alias("mark")))
     old = stored.select("source", F.md5("text").alias("mark")).distinct().withColumn("was", F.lit(True))
-    lost = again.where("state = 'new'").select("source", F.md5("text").alias("mark")).join(old, ["source", "mark"], "left_semi").select("source").distinct().withColumn("lost", F.lit(True))
+    lost = again.where("state = 'new'").select("source", "mark").join(old, ["source", "mark"], "left_semi").select("source").distinct().withColumn("lost", F.lit(True))
     wide = again.select("source").distinct().join(seen[0].select("source").distinct().withColumn("cut_again", F.lit(True)), "source", "left").join(lost, "source", "left")
     return wide.select("source", F.coalesce("cut_again", F.lit(False)).alias("cut_again"), F.coalesce(~F.col("lost"), F.lit(True)).alias("ids_kept"))
