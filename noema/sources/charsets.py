@@ -26,8 +26,8 @@ SURE, SURE_PART = 16, 0.25
 LONG = 100
 #: Letters that the sure files of a set must have before their spelling decides, and how many sightings that of a shorter context counts for.
 LEARNED, SHORTER = 1000, 4.0
-#: Bytes that are judged at once, unless one file is longer.
-AT_ONCE = 1 << 20
+#: Bytes that are judged at once, unless one file is longer, and files that a Python worker holds at once.
+AT_ONCE, HELD = 1 << 20, 512
 #: A letter's context is two bytes; those of ASCII count as one, since words end there.
 _CLASS = np.zeros(256, dtype=np.int64)
 _CLASS[0x80:] = np.arange(1, 129)
@@ -198,5 +198,6 @@ def eight_bit(data: Column) -> Column:
 
 def eight_bit_of(files: DataFrame):
     """eight_bit for the files of one import, files(data): those whose set is sure tell how either script is spelled there, and that decides for all
-    others, however short."""
+    others, however short. A batch holds few files: this stays set in the session."""
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(HELD))
     return _reader(_learned(files))
